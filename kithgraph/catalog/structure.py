@@ -140,7 +140,7 @@ def _fastrp_sql(dim: int, steps: int = 3) -> str:
         "nodes",
         extra=_fastrp_sql(_DIM),
         sql="SELECT t.TransactionID AS \"transactionId\", "
-        + ", ".join(f"round(coalesce(a.w{i}, 0) + coalesce(b.w{i}, 0), 3) AS e{i}" for i in range(_DIM))
+        + ", ".join(f"round(CAST(CAST(coalesce(a.w{i}, 0) + coalesce(b.w{i}, 0) AS FLOAT) AS DOUBLE), 3) AS e{i}" for i in range(_DIM))
         + " FROM tx t LEFT JOIN n2 a ON a.node = 'Transaction:' || t.TransactionID"
         " LEFT JOIN n3 b ON b.node = 'Transaction:' || t.TransactionID",
     ),

@@ -110,6 +110,7 @@ def wcc(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_
     out = attach(found, smallest, ["component_id"], "n", "inner").select(
         "node_id", F.col("first_id").alias("component_id")
     )
+    out = cut_lineage(out)
     if nodes is None:
         return out
     alone = nodes.select("node_id").join(out.select("node_id"), "node_id", "left_anti")

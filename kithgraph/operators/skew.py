@@ -12,19 +12,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithgraph.session import cut_lineage
+
 HOT_KEYS = 10_000
 SLICE_SECONDS = 3_600
 SLICE_MIN_ROWS = 100_000
 
 
-def _is_hot(counts: DataFrame, n: str, limit: int) -> Column:
-    total = counts.agg(F.sum(n)).scalar()
-    return F.col(n) * F.lit(limit) > total
-
+def hot_rows(counts: DataFrame, n: str, limit: int = HOT_KEYS, min_rows: int = 0) -> DataFrame | None:
+    """The fewer than `limit` rows of `counts` that hold over 1/limit of sum(n) each, written once.
 
-def hot_keys(counts: DataFrame, n: str, limit: int = HOT_KEYS) -> DataFrame:
-    """The fewer than `limit` rows of `counts` that hold over 1/limit of sum(n) each."""
-    return counts.filter(_is_hot(counts, n, limit))
+    None if no key is hot. This runs a job: it is the size check in front of a broadcast.
+    """
+    total = counts.agg(F.sum(n)).scalar()
+    found = counts.filter((F.col(n) * F.lit(limit) > total) & (F.col(n) >= min_rows))
+    found = cut_lineage(found)
+    return None if found.isEmpty() else found
 
 
 def attach(
@@ -41,10 +44,11 @@ def attach(
     shuffle join in which no key is large. Keys must not be null.
     """
     keys = list(keys)
-    hot = hot_keys(small, n, limit)
-    cold = small.filter(~_is_hot(small, n, limit))
+    hot = hot_rows(small, n, limit)
+    if hot is None:
+        return big.join(small, keys, how)
     near = big.join(F.broadcast(hot), keys, "inner")
-    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small, keys, how)
     return near.unionByName(rest)
 
 
@@ -54,29 +58,28 @@ def slice_hot(
     time: str,
     seconds: int = SLICE_SECONDS,
     min_rows: int = SLICE_MIN_ROWS,
-) -> DataFrame:
-    """Add `_slice`: a time slice for hot keys, 0 for all others.
+) -> DataFrame | None:
+    """Add `_hot` and `_slice`: a time slice for hot keys, 0 for all others.
 
-    Slices depend on the row's own time only, so a recomputed task cuts the same way.
+    Slices depend on the row's own time only, so a recomputed task cuts the same way. None
+    if no key is hot, in which case a plain window over `keys` is balanced.
     """
     keys = list(keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = hot_keys(counts, "_n").filter(F.col("_n") >= min_rows)
-    hot = hot.select(*keys, F.lit(True).alias("_hot"))
-    return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-        .withColumn(
-            "_slice",
-            F.when(F.col("_hot"), F.floor(F.col(time) / F.lit(seconds))).otherwise(F.lit(0)),
-        )
+    hot = hot_rows(counts, "_n", min_rows=min_rows)
+    if hot is None:
+        return None
+    marked = df.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    hot_col = F.coalesce("_hot", F.lit(False))
+    return marked.withColumn("_hot", hot_col).withColumn(
+        "_slice", F.when(F.col("_hot"), F.floor(F.col(time) / F.lit(seconds))).otherwise(F.lit(0))
     )
 
 
 def running_sums(
     df: DataFrame,
     group: Sequence[str],
-    slice_col: str,
+    slice_col: str | None,
     order: str,
     sums: dict[str, str],
     descending: bool = False,
@@ -84,7 +87,8 @@ def running_sums(
 ) -> DataFrame:
     """Running totals over `order` inside each group, ties included, as a two-level sum.
 
-    `slice_col` must grow with `order`. One window runs inside each (group, slice); the
+    Without `slice_col` every group is small enough for one window. With it (it must grow
+    with `order`) one window runs inside each (group, slice); the
     totals of earlier slices come from a second window over one row per slice. `only`
     says which rows lie in groups of several slices, so that the others skip the second.
     """
@@ -94,20 +98,22 @@ def running_sums(
         return F.col(c).desc() if descending else F.col(c).asc()
 
     inside = (
-        Window.partitionBy(*group, slice_col)
+        Window.partitionBy(*group, *([slice_col] if slice_col else []))
         .orderBy(direction(order))
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = (
-        Window.partitionBy(*group)
-        .orderBy(direction(slice_col))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     local = df.withColumns({out: F.sum(c).over(inside) for out, c in sums.items()})
+    if slice_col is None:
+        return local
     several = df if only is None else df.filter(only)
     totals = several.groupBy(*group, slice_col).agg(
         *[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()]
     )
+    before = (
+        Window.partitionBy(*group)
+        .orderBy(direction(slice_col))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     carried = totals.select(
         *group, slice_col, *[F.sum(f"_t_{out}").over(before).alias(f"_c_{out}") for out in sums]
     )

@@ -30,11 +30,13 @@ def card_times(tx: DataFrame) -> DataFrame:
 def _neighbour(times: DataFrame, step: int, seconds: int, min_rows: int) -> DataFrame:
     """Add `_near`: the next (step 1) or previous (step -1) row of the card by (dt, id)."""
     row = F.struct("dt", "id", "is_fraud")
-    sliced = slice_hot(times, ["card"], "dt", seconds, min_rows)
     if step < 0:
         order, by_slice, edge = [F.asc("dt"), F.asc("id")], F.asc("_slice"), F.max
     else:
         order, by_slice, edge = [F.desc("dt"), F.desc("id")], F.desc("_slice"), F.min
+    sliced = slice_hot(times, ["card"], "dt", seconds, min_rows)
+    if sliced is None:
+        return times.withColumn("_near", F.lag(row).over(Window.partitionBy("card").orderBy(*order)))
     inside = sliced.withColumn(
         "_near", F.lag(row).over(Window.partitionBy("card", "_slice").orderBy(*order))
     )
@@ -132,7 +134,12 @@ def card_chain_rate(
     extra rows that feed the window and are dropped afterwards.
     """
     row = F.struct("dt", "id", "is_fraud")
-    sliced = slice_hot(card_times(tx), ["card"], "dt", seconds, min_rows)
+    times = card_times(tx)
+    share = F.avg(N.is_fraud("is_fraud").cast("double"))
+    sliced = slice_hot(times, ["card"], "dt", seconds, min_rows)
+    if sliced is None:
+        last = Window.partitionBy("card").orderBy("dt", "id").rowsBetween(-n, -1)
+        return times.select(F.col("id").alias("transactionId"), share.over(last).alias("card_chain_fraud_rate"))
     newest = Window.partitionBy("card", "_slice").orderBy(F.desc("dt"), F.desc("id"))
     tails = (
         sliced.filter("_hot")
@@ -151,7 +158,7 @@ def card_chain_rate(
     last = Window.partitionBy("card", "_slice").orderBy("dt", "id").rowsBetween(-n, -1)
     return (
         own.unionByName(extra)
-        .withColumn("card_chain_fraud_rate", F.avg(N.is_fraud("is_fraud").cast("double")).over(last))
+        .withColumn("card_chain_fraud_rate", share.over(last))
         .filter(~F.col("_extra"))
         .select(F.col("id").alias("transactionId"), "card_chain_fraud_rate")
     )
@@ -193,10 +200,12 @@ def rolling_entity_rate(
         nothing.alias("df"),
         "transactionId",
     )
-    sliced = slice_hot(moves.unionByName(asks), entity, "t", seconds, min_rows)
-    summed = running_sums(
-        sliced, entity, "_slice", "t", {"n": "dn", "f": "df"}, only=F.col("_hot")
-    )
+    rows, sums = moves.unionByName(asks), {"n": "dn", "f": "df"}
+    sliced = slice_hot(rows, entity, "t", seconds, min_rows)
+    if sliced is None:
+        summed = running_sums(rows, entity, None, "t", sums)
+    else:
+        summed = running_sums(sliced, entity, "_slice", "t", sums, only=F.col("_hot"))
     return summed.filter(F.col("transactionId").isNotNull()).select(
         "transactionId",
         *entity,
