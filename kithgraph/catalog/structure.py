@@ -118,12 +118,12 @@ _DIM = 4
 
 def _fastrp_sql(dim: int, steps: int = 3) -> str:
     r = ", ".join(
-        f"CAST((CASE ('0x' || substr(h, {2 * i + 1}, 2))::INTEGER % 6 WHEN 0 THEN sqrt(3) WHEN 1 THEN -sqrt(3) ELSE 0 END) / n AS FLOAT) AS v{i}"
+        f"CAST((CASE (h // {6**i}) % 6 WHEN 0 THEN sqrt(3) WHEN 1 THEN -sqrt(3) ELSE 0 END) / n AS FLOAT) AS v{i}"
         for i in range(dim)
     )
     parts = [
         f"\nu AS (SELECT src, dst FROM all_edges UNION ALL SELECT dst, src FROM all_edges),"
-        f"\ne0 AS (SELECT node, {r} FROM (SELECT src AS node, count(*) AS n, md5(src || '|0|42') AS h FROM u GROUP BY src))"
+        f"\ne0 AS (SELECT node, {r} FROM (SELECT src AS node, count(*) AS n, ('0x' || substr(md5(src || '|0|42'), 1, 15))::BIGINT AS h FROM u GROUP BY src))"
     ]
     for k in range(1, steps + 1):
         means = ", ".join(f"CAST(avg(CAST(v{i} AS DOUBLE)) AS FLOAT) AS v{i}" for i in range(dim))
@@ -140,7 +140,7 @@ def _fastrp_sql(dim: int, steps: int = 3) -> str:
         "nodes",
         extra=_fastrp_sql(_DIM),
         sql="SELECT t.TransactionID AS \"transactionId\", "
-        + ", ".join(f"round(CAST(CAST(coalesce(a.w{i}, 0) + coalesce(b.w{i}, 0) AS FLOAT) AS DOUBLE), 3) AS e{i}" for i in range(_DIM))
+        + ", ".join(f"round(CAST(CAST(coalesce(a.w{i}, 0) + coalesce(b.w{i}, 0) AS FLOAT) AS DOUBLE), 3) + 0.0::DOUBLE AS e{i}" for i in range(_DIM))
         + " FROM tx t LEFT JOIN n2 a ON a.node = 'Transaction:' || t.TransactionID"
         " LEFT JOIN n3 b ON b.node = 'Transaction:' || t.TransactionID",
     ),
@@ -149,7 +149,10 @@ def fastrp_small(g: Given):
     emb = workflows.embeddings(g.tx, g.identity, dim=_DIM)
     return emb.select(
         "transactionId",
-        *[F.round(F.col("embedding")[i].cast("double"), 3).alias(f"e{i}") for i in range(_DIM)],
+        *[
+            (F.round(F.col("embedding")[i].cast("double"), 3) + F.lit(0.0)).alias(f"e{i}")
+            for i in range(_DIM)
+        ],
     )
 
 

@@ -93,28 +93,32 @@ def wcc(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_
     )
     known = cut_lineage(known)
     outer = rep.join(known.select(F.col("node_id").alias("src")), "src", "left_anti")
+    # Per representative: how many outer sources it stands for, and the smallest of them.
     sizes = (
         outer.groupBy(F.col("rep").alias("node_id"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(known, "node_id")
-        .withColumnRenamed("node_id", "rep")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("low"))
     )
-    placed = attach(outer, sizes, ["rep"], "n", "inner").select(
-        F.col("src").alias("node_id"), "component_id"
+    merged = known.join(sizes, "node_id", "left")
+    # An outer source may sort before every target; the smallest member is settled here.
+    first = merged.groupBy("component_id").agg(
+        F.least(F.min("node_id"), F.min("low")).alias("first_id"), F.count(F.lit(1)).alias("_rows")
     )
-    # A source may sort before every target, so the smallest member is settled here.
-    found = known.unionByName(placed)
-    smallest = found.groupBy("component_id").agg(
-        F.min("node_id").alias("first_id"), F.count(F.lit(1)).alias("n")
+    settled = cut_lineage(
+        attach(merged, first, ["component_id"], "_rows", "inner").select(
+            "node_id", F.col("first_id").alias("component_id"), "n"
+        )
     )
-    out = attach(found, smallest, ["component_id"], "n", "inner").select(
-        "node_id", F.col("first_id").alias("component_id")
+    stands = settled.filter("n > 0").withColumnRenamed("node_id", "rep")
+    placed = attach(outer, stands, ["rep"], "n", "inner").select(
+        F.col("src").alias("node_id"), "component_id"
     )
-    out = cut_lineage(out)
-    if nodes is None:
-        return out
-    alone = nodes.select("node_id").join(out.select("node_id"), "node_id", "left_anti")
-    return out.unionByName(alone.select("node_id", F.col("node_id").alias("component_id")))
+    out = settled.select("node_id", "component_id").unionByName(placed)
+    if nodes is not None:
+        # A node of the graph either has edges or is a component of its own.
+        out = nodes.select("node_id").distinct().join(out, "node_id", "left").select(
+            "node_id", F.coalesce("component_id", "node_id").alias("component_id")
+        )
+    return cut_lineage(out)
 
 
 def transaction_components(components: DataFrame) -> DataFrame:

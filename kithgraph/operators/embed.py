@@ -20,28 +20,31 @@ WEIGHTS = (0.0, 1.0, 1.0)
 NORM_STRENGTH = -1.0
 SEED = 42
 SQRT3 = 3.0**0.5
-BYTES_PER_HASH = 16
+BLOCK = 16  # coordinates per hash
+HEX_DIGITS = 15  # 60 bits hold more than 16 base-6 digits
 
 
-def _random_vector(node: Column, scale: Column, dim: int, hexes: str) -> Column:
-    """Sparse start vector: each hash byte mod 6 gives +sqrt(3), -sqrt(3) or 0."""
-    coordinates = []
-    for i in range(dim):
-        byte = F.conv(F.substring(hexes, 2 * i + 1, 2), 16, 10).cast("int") % 6
-        value = F.when(byte == 0, SQRT3).when(byte == 1, -SQRT3).otherwise(0.0)
-        coordinates.append((value * scale).cast("float"))
-    return F.array(*coordinates)
+def start_vectors(degrees: DataFrame, dim: int, norm: float, seed: int) -> DataFrame:
+    """(node_id, n, vec): a sparse random vector per node, scaled by degree ** norm.
 
+    Each block of coordinates reads the base-6 digits of one hash of the node id: 0 gives
+    +sqrt(3), 1 gives -sqrt(3), the other four give 0.
+    """
+    blocks = -(-dim // BLOCK)
 
-def start_vectors(degrees: DataFrame, dim: int, norm: float, seed: int) -> DataFrame:
-    """(node_id, n, vec): the random vector of each node scaled by degree ** norm."""
-    blocks = -(-dim // BYTES_PER_HASH)
-    hexes = F.concat(
-        *[F.md5(F.concat(F.col("node_id"), F.lit(f"|{b}|{seed}")).cast("binary")) for b in range(blocks)]
-    )
-    return degrees.withColumn("_hex", hexes).select(
-        "node_id", "n", _random_vector(F.col("node_id"), F.pow(F.col("n"), norm), dim, "_hex").alias("vec")
+    def hashed(b: int) -> Column:
+        text = F.concat(F.col("node_id"), F.lit(f"|{b}|{seed}"))
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, HEX_DIGITS), 16, 10).cast("bigint")
+
+    def coordinate(i: int) -> Column:
+        digit = F.expr(f"(_h{i // BLOCK} div {6 ** (i % BLOCK)}L) % 6")
+        value = F.when(digit == 0, SQRT3).when(digit == 1, -SQRT3).otherwise(0.0)
+        return (value * F.col("_scale")).cast("float")
+
+    drawn = degrees.select(
+        "node_id", "n", F.pow(F.col("n"), norm).alias("_scale"), *[hashed(b).alias(f"_h{b}") for b in range(blocks)]
     )
+    return drawn.select("node_id", "n", F.array(*[coordinate(i) for i in range(dim)]).alias("vec"))
 
 
 def _neighbour_mean(undirected: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:

@@ -12,22 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kithgraph.session import cut_lineage
-
 HOT_KEYS = 10_000
 SLICE_SECONDS = 3_600
 SLICE_MIN_ROWS = 100_000
 
 
 def hot_rows(counts: DataFrame, n: str, limit: int = HOT_KEYS, min_rows: int = 0) -> DataFrame | None:
-    """The fewer than `limit` rows of `counts` that hold over 1/limit of sum(n) each, written once.
+    """The fewer than `limit` rows of `counts` that hold over 1/limit of sum(n) each, as a local table.
 
     None if no key is hot. This runs a job: it is the size check in front of a broadcast.
     """
     total = counts.agg(F.sum(n)).scalar()
     found = counts.filter((F.col(n) * F.lit(limit) > total) & (F.col(n) >= min_rows))
-    found = cut_lineage(found)
-    return None if found.isEmpty() else found
+    rows = found.toArrow()  # fewer than `limit` rows, by the filter above
+    return counts.sparkSession.createDataFrame(rows, found.schema) if rows.num_rows else None
 
 
 def attach(

@@ -18,6 +18,8 @@ def duck(sf_dir):
 
 
 def _plain(v):
+    if isinstance(v, float) and v == 0.0:
+        return 0.0
     if v is None:
         return None
     if isinstance(v, float) and math.isnan(v):
