@@ -151,20 +151,20 @@ def average_precision(g: Given):
 
 
 _AT = """
-at AS (SELECT count(*) FILTER (proba < {t} AND isFraud = 0) AS tn, count(*) FILTER (proba >= {t} AND isFraud = 0) AS fp,
+counted AS (SELECT count(*) FILTER (proba < {t} AND isFraud = 0) AS tn, count(*) FILTER (proba >= {t} AND isFraud = 0) AS fp,
   count(*) FILTER (proba < {t} AND isFraud = 1) AS fn, count(*) FILTER (proba >= {t} AND isFraud = 1) AS tp FROM pred)"""
 _SCORES = """coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS precision, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS recall,
   coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0) AS f1, CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn) AS accuracy"""
 
 
-@query("m8_threshold_metrics", over("pred", extra=_AT.format(t="0.5::DOUBLE"), sql=f"SELECT {_SCORES} FROM at"))
+@query("m8_threshold_metrics", over("pred", extra=_AT.format(t="0.5::DOUBLE"), sql=f"SELECT {_SCORES} FROM counted"))
 def threshold_metrics(g: Given):
     return V.threshold_metrics(g.pred, 0.5)
 
 
 @query(
     "m9_confusion",
-    over("pred", extra=_AT.format(t="0.5::DOUBLE"), sql="SELECT tn, fp, fn, tp, fn + tp AS support_fraud FROM at"),
+    over("pred", extra=_AT.format(t="0.5::DOUBLE"), sql="SELECT tn, fp, fn, tp, fn + tp AS support_fraud FROM counted"),
 )
 def confusion(g: Given):
     return V.confusion(g.pred, 0.5)
