@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,20 +13,19 @@ from pyspark.sql import functions as F
 
 from kithgraph.operators.edges import TRANSACTION
 from kithgraph.operators.sampling import seeded_sample
-from kithgraph.operators.skew import attach
+from kithgraph.operators.skew import hot_rows
 from kithgraph.session import cut_lineage
 
 DIM = 64
 WEIGHTS = (0.0, 1.0, 1.0)
 NORM_STRENGTH = -1.0
 SEED = 42
-SQRT3 = 3.0**0.5
 BLOCK = 16  # coordinates per hash
 HEX_DIGITS = 15  # 60 bits hold more than 16 base-6 digits
 
 
 def start_vectors(degrees: DataFrame, dim: int, norm: float, seed: int) -> DataFrame:
-    """(node_id, n, vec): a sparse random vector per node, scaled by degree ** norm.
+    """(node_id, vec): a sparse random vector per node, scaled by degree ** norm.
 
     Each block of coordinates reads the base-6 digits of one hash of the node id: 0 gives
     +sqrt(3), 1 gives -sqrt(3), the other four give 0.
@@ -36,39 +36,70 @@ def start_vectors(degrees: DataFrame, dim: int, norm: float, seed: int) -> DataF
         text = F.concat(F.col("node_id"), F.lit(f"|{b}|{seed}"))
         return F.conv(F.substring(F.md5(text.cast("binary")), 1, HEX_DIGITS), 16, 10).cast("bigint")
 
-    def coordinate(i: int) -> Column:
-        digit = F.expr(f"(_h{i // BLOCK} div {6 ** (i % BLOCK)}L) % 6")
-        value = F.when(digit == 0, SQRT3).when(digit == 1, -SQRT3).otherwise(0.0)
-        return (value * F.col("_scale")).cast("float")
+    def coordinate(i: int) -> str:
+        digit = f"(_h{i // BLOCK} div {6 ** (i % BLOCK)}L) % 6"
+        return f"CASE {digit} WHEN 0 THEN sqrt(3D) WHEN 1 THEN -sqrt(3D) ELSE 0D END * _scale"
 
     drawn = degrees.select(
-        "node_id", "n", F.pow(F.col("n"), norm).alias("_scale"), *[hashed(b).alias(f"_h{b}") for b in range(blocks)]
+        "node_id", F.pow(F.col("n"), norm).alias("_scale"), *[hashed(b).alias(f"_h{b}") for b in range(blocks)]
     )
-    return drawn.select("node_id", "n", F.array(*[coordinate(i) for i in range(dim)]).alias("vec"))
+    return drawn.select("node_id", _floats([coordinate(i) for i in range(dim)]).alias("vec"))
 
 
-def _neighbour_mean(undirected: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+def _floats(items: Sequence[str]) -> Column:
+    """Array of SQL expressions as floats."""
+    return F.expr("array(" + ", ".join(f"cast({x} AS float)" for x in items) + ")")
+
+
+class _Spread(NamedTuple):
+    """Undirected edges split by source: those of hot sources, and the rest by source."""
+
+    hot: DataFrame | None
+    near: DataFrame | None
+    rest: DataFrame
+
+
+def _spread(undirected: DataFrame, degrees: DataFrame) -> _Spread:
+    """Place the edges once for all steps; degrees do not change between them.
+
+    Edges of hot sources stay where they are and meet a bounded broadcast in each step. The
+    others are partitioned by source, so that the steps only move vectors.
+    """
+    parts = int(undirected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_rows(degrees, "n")
+    if hot is None:
+        return _Spread(None, None, cut_lineage(undirected.repartition(parts, "src")))
+    hot = hot.select(F.col("node_id").alias("src"))
+    rest = undirected.join(F.broadcast(hot), "src", "left_anti").repartition(parts, "src")
+    near = undirected.join(F.broadcast(hot), "src", "left_semi")
+    return _Spread(hot, cut_lineage(near), cut_lineage(rest))
+
+
+def _neighbour_mean(edges: _Spread, vectors: DataFrame, dim: int, mark: str | None) -> DataFrame:
     """Mean of the neighbours' vectors per node, parallel edges counted each.
 
-    Vectors of hubs go out in a bounded broadcast; sums combine before the shuffle, so a
-    hub receives one partial sum per task.
+    Sums combine before the shuffle, so a hub receives one partial sum per task. `mark`
+    limits the receiving nodes to those whose id starts with it.
     """
-    sent = attach(
-        undirected, vectors.withColumnRenamed("node_id", "src"), ["src"], "n", "inner"
-    )
-    sums = sent.groupBy(F.col("dst").alias("node_id")).agg(
+    vectors = vectors.withColumnRenamed("node_id", "src")
+
+    def sent(part: DataFrame, vecs: DataFrame) -> DataFrame:
+        part = part if mark is None else part.filter(F.col("dst").startswith(mark))
+        return part.join(vecs, "src").select("dst", "vec")
+
+    messages = sent(edges.rest, vectors)
+    if edges.hot is not None:
+        few = vectors.join(F.broadcast(edges.hot), "src", "left_semi")
+        messages = messages.unionByName(sent(edges.near, F.broadcast(few)))
+    sums = messages.groupBy(F.col("dst").alias("node_id")).agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col("vec")[i].cast("double")).alias(f"s{i}") for i in range(dim)],
-    )
-    return sums.select(
-        "node_id", "n", F.array(*[(F.col(f"s{i}") / F.col("n")).cast("float") for i in range(dim)]).alias("vec")
+        *[F.expr(f"sum(cast(vec[{i}] AS double)) AS s{i}") for i in range(dim)],
     )
+    return sums.select("node_id", _floats([f"s{i} / n" for i in range(dim)]).alias("vec"))
 
 
-def _unit(vec: Column) -> Column:
-    """L2-normalised vector; a zero vector stays zero."""
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(vec, lambda x: F.coalesce(x.cast("double") / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
+def _norm(dim: int) -> Column:
+    return F.expr("sqrt(" + " + ".join(f"cast(vec[{i}] AS double) * vec[{i}]" for i in range(dim)) + ")")
 
 
 def fastrp(
@@ -91,24 +122,29 @@ def fastrp(
         F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")),
     )
     undirected = cut_lineage(edges.select(F.inline(pair)))
-    degrees = undirected.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    degrees = cut_lineage(
+        undirected.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    )
+    spread = _spread(undirected, degrees)
     vectors = start_vectors(degrees, dim, norm, seed)
-    wanted = nodes.filter(F.col("node_type") == node_type).select("node_id")
-    zero = F.array(*[F.lit(0.0)] * dim)
-    parts = wanted.select("node_id", zero.alias("part"))
+    nothing = F.lit(None).cast("array<float>")
+    parts = nodes.filter(F.col("node_type") == node_type).select(
+        "node_id", nothing.alias("vec"), F.lit(0.0).alias("scale")
+    )
     mark = f"{node_type}:"
     last = max((k for k, w in enumerate(weights) if w), default=-1)
     for k, weight in enumerate(weights[: last + 1]):
-        targets = undirected if k < last else undirected.filter(F.col("dst").startswith(mark))
-        vectors = cut_lineage(_neighbour_mean(targets, vectors, dim))
+        receivers = None if k < last else mark
+        vectors = cut_lineage(_neighbour_mean(spread, vectors, dim, receivers))
         if weight:
             own = vectors.filter(F.col("node_id").startswith(mark))
-            scaled = F.transform(_unit(F.col("vec")), lambda x: x * F.lit(float(weight)))
-            parts = parts.unionByName(own.select("node_id", scaled.alias("part")))
-    return (
-        parts.groupBy("node_id")
-        .agg(*[F.sum(F.col("part")[i]).alias(f"s{i}") for i in range(dim)])
-        .select("node_id", F.array(*[F.col(f"s{i}").cast("float") for i in range(dim)]).alias("embedding"))
+            scale = F.lit(float(weight)) / F.nullif(_norm(dim), F.lit(0.0))
+            parts = parts.unionByName(own.select("node_id", "vec", scale.alias("scale")))
+    summed = parts.groupBy("node_id").agg(
+        *[F.expr(f"sum(cast(vec[{i}] AS double) * scale) AS s{i}") for i in range(dim)]
+    )
+    return summed.select(
+        "node_id", _floats([f"coalesce(s{i}, 0D)" for i in range(dim)]).alias("embedding")
     )
 
 

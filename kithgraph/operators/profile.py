@@ -142,11 +142,11 @@ def centroid_quality(emb: DataFrame, dim: int, label: str = "isFraud") -> DataFr
 
     The means combine map-side; what meets in one task is one centroid pair.
     """
-    columns = []
-    for cls in (1, 0):
-        for i in range(dim):
-            value = F.when(F.col(label) == cls, F.col("embedding")[i].cast("double"))
-            columns.append(F.avg(value).alias(f"c{cls}_{i}"))
+    columns = [
+        F.expr(f"avg(CASE WHEN {label} = {cls} THEN cast(embedding[{i}] AS double) END) AS c{cls}_{i}")
+        for cls in (1, 0)
+        for i in range(dim)
+    ]
     means = emb.filter(F.col(label).isNotNull()).agg(*columns)
     pair = means.select(
         F.array(*[f"c1_{i}" for i in range(dim)]).alias("a"),

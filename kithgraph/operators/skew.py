@@ -56,14 +56,17 @@ def slice_hot(
     time: str,
     seconds: int = SLICE_SECONDS,
     min_rows: int = SLICE_MIN_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame | None:
     """Add `_hot` and `_slice`: a time slice for hot keys, 0 for all others.
 
     Slices depend on the row's own time only, so a recomputed task cuts the same way. None
-    if no key is hot, in which case a plain window over `keys` is balanced.
+    if no key is hot, in which case a plain window over `keys` is balanced. `counts` may
+    hold the rows per key as `_n` if there is a cheaper way to count them.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = hot_rows(counts, "_n", min_rows=min_rows)
     if hot is None:
         return None

@@ -178,30 +178,20 @@ def rolling_entity_rate(
     """
     entity = ["rel_type", "key"]
     fraud = N.is_fraud("isFraud").cast("bigint")
-    one = F.lit(1).cast("bigint")
-    nothing = F.lit(0).cast("bigint")
-    no_id = F.lit(None).cast("bigint")
-    changes = F.array(
-        F.struct((F.col("transactionDT") + 1).alias("t"), one.alias("dn"), fraud.alias("df")),
-        F.struct(
-            (F.col("transactionDT") + lookback_s + 1).alias("t"), (-one).alias("dn"), (-fraud).alias("df")
-        ),
-    )
-    moves = (
-        links.select(*entity, F.inline(changes))
-        .groupBy(*entity, "t")
-        .agg(F.sum("dn").alias("dn"), F.sum("df").alias("df"))
-        .withColumn("transactionId", no_id)
-    )
-    asks = links.select(
-        *entity,
-        F.col("transactionDT").alias("t"),
-        nothing.alias("dn"),
-        nothing.alias("df"),
-        "transactionId",
+    one, nothing = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    t, no_id = F.col("transactionDT"), F.lit(None).cast("bigint")
+
+    def step(at, dn, df, tx_id):
+        return F.struct(at.alias("t"), dn.alias("dn"), df.alias("df"), tx_id.alias("transactionId"))
+
+    steps = F.array(
+        step(t + 1, one, fraud, no_id),
+        step(t + lookback_s + 1, -one, -fraud, no_id),
+        step(t, nothing, nothing, F.col("transactionId")),
     )
-    rows, sums = moves.unionByName(asks), {"n": "dn", "f": "df"}
-    sliced = slice_hot(rows, entity, "t", seconds, min_rows)
+    rows, sums = links.select(*entity, F.inline(steps)), {"n": "dn", "f": "df"}
+    counts = links.groupBy(*entity).agg(F.count(F.lit(1)).alias("_n"))
+    sliced = slice_hot(rows, entity, "t", seconds, min_rows, counts)
     if sliced is None:
         summed = running_sums(rows, entity, None, "t", sums)
     else:

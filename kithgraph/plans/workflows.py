@@ -46,15 +46,18 @@ def load_graph(tx: DataFrame, identity: DataFrame, path: str, version: int = 2)
 def features(
     tx: DataFrame, identity: DataFrame, version: int = 2, **scope
 ) -> DataFrame:
-    """Feature frame of the first or second layout under a label scope."""
+    """Feature frame of the first or second layout under a label scope.
+
+    The links are read several times, so they are written once.
+    """
     joined = G.join_identity(tx, identity)
     ids = tx.select(F.col("TransactionID").cast("bigint").alias("transactionId"))
     if version == 1:
-        found = G.links(joined, G.V1_RELS)
+        found = cut_lineage(G.links(joined, G.V1_RELS))
         parts = C.wcc(G.to_edges(found), G.build_nodes(tx, found))
         labels = tx.select(F.col("TransactionID").alias("transactionId"), "isFraud")
         return Fe.feature_frame_v1(ids, found, C.component_features(parts, labels), **scope)
-    found = G.links(joined, G.V2_RELS)
+    found = cut_lineage(G.links(joined, G.V2_RELS))
     chain = W.prev_features(W.previous_on_card(tx))
     return Fe.feature_frame_v2(ids, found, chain, **scope)
 
