@@ -79,11 +79,11 @@ def feature_matrix(g: Given):
 SMALL = {"maxIter": 8, "maxDepth": 4, "stepSize": 0.3, "maxBins": 32}
 
 
-def _experiment(g: Given):
+def _experiment(g: Given, **options):
     """Graph-enhanced model without embeddings, entity rates from training labels."""
     features = workflows.features(g.tx, g.identity, label_scope="train", split_dt=SPLIT)
     dataset = cut_lineage(Fe.attach_features(g.joined, features))
-    return workflows.run_experiment(dataset, ("tabular", "graph"), SPLIT, **SMALL)
+    return workflows.run_experiment(dataset, ("tabular", "graph"), SPLIT, **options, **SMALL)
 
 
 @query("m4_train_gbt")
@@ -92,6 +92,12 @@ def train_gbt(g: Given):
     return _experiment(g).metrics
 
 
+@query("m4_train_gbt_tuned")
+def train_gbt_tuned(g: Given):
+    """Stopped on average precision and tuned on the first half of the later period."""
+    return _experiment(g, tune_dt=SPLIT + 3 * 86_400, stop_on_ap=True).metrics
+
+
 @query("m5_score")
 def score(g: Given):
     return _experiment(g).predictions

@@ -195,14 +195,16 @@ def metrics_at(pred: DataFrame, threshold: float) -> DataFrame:
     return _rows(curve, ["roc_auc", "pr_auc"]).unionByName(_rows(at, names))
 
 
-def metrics_from(pred: DataFrame, start: int = SWEEP[0], stop: int = SWEEP[1]) -> DataFrame:
-    """All metrics at the model's own best threshold, with that threshold as a metric."""
-    best = best_threshold(threshold_sweep(pred, start, stop))
-    chosen = best.select(F.col("threshold").alias("value"))
-    cut = best.select("threshold").scalar()
-    return metrics_at(pred, cut).unionByName(
-        chosen.select(F.lit("threshold").alias("metric"), F.col("value").cast("double"))
-    )
+def metrics_from(
+    pred: DataFrame, start: int = SWEEP[0], stop: int = SWEEP[1], tune: DataFrame | None = None
+) -> DataFrame:
+    """All metrics at the best threshold, with that threshold as a metric.
+
+    The threshold comes from `tune`, or from the scored rows themselves as published.
+    """
+    best = best_threshold(threshold_sweep(pred if tune is None else tune, start, stop))
+    chosen = best.select(F.lit("threshold").alias("metric"), F.col("threshold").cast("double").alias("value"))
+    return metrics_at(pred, best.select("threshold").scalar()).unionByName(chosen)
 
 
 def _rows(one: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -166,9 +166,13 @@ def centroid_quality(emb: DataFrame, dim: int, label: str = "isFraud") -> DataFr
 def class_histogram(df: DataFrame, column: str, bins: int = 30, label: str = "isFraud") -> DataFrame:
     """Equal-width histogram of a feature per class over the class's own range, as densities.
 
-    There is one range row per class value, which is what the broadcast holds.
+    Classes are 0 and 1, so the broadcast holds at most two range rows.
     """
-    values = df.select(F.col(label).alias("label"), F.col(column).cast("double").alias("v")).dropna()
+    values = (
+        df.filter(F.col(label).isin(0, 1))
+        .select(F.col(label).alias("label"), F.col(column).cast("double").alias("v"))
+        .dropna()
+    )
     ranges = values.groupBy("label").agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("total")
     )
@@ -182,7 +186,7 @@ def class_histogram(df: DataFrame, column: str, bins: int = 30, label: str = "is
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     spot = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     counts = (
-        values.join(ranges, "label")
+        values.join(F.broadcast(ranges), "label")
         .groupBy(
             "label", "lo", "hi", "total", F.least(spot, F.lit(bins - 1)).cast("bigint").alias("bin")
         )

@@ -9,6 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kithgraph.functions.normalize import is_fraud
+from kithgraph.operators.evaluate import SLICES
+from kithgraph.operators.skew import running_sums
 from kithgraph.operators.stats import class_balance
 from kithgraph.session import cut_lineage
 
@@ -63,11 +66,62 @@ def train_gbt(
     return estimator.fit(marked)
 
 
-def score(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
-    """(TransactionID, isFraud, proba) with the probability of fraud."""
-    return model.transform(df).select(
-        "TransactionID", "isFraud", vector_to_array("probability")[1].alias("proba")
+def score(model: GBTClassificationModel, df: DataFrame, trees: int | None = None) -> DataFrame:
+    """(TransactionID, isFraud, proba) with the probability of fraud, from the first `trees` trees."""
+    if trees is None:
+        proba = vector_to_array("probability")[1]
+        return model.transform(df).select("TransactionID", "isFraud", proba.alias("proba"))
+    margins = _margins(model, df, trees)
+    return margins.select("TransactionID", "isFraud", _proba(F.col("margins")[trees - 1]).alias("proba"))
+
+
+def _proba(margin):
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))
+
+
+def _margins(model: GBTClassificationModel, df: DataFrame, trees: int) -> DataFrame:
+    """(TransactionID, isFraud, margins): the sum of the tree outputs after each tree."""
+    for i, tree in enumerate(model.trees[:trees]):
+        df = tree.setPredictionCol(f"_tree{i}").transform(df)
+    total, sums = None, []
+    for i, weight in enumerate(model.treeWeights[:trees]):
+        part = F.col(f"_tree{i}") * F.lit(float(weight))
+        total = part if total is None else F.col(f"_sum{i - 1}") + part
+        df = df.withColumn(f"_sum{i}", total)
+        sums.append(f"_sum{i}")
+    return df.select("TransactionID", "isFraud", F.array(*sums).alias("margins"))
+
+
+def ap_by_iteration(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
+    """(iteration, pr_auc): average precision after each tree, all iterations in one pass."""
+    margins = _margins(model, df.filter(F.col("isFraud").isNotNull()), len(model.trees))
+    long = margins.select("isFraud", F.posexplode("margins").alias("i", "margin")).select(
+        (F.col("i") + 1).alias("iteration"), "isFraud", _proba(F.col("margin")).alias("proba")
     )
+    hist = long.groupBy("iteration", "proba").agg(
+        F.sum(is_fraud()).cast("bigint").alias("pos"),
+        F.sum(F.lit(1) - is_fraud()).cast("bigint").alias("neg"),
+    )
+    sliced = hist.withColumn("_slice", F.floor(F.col("proba") * SLICES))
+    summed = running_sums(
+        sliced, ["iteration"], "_slice", "proba", {"tp": "pos", "fp": "neg"}, descending=True
+    )
+    gain = F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
+    return summed.groupBy("iteration").agg((gain / F.nullif(F.sum("pos"), F.lit(0))).alias("pr_auc"))
+
+
+def best_iteration(curve: DataFrame, patience: int = 50) -> int:
+    """The iteration with the best average precision seen before `patience` rounds without a better one.
+
+    The curve has one row per tree, so reading it to the driver is bounded by the model.
+    """
+    best, best_ap = 1, -1.0
+    for row in curve.orderBy("iteration").collect():
+        if row["iteration"] - best > patience:
+            break
+        if row["pr_auc"] is not None and row["pr_auc"] > best_ap:
+            best, best_ap = row["iteration"], row["pr_auc"]
+    return best
 
 
 def importance_table(

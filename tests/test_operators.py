@@ -13,7 +13,7 @@ from kithgraph.operators import encode as E
 from kithgraph.operators import evaluate as V
 from kithgraph.operators import features as Fe
 from kithgraph.operators import profile as D
-from kithgraph.operators import skew
+from kithgraph.operators import sampling, skew
 from kithgraph.operators import stats as S
 from kithgraph.operators import temporal as W
 from kithgraph.operators import train as M
@@ -257,6 +257,24 @@ def test_model_beats_a_constant_and_repeats(spark):
     base = val.agg(F.avg(F.col("isFraud").cast("double"))).first()[0]
     assert V.average_precision(one).first()[0] > 1.5 * base
     assert rows(one) == rows(two)
+    model = M.train_gbt(train, val, **small)
+    curve = {r.iteration: r.pr_auc for r in M.ap_by_iteration(model, val).collect()}
+    assert sorted(curve) == list(range(1, len(model.trees) + 1))
+    for k in (1, len(model.trees)):
+        assert curve[k] == pytest.approx(V.average_precision(M.score(model, val, k)).first()[0])
+    full = {r.TransactionID: r.proba for r in one.collect()}
+    assert all(full[r.TransactionID] == pytest.approx(r.proba) for r in M.score(model, val, len(model.trees)).collect())
+    best = M.best_iteration(M.ap_by_iteration(model, val))
+    assert curve[best] == max(curve.values()) and all(curve[k] < curve[best] for k in range(1, best))
+
+
+def test_sample_is_the_first_rows_by_hash(spark):
+    import hashlib
+
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    want = sorted(range(5000), key=lambda k: hashlib.md5(f"{k}|42".encode()).hexdigest())
+    assert [r.k for r in sampling.seeded_sample(df, "k", 700).collect()] == want[:700]
+    assert sampling.seeded_sample(df, "k", 9000).count() == 5000
 
 
 def test_plans_stay_in_the_jvm_and_prune_columns(g):
