@@ -47,7 +47,7 @@ class Given:
 
     @cached_property
     def links(self) -> DataFrame:
-        return G.links(self.joined)
+        return G.links_of(self.tx, self.identity)
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -78,7 +78,7 @@ class Given:
         return given.predictions(self.tx)
 
     def rel(self, *rel_types: str) -> DataFrame:
-        return G.links(self.joined, rel_types)
+        return G.links_of(self.tx, self.identity, rel_types)
 
 
 class Query(NamedTuple):

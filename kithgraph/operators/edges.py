@@ -32,6 +32,7 @@ RELS = {
 }
 V1_RELS = ("USED_CARD", "PAYER_EMAIL", "RECIPIENT_EMAIL", "BILLED_TO", "USED_DEVICE")
 V2_RELS = (*V1_RELS, "HAS_OS_BROWSER", "VIA_PROXY")
+IDENTITY_RELS = ("USED_DEVICE", "HAS_OS_BROWSER", "VIA_PROXY")  # keys from the identity table
 HUB_RELS = ("IN_PRODUCT", "ON_NETWORK", "IN_TIME_BUCKET")
 CHAIN = "PREV_ON_CARD"
 TRANSACTION = "Transaction"
@@ -113,6 +114,21 @@ def links(joined: DataFrame, rel_types: Sequence[str] = V2_RELS, unique_ids: boo
     return out if unique_ids else out.dropDuplicates(["transactionId", "rel_type", "key"])
 
 
+def links_of(tx: DataFrame, identity: DataFrame, rel_types: Sequence[str] = V2_RELS) -> DataFrame:
+    """Links straight from the two tables, with no more joining than the types need.
+
+    Types with keys in `tx` take one scan and no shuffle. Identity types join the few
+    payload columns to identity rows only.
+    """
+    own = [r for r in rel_types if r not in IDENTITY_RELS]
+    side = [r for r in rel_types if r in IDENTITY_RELS]
+    if not side:
+        return links(tx, own)
+    payload = tx.select("TransactionID", "TransactionDT", "TransactionAmt", "isFraud")
+    found = links(payload.join(identity, "TransactionID"), side)
+    return links(tx, own).unionByName(found) if own else found
+
+
 def build_edges(joined: DataFrame, *rel_types: str) -> DataFrame:
     """Distinct edges of the given types as (src, dst, rel_type, dt_gap_seconds)."""
     found = links(joined, rel_types or V2_RELS).select("transactionId", "rel_type", "key").distinct()

@@ -106,18 +106,16 @@ def neighbourhood(tx: DataFrame, links: DataFrame, tx_id: int) -> DataFrame:
         "USED_DEVICE": "transactions_on_same_device",
     }
     found = two_hop(links.filter(F.col("rel_type").isin(*names)), tx_id).agg(
-        *[
-            F.count(F.when(F.col("rel_type") == rel, 1)).alias(name)
-            for rel, name in names.items()
-        ]
+        F.struct(
+            *[F.count(F.when(F.col("rel_type") == rel, 1)).alias(name) for rel, name in names.items()]
+        ).alias("counts")
     )
-    found = found.withColumn("source_transaction", F.lit(tx_id).cast("bigint"))
-    own = lookup(tx, "TransactionID", tx_id).select(
+    return lookup(tx, "TransactionID", tx_id).select(
         F.col("TransactionID").alias("source_transaction"),
         F.col("isFraud").alias("is_fraud"),
         F.col("TransactionAmt").alias("amount"),
-    )
-    return own.join(found, "source_transaction", "left")
+        found.scalar().alias("counts"),
+    ).select("source_transaction", "is_fraud", "amount", "counts.*")
 
 
 def optional_match(left: DataFrame, links: DataFrame, rel_type: str, name: str) -> DataFrame:

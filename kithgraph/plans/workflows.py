@@ -31,7 +31,7 @@ def graph_of(tx: DataFrame, identity: DataFrame, version: int = 2, window_hours:
     Both come from the links, which are written once; the rest is not yet computed.
     """
     rels = G.V1_RELS if version == 1 else G.V2_RELS
-    found = cut_lineage(G.links(G.join_identity(tx, identity), rels))
+    found = cut_lineage(G.links_of(tx, identity, rels))
     edges = G.to_edges(found)
     if version == 2:
         edges = G.union_edges(edges, G.chain_edges(W.prev_on_card(tx, window_hours)))
@@ -53,14 +53,13 @@ def features(
 
     The links are read several times, so they are written once.
     """
-    joined = G.join_identity(tx, identity)
     ids = tx.select(F.col("TransactionID").cast("bigint").alias("transactionId"))
     if version == 1:
-        found = cut_lineage(G.links(joined, G.V1_RELS))
+        found = cut_lineage(G.links_of(tx, identity, G.V1_RELS))
         parts = C.wcc(G.to_edges(found), G.build_nodes(tx, found))
         labels = tx.select(F.col("TransactionID").alias("transactionId"), "isFraud")
         return Fe.feature_frame_v1(ids, found, C.component_features(parts, labels), **scope)
-    found = cut_lineage(G.links(joined, G.V2_RELS))
+    found = cut_lineage(G.links_of(tx, identity))
     chain = W.prev_features(W.previous_on_card(tx))
     return Fe.feature_frame_v2(ids, found, chain, **scope)
 

@@ -281,6 +281,10 @@ def test_plans_stay_in_the_jvm_and_prune_columns(g):
     for df in (S.entity_stats(g.links), W.prev_on_card(g.tx), g.features, Q.compromised_cards(g.rel("USED_CARD"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    plan = Q.compromised_cards(g.rel("USED_CARD"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 3  # events, customer, nation: no identity join
+    plan = Q.neighbourhood(g.tx, g.links, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
     plan = Q.overview(g.tx)._jdf.queryExecution().executedPlan().toString()
     assert "c_acctbal" not in plan and "c_name" not in plan
     pushed = Q.lookup(g.tx, "TransactionID", 4)._jdf.queryExecution().executedPlan().toString()
