@@ -17,6 +17,7 @@ from kithgraph.operators.skew import attach
 from kithgraph.session import cut_lineage
 
 MAX_ROUNDS = 40
+FEW_EDGES = 1_000_000  # so few edges fit a handful of tasks whatever their keys
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:
@@ -26,8 +27,15 @@ def _oriented(pairs: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _round(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step; `moved` marks edges that changed."""
+def _round(edges: DataFrame, few: bool) -> DataFrame:
+    """One large-star and one small-star step; `moved` marks edges that changed.
+
+    `few` says that the edges were counted and are too few for a key to be hot.
+    """
+
+    def placed(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
+        return rows.join(least, key) if few else attach(rows, least, [key], "n", "inner")
+
     # Large star: the larger neighbours of a node link to the smallest node around it.
     both = F.array(
         F.struct(F.col("parent").alias("node"), F.col("parent").alias("near"), F.lit(1).alias("up")),
@@ -40,13 +48,13 @@ def _round(edges: DataFrame) -> DataFrame:
         .filter("n > 0")
     )
     large = (
-        attach(edges.withColumnRenamed("parent", "node"), least, ["node"], "n", "inner")
+        placed(edges.withColumnRenamed("parent", "node"), least, "node")
         .groupBy("child", F.col("least").alias("parent"))
         .agg(F.max(F.when(F.col("least") != F.col("node"), 1).otherwise(0)).alias("moved"))
     )
     # Small star: a node and its smaller neighbours link to the smallest of them.
     least = large.groupBy("child").agg(F.min("parent").alias("least"), F.count(F.lit(1)).alias("n"))
-    near = attach(large, least, ["child"], "n", "inner")
+    near = placed(large, least, "child")
     changed = F.greatest(
         F.col("moved"), F.when(F.col("parent") != F.col("least"), 1).otherwise(0)
     )
@@ -64,10 +72,12 @@ def _round(edges: DataFrame) -> DataFrame:
 
 def star_components(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(child, parent) with the smallest member of its component for every other node in `pairs`."""
-    edges = cut_lineage(_oriented(pairs).withColumn("moved", F.lit(1)))
+    edges = cut_lineage(_oriented(pairs))
+    count = edges.count()
     for _ in range(max_rounds):
-        edges = cut_lineage(_round(edges.select("child", "parent")))
-        if edges.filter("moved = 1").isEmpty():
+        edges = cut_lineage(_round(edges.select("child", "parent"), count <= FEW_EDGES))
+        count, moved = edges.agg(F.count(F.lit(1)), F.max("moved")).first()
+        if not moved:
             return edges.select("child", "parent")
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
@@ -77,8 +87,10 @@ def wcc(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_
 
     Ids are strings. Nodes without edges, if given, form components of their own.
     """
-    edges = cut_lineage(edges.select("src", "dst").distinct())
-    # Representative of each source; sources are transactions, so no group is large.
+    # Partitioned by source once: representatives and their join need no further shuffle.
+    # Sources are transactions, so no group is large; repeated edges change nothing.
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = cut_lineage(edges.select("src", "dst").repartition(parts, "src"))
     rep = edges.groupBy("src").agg(F.min("dst").alias("rep"))
     pairs = edges.join(rep, "src").select(F.col("rep").alias("a"), F.col("dst").alias("b"))
     # A source that is also a target (a chain edge) must stay in the contracted graph.

@@ -104,7 +104,9 @@ def union_find(pairs, nodes):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_components_against_union_find(spark, seed):
+@pytest.mark.parametrize("few", [0, C.FEW_EDGES])
+def test_components_against_union_find(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(C, "FEW_EDGES", few)
     rng = random.Random(seed)
     pairs = [(f"Transaction:{i}", f"Card:{rng.randrange(60)}") for i in range(0, 80, 2)]
     pairs += [(f"Transaction:{i}", f"Transaction:{i + rng.choice([1, 2])}") for i in range(80, 140, rng.choice([1, 3]))]
@@ -234,6 +236,15 @@ def test_graph_round_trip_prunes_types(spark, g, tmp_path):
     assert "PartitionFilters: [isnotnull(rel_type" in plan
 
 
+def test_stored_links_get_their_payload_back(g):
+    stored = g.links.select("transactionId", "rel_type", "key")
+    assert rows(S.link(stored, g.tx)) == rows(g.links)
+    joined = G.links(g.joined)
+    assert rows(joined) == rows(g.links)
+    twice = G.links(g.joined.unionByName(g.joined), unique_ids=False)
+    assert twice.count() == joined.count()
+
+
 def test_early_limit_of_chain_edges_is_ordered(g):
     all_rows = W.previous_on_card(g.tx).orderBy(F.col("card").cast("long"), "prev_dt", "prev_id").limit(7)
     assert rows(W.prev_on_card(g.tx, limit=7)) == rows(all_rows.select("prev_id", "curr_id", "dt_gap_seconds"))
