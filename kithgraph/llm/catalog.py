@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from kithgraph.llm import line_dedup, mixing
+from kithgraph.llm import decontaminate, line_dedup, mixing, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
