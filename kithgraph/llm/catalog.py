@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kithgraph.llm import decontaminate, line_dedup, mixing, quality, toxicity
+from kithgraph.llm import decontaminate, line_dedup, mixing, near_dedup, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
