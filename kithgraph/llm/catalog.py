@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from kithgraph.llm import decontaminate, line_dedup, mixing, near_dedup, quality, toxicity
+from kithgraph.llm import decontaminate, line_dedup, mixing, near_dedup, quality, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_token_files": token_files.op5_token_files,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
+    "op3_url_filter": url_filter.SQL,
     "op6_mix_sources": mixing.SQL,
 }
