@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kithgraph.llm import decontaminate, line_dedup, mixing, near_dedup, quality, token_files, toxicity, url_filter
+from kithgraph.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_token_files": token_files.op5_token_files,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
 }
