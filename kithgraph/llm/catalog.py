@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kithgraph.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, token_files, toxicity, url_filter
+from kithgraph.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, substring_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_html_extract": html_extract.op7_html_extract,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
