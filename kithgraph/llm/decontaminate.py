@@ -13,8 +13,6 @@ both count; an empty benchmark hits nothing; an empty document table gives no ro
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -185,6 +183,17 @@ def spans(hit: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarr
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int64)))
 
 
+def scan_slice(column: pa.Array, blocks: list):
+    """(n_words, n_hit, item ids, hit byte ranges) of each text."""
+    h, starts, ends, first = normal_words(column)
+    hit = np.zeros(len(h), dtype=bool)
+    found: list[set[str]] = [set() for _ in range(len(column))]
+    for block in blocks:
+        block.value.scan(h, first, hit, found)
+    _, offsets = B.flat(column)
+    return np.diff(first), B.sums_by(hit, first), found, spans(hit, first, starts, ends, offsets)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs' doc_id and text with n_words, n_hit, items (sorted ids) and hit byte ranges."""
     blocks = blocks_of(benchmark, window)
@@ -192,19 +201,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     def run(batches):
         for batch in batches:
             for part in B.slices(batch, "text"):
-                h, starts, ends, first = normal_words(part.column("text"))
-                hit = np.zeros(len(h), dtype=bool)
-                found: list[set[str]] = [set() for _ in range(part.num_rows)]
-                for block in blocks:
-                    block.value.scan(h, first, hit, found)
-                _, offsets = B.flat(part.column("text"))
+                n_words, n_hit, found, hits = scan_slice(part.column("text"), blocks)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns,
-                        pa.array(np.diff(first)),
-                        pa.array(B.sums_by(hit, first)),
+                        pa.array(n_words),
+                        pa.array(n_hit),
                         pa.array([sorted(x) for x in found], pa.list_(pa.string())),
-                        spans(hit, first, starts, ends, offsets),
+                        hits,
                     ],
                     [*part.schema.names, "n_words", "n_hit", "items", "hits"],
                 )
@@ -213,30 +217,44 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return docs.mapInArrow(run, f"{schema}, n_words long, n_hit long, items array<string>, hits array<long>")
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_hit: float = 0.5) -> DataFrame:
-    """`docs` (doc_id, text, ...) without hit spans; documents hit beyond `most_hit` of their words go.
+def remove_contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_hit: float = 0.5
+) -> DataFrame:
+    """`docs` without their hit stretches; documents hit in more than `most_hit` of their words go.
 
-    Cutting a span leaves the text on both sides joined by one space.
+    What is left on both sides of a cut is joined by a line break. Documents without hits
+    stay as they are; `n_chars`, if there is one, follows the text where it was cut.
     """
-    found = find_contamination(docs, benchmark, window)
+    blocks = blocks_of(benchmark, window)
+    names = docs.columns
 
-    def cut(batches):
-        for batch in batches:
-            texts = []
-            for text, hits in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-                if hits:
-                    raw, edges = text.encode(), [0, *hits, len(text.encode())]
-                    kept = [raw[a:b].decode().strip() for a, b in zip(edges[::2], edges[1::2], strict=True)]
-                    text = " ".join(x for x in kept if x)
-                texts.append(text)
-            columns = [
-                pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names)
+    def cut(text: str, edges: list[int]) -> str:
+        raw = text.encode()
+        edges = [0, *edges, len(raw)]
+        parts = [raw[a:b].decode().strip() for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        return "\n".join(x for x in parts if x)
 
-    names = docs.columns
-    clean = found.filter((F.col("n_hit") == 0) | (F.col("n_hit") <= most_hit * F.col("n_words")))
-    return clean.mapInArrow(cut, docs.schema)
+    def run(batches):
+        for batch in batches:
+            for part in B.slices(batch, "text"):
+                n_words, n_hit, _, hits = scan_slice(part.column("text"), blocks)
+                stay = np.flatnonzero((n_hit == 0) | (n_hit <= most_hit * n_words))
+                part, changed = part.take(pa.array(stay)), np.flatnonzero(n_hit[stay] > 0).tolist()
+                columns = dict(zip(part.schema.names, part.columns, strict=True))
+                if changed:
+                    texts = part.column("text").to_pylist()
+                    edges = hits.take(pa.array(stay)).to_pylist()
+                    sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else None
+                    for i in changed:
+                        texts[i] = cut(texts[i], edges[i])
+                        if sizes:
+                            sizes[i] = len(texts[i])
+                    columns["text"] = pa.array(texts, columns["text"].type)
+                    if sizes:
+                        columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +268,3 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
-
-
-def sha(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -20,7 +20,7 @@ gives the same mix.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kithgraph.session import cut_lineage
@@ -131,27 +131,17 @@ def pareto_copies(rows: DataFrame, targets: DataFrame, top_ups: int = TOP_UPS) -
     return every.withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
 
 
+def _uniform() -> Column:
+    """A number between 0 and 1 from a hash of id, source and text."""
+    parts = (F.col("doc_id").cast("string"), F.col("source"), F.col("text"))
+    seed = F.md5(F.encode(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in parts]), "UTF-8"))
+    return (F.conv(F.substring(seed, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(2.0**52)
+
+
 def draw(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, u): words and a uniform number from a hash of the row."""
-    text = F.coalesce("text", F.lit(""))
-    seed = F.md5(
-        F.encode(
-            F.concat_ws(
-                "|",
-                F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-                F.coalesce("source", F.lit("")),
-                text,
-            ),
-            "UTF-8",
-        )
-    )
-    whole = F.conv(F.substring(seed, 1, 13), 16, 10).cast("long")
-    return docs.select(
-        "doc_id",
-        "source",
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-        ((whole + F.lit(0.5)) / F.lit(2.0**52)).alias("u"),
-    )
+    """(doc_id, source, size, u): words and the uniform number of each row."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    return docs.select("doc_id", "source", size.cast("long").alias("size"), _uniform().alias("u"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -161,6 +151,26 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return pareto_copies(rows, cut_lineage(source_targets(sizes, weights, most)))
 
 
+def repeat_to_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it.
+
+    Equal rows are one row with the sum of their copies.
+    """
+    name = "_" + "_".join(docs.columns)  # a name that no column has
+    key, other, copies, rank = (f"{name}{i}" for i in range(4))
+    taken = (
+        mix_sources(docs, weights, most)
+        .groupBy(F.col("u").alias(other), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"))
+        .agg(F.sum("copies").alias(copies))
+        .filter(F.col(copies) > 0)
+    )
+    marked = docs.withColumns({key: _uniform(), name: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))})
+    same = (F.col(key) == F.col(other)) & (F.col(name) == F.col("_id"))
+    first = Window.partitionBy(key, name).orderBy(F.lit(0))
+    one = marked.join(taken, same).withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1)
+    return one.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(rank)).drop(rank)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return mix_sources(docs).select(

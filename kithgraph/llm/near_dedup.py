@@ -1,6 +1,6 @@
 """MinHash near-dedup with an LSH forest: sorted signature orders, neighbours as candidates.
 
-1. Every text becomes its set of 3-word shingles (64-bit hashes), a MinHash signature of
+1. Every text becomes its set of word shingles (64-bit hashes), a MinHash signature of
    `TREES` x `DEPTH` numbers and a sketch of two bits of each. Equal sets collapse to one
    representative (128-bit hash of the set), so a group of copies of any size is one row.
 2. Each tree orders the representatives by its `DEPTH` numbers. Neighbours in a sorted
@@ -14,8 +14,8 @@
    partner of each row, then whatever still lies between different components.
 4. Components by alternating large-star and small-star rounds.
 
-Defined cases: a text without words has an empty set and is linked to nothing; fewer than
-three words make one shingle of the whole sequence; a null doc_id ranks after all others
+Defined cases: a text without words has an empty set and is linked to nothing; fewer
+words than a shingle has make one shingle of the whole sequence; a null doc_id ranks after all others
 (its component_id is null if nothing smaller is reachable); rows with the same doc_id are
 separate texts under one id; equal rows get equal results.
 """
@@ -24,19 +24,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kithgraph.llm import textbytes as B
 from kithgraph.operators.components import star_components
 from kithgraph.session import cut_lineage, scratch_path
 
-WIDTH = 3
-THRESHOLD = 85  # per cent
+WIDTH = 5
+THRESHOLD = 80  # per cent
 TREES, DEPTH = 16, 8
 LEAST_PREFIX = 2
 NEIGHBOURS = 3  # rows on each side of a row in each order
-SKETCH_CUT = 0.66  # estimated similarity; five standard deviations under 0.85
+SLACK = 0.19  # of the sketches' estimate, some five standard deviations at 0.8
 LAST_ID = 2**63 - 1
 _MULTIPLIERS = (B.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADDENDS = (B.mix(np.arange(1001, TREES * DEPTH + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -107,13 +107,13 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[start : start + len(column) * width].reshape(-1, width)
 
 
-def summaries(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def summaries(docs: DataFrame, width: int, id_col: str = "doc_id") -> DataFrame:
     """(node, n_shingles, s1, s2, sig, sketch); texts without words have no sig."""
 
     def run(batches):
         for batch in batches:
             for part in B.slices(batch, "text"):
-                hashes, first = shingle_sets(part.column("text"))
+                hashes, first = shingle_sets(part.column("text"), width)
                 n = np.diff(first)
                 total = B.sums_by(hashes.view(np.int64), first)  # wraps, as is meant
                 other = B.sums_by(B.mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).view(np.int64), first)
@@ -153,7 +153,7 @@ def _pairs(tree, key, node, size, sketch, threshold: int, neighbours: int, fresh
         differ = sketch[a] ^ sketch[b]
         either = (np.unpackbits(differ, axis=1).reshape(len(a), TREES * DEPTH, 2).any(axis=2)).sum(axis=1)
         estimate = 1 - either / (TREES * DEPTH) * 4 / 3
-        near = estimate >= SKETCH_CUT
+        near = estimate >= threshold / 100 - SLACK
         out.append((node[a[near]], node[b[near]], estimate[near]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -240,13 +240,13 @@ def candidates(reps: DataFrame, threshold: int = THRESHOLD, neighbours: int = NE
     return both.filter("a <> b").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, shingles): the whole sets of the documents named in `nodes`."""
 
     def run(batches):
         for batch in batches:
             for part in B.slices(batch, "text"):
-                hashes, first = shingle_sets(part.column("text"))
+                hashes, first = shingle_sets(part.column("text"), width)
                 sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), sets], ["node", "shingles"])
 
@@ -263,11 +263,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> Da
     return joined.filter(100 * F.col("common") >= threshold * union).select("a", "b")
 
 
-def components_of(docs: DataFrame, reps: DataFrame, threshold: int, neighbours: int) -> DataFrame:
+def components_of(docs: DataFrame, reps: DataFrame, width: int, threshold: int, neighbours: int) -> DataFrame:
     """(child, parent): the smallest linked representative of every other one that has links."""
     pairs = cut_lineage(candidates(reps, threshold, neighbours))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut_lineage(full_sets(docs, nodes))
+    sets = cut_lineage(full_sets(docs, nodes, width))
     # First the most alike partner of each row: these links join nearly all groups.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     sure = cut_lineage(confirm(best.select("a", "b"), sets, threshold))
@@ -290,18 +290,22 @@ def components_of(docs: DataFrame, reps: DataFrame, threshold: int, neighbours:
 
 
 def near_groups(
-    docs: DataFrame, threshold: int = THRESHOLD, neighbours: int = NEIGHBOURS, id_col: str = "doc_id"
+    docs: DataFrame,
+    width: int = WIDTH,
+    threshold: int = THRESHOLD,
+    neighbours: int = NEIGHBOURS,
+    id_col: str = "doc_id",
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of `docs` (doc_id, text)."""
     path = scratch_path(docs.sparkSession, "shingles")
-    summaries(docs, id_col).write.parquet(path)
+    summaries(docs, width, id_col).write.parquet(path)
     rows = docs.sparkSession.read.parquet(path)
     key = ["n_shingles", "s1", "s2"]
     full = rows.filter("n_shingles > 0")
     groups = full.groupBy(*key).agg(F.min("node").alias("node"))
     reps = full.join(groups, [*key, "node"], "left_semi").dropDuplicates(["node", "s1", "s2"])
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("node"), "text")
-    parents = components_of(named, reps, threshold, neighbours)
+    parents = components_of(named, reps, width, threshold, neighbours)
     groups = groups.join(parents.withColumnRenamed("child", "node"), "node", "left").select(
         *key, F.coalesce("parent", "node").alias("component")
     )
@@ -316,5 +320,18 @@ def near_groups(
     )
 
 
+def remove_near_copies(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """One row of `docs` for each group: that with the smallest doc_id, of several the smallest text."""
+    kept = near_groups(docs.select("doc_id", "text"), width, threshold).filter("kept").select("doc_id").distinct()
+    name = "_" + "_".join(docs.columns)  # a name that no column has
+    known = kept.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias(name))
+    marked = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
+    one = Window.partitionBy(name).orderBy(F.xxhash64("text"))
+    rank = name + "_"
+    stay = marked.join(known, name, "left_semi").withColumn(rank, F.row_number().over(one))
+    return stay.filter(F.col(rank) == 1).select(*docs.columns)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_groups(docs, width=3, threshold=85)

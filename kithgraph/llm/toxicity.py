@@ -268,18 +268,24 @@ def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")), F.lit(FOLDS)) == 0
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """`docs` (doc_id, text, ...) with `score`, whatever the other columns."""
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, score_col: str = "score") -> DataFrame:
+    """`docs` (doc_id, text, ...) with a score, whatever the other columns."""
     model = fit_in_task(labelled_sample(docs, labels, "toxic", sample, ~held_out()), fit)
 
     def run(batches):
         for batch in batches:
             for part in B.slices(batch, "text"):
                 columns = [*part.columns, pa.array(score(model, part.column("text")))]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, score_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, _score double")
+    return docs.mapInArrow(run, f"{schema}, `{score_col}` double")
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, reject_from: float = 0.5) -> DataFrame:
+    """The rows of `docs` that score less than `reject_from`."""
+    mark = "_" + "_".join(docs.columns)  # a name that no column has
+    return toxicity(docs, labels, score_col=mark).filter(F.col(mark) < reject_from).select(*docs.columns)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,6 +294,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id",
         held_out().alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
