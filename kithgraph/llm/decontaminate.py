@@ -197,6 +197,7 @@ def scan_slice(column: pa.Array, blocks: list):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs' doc_id and text with n_words, n_hit, items (sorted ids) and hit byte ranges."""
     blocks = blocks_of(benchmark, window)
+    docs = docs.select("doc_id", "text")
 
     def run(batches):
         for batch in batches:

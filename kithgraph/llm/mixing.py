@@ -157,15 +157,15 @@ def repeat_to_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     Equal rows are one row with the sum of their copies.
     """
     name = "_" + "_".join(docs.columns)  # a name that no column has
-    key, other, copies, rank = (f"{name}{i}" for i in range(4))
+    key, other, copies, rank, number = (f"{name}{i}" for i in range(5))
     taken = (
         mix_sources(docs, weights, most)
-        .groupBy(F.col("u").alias(other), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"))
+        .groupBy(F.col("u").alias(other), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias(number))
         .agg(F.sum("copies").alias(copies))
         .filter(F.col(copies) > 0)
     )
     marked = docs.withColumns({key: _uniform(), name: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))})
-    same = (F.col(key) == F.col(other)) & (F.col(name) == F.col("_id"))
+    same = (F.col(key) == F.col(other)) & (F.col(name) == F.col(number))
     first = Window.partitionBy(key, name).orderBy(F.lit(0))
     one = marked.join(taken, same).withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1)
     return one.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(rank)).drop(rank)
