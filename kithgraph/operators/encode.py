@@ -10,21 +10,11 @@ from pyspark.sql import functions as F
 
 from kithgraph.operators.skew import attach, running_sums
 from kithgraph.session import cut_lineage
+from kithgraph.sources.tables import IDENTITY_CATEGORIES, TRANSACTION_CATEGORIES
 
 MISSING = "__missing__"
 SENTINEL = -999.0  # raw "no value"; -1 already means "no entity data"
 MAX_BROADCAST_CODES = 200_000
-PREFIX = 3
-
-# The text columns that are encoded.
-TRANSACTION_CATEGORIES = (
-    "ProductCD", "card4", "card6", "P_emaildomain", "R_emaildomain",
-    "M1", "M2", "M3", "M4", "M5", "M6", "M7", "M8", "M9",
-)
-IDENTITY_CATEGORIES = (
-    "id_12", "id_15", "id_16", "id_23", "id_27", "id_28", "id_29", "id_30", "id_31",
-    "id_33", "id_34", "id_35", "id_36", "id_37", "id_38", "DeviceType", "DeviceInfo",
-)
 
 
 def categories(df: DataFrame, wanted: Sequence[str] | None = None) -> list[str]:
@@ -50,15 +40,17 @@ def fit_encoder(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, value, code): codes count from 0 in the order of the values.
 
     A missing value is a value of its own and always has a code, also in columns without
-    nulls. The rank is a running sum cut by the value's first characters, so a column of
-    very many values is not ranked in one task.
+    nulls. The rank is a running sum over ranges of the sorted values, so a column of very
+    many values, whatever they begin with, is not ranked in one task.
     """
     spark = df.sparkSession
     reserved = spark.range(1).select(
         F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"), F.lit(MISSING).alias("value")
     )
     values = _long(df, columns).unionByName(reserved).distinct()
-    sliced = values.withColumns({"_slice": F.substring("value", 1, PREFIX), "_one": F.lit(1)})
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = values.repartitionByRange(parts, "column_name", "value")
+    sliced = cut_lineage(ranges.withColumns({"_slice": F.spark_partition_id(), "_one": F.lit(1)}))
     ranked = running_sums(sliced, ["column_name"], "_slice", "value", {"rank": "_one"})
     return ranked.select("column_name", "value", (F.col("rank") - 1).cast("bigint").alias("code"))
 
@@ -67,18 +59,18 @@ def encode(
     df: DataFrame,
     encoder: DataFrame,
     columns: Sequence[str],
-    key: str = "TransactionID",
     max_codes: int = MAX_BROADCAST_CODES,
 ) -> DataFrame:
     """Replace text by codes; a value the encoder has not seen takes the missing code.
 
     The encoder is counted first. Up to `max_codes` entries it is broadcast column by
     column and the rows are not moved; beyond that the cells meet it in a shuffle join.
+    Both ways give the same rows, whatever ids they have.
     """
     encoder = cut_lineage(encoder)
     if encoder.count() <= max_codes:
         return _encode_in_place(df, encoder, columns)
-    return _encode_by_shuffle(df, encoder, columns, key)
+    return _encode_by_shuffle(df, encoder, columns)
 
 
 def _encode_in_place(df: DataFrame, encoder: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -97,7 +89,10 @@ def _encode_in_place(df: DataFrame, encoder: DataFrame, columns: Sequence[str])
     return df.select(*order)
 
 
-def _encode_by_shuffle(df: DataFrame, encoder: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+def _encode_by_shuffle(df: DataFrame, encoder: DataFrame, columns: Sequence[str]) -> DataFrame:
+    key = "_row"  # a number of the row, stored with it, since ids may repeat or be missing
+    order = df.columns
+    df = cut_lineage(df.withColumn(key, F.monotonically_increasing_id()))
     cells = _long(df, columns, key)
     sizes = cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     known = sizes.join(encoder, ["column_name", "value"], "left")
@@ -112,7 +107,7 @@ def _encode_by_shuffle(df: DataFrame, encoder: DataFrame, columns: Sequence[str]
     wide = coded.groupBy(key).agg(
         *[F.max(F.when(F.col("column_name") == c, F.col("code"))).alias(c) for c in columns]
     )
-    return df.drop(*columns).join(wide, key, "left").select(*df.columns)
+    return df.drop(*columns).join(wide, key, "left").select(*order)
 
 
 def feature_matrix(

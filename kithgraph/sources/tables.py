@@ -10,14 +10,16 @@ from pyspark.sql import types as T
 
 NA_TEXT = ("", "NA", "NaN", "nan", "null", "None", "N/A")  # text that stands for a missing value
 
-# Types of the raw columns; every other column is a number.
-TEXT_COLUMNS = (
+# The text columns of the raw tables; every other column is a number.
+TRANSACTION_CATEGORIES = (
     "ProductCD", "card4", "card6", "P_emaildomain", "R_emaildomain",
     "M1", "M2", "M3", "M4", "M5", "M6", "M7", "M8", "M9",
+)
+IDENTITY_CATEGORIES = (
     "id_12", "id_15", "id_16", "id_23", "id_27", "id_28", "id_29", "id_30", "id_31",
     "id_33", "id_34", "id_35", "id_36", "id_37", "id_38", "DeviceType", "DeviceInfo",
-    "data_split",
 )
+TEXT_COLUMNS = (*TRANSACTION_CATEGORIES, *IDENTITY_CATEGORIES, "data_split")
 LONG_COLUMNS = ("TransactionID", "TransactionDT", "card1")
 INT_COLUMNS = ("isFraud",)
 
@@ -46,18 +48,20 @@ def read_table(
 ) -> DataFrame:
     """Read a headered CSV or Parquet table.
 
-    CSV values that stand for "missing" become null whatever the column type. `columns`
+    CSV values that stand for "missing" become null whatever the column type. CSV columns
+    are found by name, in any order; one that is not there raises an error. `columns`
     narrows the scan; `limit` takes the first rows by `key`.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
+        # Columns go by their name in the header; a part with another header is an error.
+        raw = spark.read.csv(path, header=True, enforceSchema=False)
         if schema is None:
-            header = spark.read.option("header", True).csv(path).columns
-            schema = pinned_schema(header)
-        raw = spark.read.schema(
-            T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-        ).csv(path, header=True)
+            schema = pinned_schema(raw.columns)
+        absent = [f.name for f in schema if f.name not in raw.columns]
+        if absent:
+            raise ValueError(f"{path} has no column {', '.join(absent)}")
         typed = []
         for f in schema:
             value = F.when(~F.trim(f.name).isin(*NA_TEXT), F.col(f.name))
@@ -137,10 +141,14 @@ def upsert_nodes(existing: DataFrame, incoming: DataFrame, key: str, version: st
 def upsert_edges(existing: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
     """Add edges that do not exist yet; an existing edge keeps its property.
 
-    Of several incoming rows for one edge the first by `order` is created.
+    Of several incoming rows for one edge the first by `order` is created, a null order
+    counting as the last; ties go to the smallest properties.
     """
     ends = ["src", "dst", "rel_type"]
     props = [c for c in existing.columns if c not in ends]
     new = incoming.join(existing.select(*ends), ends, "left_anti")
-    first = new.groupBy(*ends).agg(F.min_by(F.struct(*props), F.col(order)).alias("_row"))
+    if not props:
+        return existing.unionByName(new.select(*ends).distinct())
+    rank = F.struct(F.col(order).isNull().alias("_late"), F.col(order).alias("_order"), *props)
+    first = new.groupBy(*ends).agg(F.min_by(F.struct(*props), rank).alias("_row"))
     return existing.unionByName(first.select(*ends, "_row.*"))
