@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kithgraph.catalog.registry import Given, over, query
 from kithgraph.operators import edges as G
+from kithgraph.plans import workflows
 from kithgraph.operators import temporal as W
 
 
@@ -61,7 +62,8 @@ def build_nodes(g: Given):
 )
 def project_v1(g: Given):
     labels = ["Transaction", "Card", "EmailDomain", "BillingAddress", "Device"]
-    return G.projection_counts(*G.project(g.nodes, g.edges, labels, G.V1_RELS))
+    found = g.rel(*G.V1_RELS)
+    return G.projection_counts(*G.project(G.build_nodes(g.tx, found), G.to_edges(found), labels, G.V1_RELS))
 
 
 @query(
@@ -132,8 +134,20 @@ def edge_stats(g: Given):
     ),
 )
 def union_edges(g: Given):
-    sets = [G.build_edges(g.joined, r) for r in G.V1_RELS]
-    return G.union_edges(*sets).select("src", "dst", "rel_type")
+    own, side = G.to_edges(g.rel(*G.V1_RELS[:-1])), G.to_edges(g.rel(G.V1_RELS[-1]))
+    return G.union_edges(own, side).select("src", "dst", "rel_type")
+
+
+@query(
+    "g_unlabelled_edges",
+    over(
+        "all_edges",
+        sql="SELECT src, dst, rel_type, dt_gap_seconds FROM all_edges WHERE rel_type <> 'HAS_OS_BROWSER'",
+    ),
+)
+def unlabelled_edges(g: Given):
+    """The graph of transactions without labels, with an identity table that lacks columns."""
+    return workflows.graph_of(g.tx.drop("isFraud"), g.identity.drop("id_30", "id_31", "DeviceType")).edges
 
 
 @query(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kithgraph.catalog.registry import SPLIT, Given, over, query
+from kithgraph.catalog.registry import FEATURES, SPLIT, Given, over, query
 from kithgraph.operators import edges as G
 from kithgraph.operators import embed as X
 from kithgraph.operators import features as Fe
 from kithgraph.operators import stats as S
 from kithgraph.operators import temporal as W
 from kithgraph.plans import questions as Q
+from kithgraph.plans import workflows
 
 
 @query(
@@ -72,39 +73,23 @@ def feature_frame_v2(g: Given):
     return g.features
 
 
-_TRAIN_STATS = f"""
+_TRAIN_FEATURES = f"""
 train_stats AS (
   SELECT rel_type, key, count(*) AS tx_count, CAST(sum(isFraud) AS BIGINT) AS fraud_count,
     CAST(sum(isFraud) AS DOUBLE) / count(*) AS fraud_rate
-  FROM links WHERE dt <= {SPLIT} GROUP BY rel_type, key)"""
-
-
-def _scoped(sql_stats: str) -> str:
-    entities = (("card", "USED_CARD", "card_key"), ("device", "USED_DEVICE", "device_key"))
-    return (
-        'SELECT k.TransactionID AS "transactionId", '
-        + ", ".join(
-            f"CAST(coalesce(s_{p}.tx_count, 0) AS DOUBLE) AS {p}_tx_count,"
-            f" CAST(coalesce(s_{p}.fraud_count, 0) AS DOUBLE) AS {p}_fraud_count,"
-            f" coalesce(s_{p}.fraud_rate, -1.0) AS {p}_fraud_rate"
-            for p, _, _ in entities
-        )
-        + " FROM keys k "
-        + " ".join(
-            f"LEFT JOIN {sql_stats} s_{p} ON s_{p}.rel_type = '{r}' AND s_{p}.key = k.{key}"
-            for p, r, key in entities
-        )
-    )
+  FROM links WHERE dt <= {SPLIT} GROUP BY rel_type, key),
+train_chain AS (SELECT * REPLACE (CASE WHEN prev_dt <= {SPLIT} THEN prev_is_fraud END AS prev_is_fraud) FROM chain),""" + (
+    FEATURES.replace("stats s_", "train_stats s_").replace("JOIN chain c", "JOIN train_chain c").replace("features AS", "train_features AS")
+)
 
 
-@query("j5_features_train_scope", over("links", extra=_TRAIN_STATS, sql=_scoped("train_stats")))
+@query(
+    "j5_features_train_scope",
+    over("links", "chain", "keys", extra=_TRAIN_FEATURES, sql="SELECT * FROM train_features"),
+)
 def features_train_scope(g: Given):
-    """Rates from training labels only; an entity first seen later has rate -1."""
-    frames = [
-        S.entity_features(g.rel(r), r, label_scope="train", split_dt=SPLIT)
-        for r in ("USED_CARD", "USED_DEVICE")
-    ]
-    return Fe.combine_features(frames, g.ids)
+    """All features from training labels only; an entity first seen later has rate -1."""
+    return workflows.features(g.tx, g.identity, label_scope="train", split_dt=SPLIT)
 
 
 @query(
@@ -145,7 +130,7 @@ def two_hop(g: Given):
     over("keys", sql='SELECT TransactionID AS "transactionId", isFraud, device_key AS device FROM keys'),
 )
 def optional_match(g: Given):
-    return Q.optional_match(g.labels, g.links, "USED_DEVICE", "device")
+    return Q.optional_match(g.labels, g.rel("USED_DEVICE"), "USED_DEVICE", "device")
 
 
 @query(
@@ -157,7 +142,7 @@ FROM keys WHERE card_key IS NOT NULL AND payer_key IS NOT NULL""",
     ),
 )
 def co_occurrence(g: Given):
-    return Q.co_occurrence(g.rel("USED_CARD", "PAYER_EMAIL"), "USED_CARD", "PAYER_EMAIL")
+    return Q.co_occurrence(g.tx, "USED_CARD", "PAYER_EMAIL")
 
 
 @query(

@@ -14,7 +14,7 @@ from kithgraph.plans import workflows
 from kithgraph.session import cut_lineage, scratch_path
 from kithgraph.sources import tables as T
 
-CATS = ["ProductCD", "card4", "card6", "P_emaildomain", "R_emaildomain", "M1", "DeviceType", "DeviceInfo", "id_30", "id_31"]
+CATS = ["ProductCD", "card4", "card6", "P_emaildomain", "R_emaildomain", "M1", "DeviceType", "DeviceInfo", "id_23", "id_30", "id_31"]
 
 _ENCODER = (
     "\nvals AS (SELECT DISTINCT column_name, value FROM ("

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kithgraph.catalog.registry import SPLIT, Given, over, query
+from kithgraph.operators import edges as G
 from kithgraph.plans import questions as Q
 
 
@@ -66,7 +67,7 @@ def email_concentration(g: Given):
     ),
 )
 def neighbourhood(g: Given):
-    return Q.neighbourhood(g.tx, g.links, 4)
+    return Q.neighbourhood(g.tx, g.rel("USED_CARD", "PAYER_EMAIL", "USED_DEVICE"), 4)
 
 
 @query(
@@ -89,7 +90,7 @@ ORDER BY fraud_txns DESC, card, email_domain LIMIT 10""",
     ),
 )
 def card_email_amplification(g: Given):
-    return Q.card_email_amplification(g.rel("USED_CARD", "PAYER_EMAIL"))
+    return Q.card_email_amplification(g.tx)
 
 
 @query(
@@ -117,7 +118,7 @@ def high_value_devices(g: Given):
     ),
 )
 def graph_summary(g: Given):
-    return Q.graph_summary(g.tx, g.links)
+    return Q.graph_summary(g.tx, g.rel("USED_CARD", "PAYER_EMAIL", "RECIPIENT_EMAIL", "USED_DEVICE"))
 
 
 @query(
@@ -171,3 +172,22 @@ def risk_lookup(g: Given):
     """Later transactions against a table made from the earlier ones."""
     before = g.links.filter(f"transactionDT <= {SPLIT}")
     return Q.risk_lookup(Q.risk_table(before), g.links.filter(f"transactionDT > {SPLIT}"))
+
+
+@query(
+    "q13_risk_lookup_unlabelled",
+    over(
+        "links",
+        extra=f"""
+known AS (SELECT rel_type, key, count(*) AS tx_count, CAST(sum(isFraud) AS DOUBLE) / count(*) AS fraud_rate
+  FROM links WHERE dt <= {SPLIT} GROUP BY rel_type, key)""",
+        sql=f"""SELECT l.transactionId, l.rel_type, l.key, coalesce(k.tx_count, 0) AS tx_count, coalesce(k.fraud_rate, -1.0) AS fraud_rate
+FROM links l LEFT JOIN known k ON k.rel_type = l.rel_type AND k.key = l.key
+WHERE l.dt > {SPLIT} AND l.rel_type NOT IN ('USED_DEVICE', 'HAS_OS_BROWSER', 'VIA_PROXY')""",
+    ),
+)
+def risk_lookup_unlabelled(g: Given):
+    """New transactions without labels and without an identity table."""
+    before = g.links.filter(f"transactionDT <= {SPLIT}")
+    new = g.tx.drop("isFraud").filter(f"TransactionDT > {SPLIT}")
+    return Q.risk_lookup(Q.risk_table(before), G.links_of(new, None))

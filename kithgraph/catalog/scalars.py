@@ -173,10 +173,10 @@ def fill_missing(g: Given):
     from kithgraph.operators import stats as S
     from kithgraph.operators import temporal as W
 
-    device = S.entity_features(g.links, "USED_DEVICE").select(
+    device = S.entity_features(g.rel("USED_DEVICE"), "USED_DEVICE").select(
         "transactionId", "device_tx_count", "device_fraud_rate"
     )
-    proxy = S.proxy_features(g.links).select("transactionId", "is_proxy")
+    proxy = S.proxy_features(g.rel("VIA_PROXY")).select("transactionId", "is_proxy")
     gap = W.prev_features(g.chain).select("transactionId", "prev_card_dt_gap")
     out = g.ids
     for frame in (device, proxy, gap):

@@ -29,13 +29,9 @@ _V1_CC = (
     " ('USED_CARD', 'PAYER_EMAIL', 'RECIPIENT_EMAIL', 'BILLED_TO', 'USED_DEVICE')),"
     + _CC.format(edges="v1_edges")
 )
-# A sparse subset with many components: devices and proxies of fraud transactions only.
-_SPARSE = (
-    "\nsparse_edges AS (SELECT e.src, e.dst FROM chain_edges e JOIN chain c"
-    " ON e.src = 'Transaction:' || c.prev_id AND e.dst = 'Transaction:' || c.curr_id WHERE c.dt_gap_seconds <= 14400"
-    " UNION ALL SELECT src, dst FROM edges WHERE rel_type = 'USED_DEVICE' AND dst LIKE 'Device:SM-%'),"
-    + _CC.format(edges="sparse_edges")
-)
+_ALL_CC = "\neight AS (SELECT src, dst FROM all_edges)," + _CC.format(edges="eight")
+_CHAIN_CC = "\nchains AS (SELECT src, dst FROM chain_edges)," + _CC.format(edges="chains")
+_DEVICE_CC = "\ndevices AS (SELECT src, dst FROM edges WHERE rel_type = 'USED_DEVICE')," + _CC.format(edges="devices")
 
 
 def _v1(g: Given):
@@ -43,12 +39,9 @@ def _v1(g: Given):
     return C.wcc(G.to_edges(found), G.build_nodes(g.tx, found))
 
 
-def _sparse(g: Given):
-    """Short-gap chains and phone devices: long paths and many components."""
-    chain = g.chain.filter(F.col("dt_gap_seconds") <= 14_400)
-    phones = g.rel("USED_DEVICE").filter(F.col("key").startswith("SM-"))
-    edges = G.union_edges(G.chain_edges(chain), G.to_edges(phones))
-    return C.wcc(edges, g.nodes)
+def _devices(g: Given):
+    """Transactions joined by their devices: many components."""
+    return C.wcc(G.to_edges(g.rel("USED_DEVICE")), g.nodes)
 
 
 @query(
@@ -61,33 +54,42 @@ def wcc(g: Given):
 
 @query(
     "x1_wcc_chains",
-    over("nodes", extra=_SPARSE, recursive=True, sql="SELECT node AS node_id, comp AS component_id FROM cc"),
+    over("nodes", extra=_CHAIN_CC, recursive=True, sql="SELECT node AS node_id, comp AS component_id FROM cc"),
 )
 def wcc_chains(g: Given):
-    return _sparse(g)
+    """Long paths: every card is a chain of its transactions, cut at gaps of a day."""
+    return C.wcc(G.chain_edges(g.chain), g.nodes)
+
+
+@query(
+    "x1_wcc_eight_types",
+    over("nodes", extra=_ALL_CC, recursive=True, sql="SELECT node AS node_id, comp AS component_id FROM cc"),
+)
+def wcc_eight_types(g: Given):
+    return C.wcc(g.graph.edges, g.graph.nodes)
 
 
 @query(
     "a10_component_stats",
     over(
         "nodes",
-        extra=_SPARSE,
+        extra=_DEVICE_CC,
         recursive=True,
         sql="""SELECT cid AS "componentId", n AS component_size, f AS component_fraud_count,
   CAST(f AS DOUBLE) / n AS component_fraud_rate FROM sizes""",
     ),
 )
 def component_stats(g: Given):
-    return C.component_stats(C.transaction_components(_sparse(g)), g.labels)
+    return C.component_stats(C.transaction_components(_devices(g)), g.labels)
 
 
 _ATTACHED = """SELECT tid AS "transactionId", m.cid AS "componentId", n AS component_size, f AS component_fraud_count,
   CAST(f AS DOUBLE) / n AS component_fraud_rate FROM members m JOIN sizes s ON s.cid = m.cid"""
 
 
-@query("j12_attach_component_stats", over("nodes", extra=_SPARSE, recursive=True, sql=_ATTACHED))
+@query("j12_attach_component_stats", over("nodes", extra=_DEVICE_CC, recursive=True, sql=_ATTACHED))
 def attach_component_stats(g: Given):
-    own = C.transaction_components(_sparse(g))
+    own = C.transaction_components(_devices(g))
     return C.attach_component_stats(own, C.component_stats(own, g.labels))
 
 

@@ -18,6 +18,7 @@ from kithgraph.session import cut_lineage
 
 MAX_ROUNDS = 40
 FEW_EDGES = 1_000_000  # so few edges fit a handful of tasks whatever their keys
+EDGES_PER_FILE = 100_000
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:
@@ -75,7 +76,10 @@ def star_components(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame
     edges = cut_lineage(_oriented(pairs))
     count = edges.count()
     for _ in range(max_rounds):
-        edges = cut_lineage(_round(edges.select("child", "parent"), count <= FEW_EDGES))
+        after = _round(edges.select("child", "parent"), count <= FEW_EDGES)
+        if count <= FEW_EDGES:  # a round does not add edges: keep small rounds in few files
+            after = after.coalesce(max(1, -(-count // EDGES_PER_FILE)))
+        edges = cut_lineage(after)
         count, moved = edges.agg(F.count(F.lit(1)), F.max("moved")).first()
         if not moved:
             return edges.select("child", "parent")

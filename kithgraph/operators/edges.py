@@ -67,9 +67,20 @@ def node_type_of(rel_type: Column | str) -> Column:
     return out
 
 
-def join_identity(tx: DataFrame, identity: DataFrame) -> DataFrame:
+def with_absent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`df` with those of `columns` that it lacks, as nulls."""
+    return df.withColumns({c: F.lit(None).cast("string") for c in columns if c not in df.columns})
+
+
+def label_of(df: DataFrame) -> Column:
+    """The label, null for tables without one."""
+    return (F.col("isFraud") if "isFraud" in df.columns else F.lit(None)).cast("int").alias("isFraud")
+
+
+def join_identity(tx: DataFrame, identity: DataFrame | None) -> DataFrame:
     """Transactions with their identity columns, if any, and the `has_identity` flag."""
-    joined = tx.join(identity, "TransactionID", "left")
+    joined = tx if identity is None else tx.join(identity, "TransactionID", "left")
+    joined = with_absent(joined, ["DeviceType"])
     return joined.withColumn("has_identity", N.has_identity("DeviceType"))
 
 
@@ -80,7 +91,7 @@ def transaction_nodes(joined: DataFrame) -> DataFrame:
         N.safe_float("TransactionDT").alias("transactionDT"),
         N.safe_float("TransactionAmt").alias("transactionAmt"),
         N.safe_str("ProductCD").alias("productCD"),
-        F.col("isFraud").cast("int").alias("isFraud"),
+        label_of(joined),
         N.safe_str("card4").alias("card4"),
         N.safe_str("card6").alias("card6"),
         N.safe_float("addr1").alias("addr1"),
@@ -94,13 +105,15 @@ def links(joined: DataFrame, rel_types: Sequence[str] = V2_RELS, unique_ids: boo
     """One row per (transaction, entity) with the transaction's time, amount and label.
 
     All types come out of one scan. `unique_ids` states that TransactionID is a key of the
-    input, in which case links are distinct already and need no shuffle.
+    input, in which case links are distinct already and need no shuffle. The label and the
+    keys' columns may be missing.
     """
+    joined = with_absent(joined, [c for r in rel_types for c in RELS[r].columns])
     payload = [
         F.col("TransactionID").cast("bigint").alias("transactionId"),
         F.col("TransactionDT").cast("bigint").alias("transactionDT"),
         F.col("TransactionAmt").cast("double").alias("transactionAmt"),
-        F.col("isFraud").cast("int").alias("isFraud"),
+        label_of(joined),
     ]
     if len(rel_types) == 1:
         rel = rel_types[0]
@@ -114,25 +127,30 @@ def links(joined: DataFrame, rel_types: Sequence[str] = V2_RELS, unique_ids: boo
     return out if unique_ids else out.dropDuplicates(["transactionId", "rel_type", "key"])
 
 
-def links_of(tx: DataFrame, identity: DataFrame, rel_types: Sequence[str] = V2_RELS) -> DataFrame:
+def links_of(
+    tx: DataFrame, identity: DataFrame | None, rel_types: Sequence[str] = V2_RELS, unique_ids: bool = True
+) -> DataFrame:
     """Links straight from the two tables, with no more joining than the types need.
 
     Types with keys in `tx` take one scan and no shuffle. Identity types join the few
-    payload columns to identity rows only.
+    payload columns to identity rows only; without an identity table they have no links.
+    With `unique_ids` off a transaction that was loaded twice still links once.
     """
     own = [r for r in rel_types if r not in IDENTITY_RELS]
     side = [r for r in rel_types if r in IDENTITY_RELS]
     if not side:
-        return links(tx, own)
-    payload = tx.select("TransactionID", "TransactionDT", "TransactionAmt", "isFraud")
-    found = links(payload.join(identity, "TransactionID"), side)
-    return links(tx, own).unionByName(found) if own else found
+        return links(tx, own, unique_ids)
+    payload = tx.select("TransactionID", "TransactionDT", "TransactionAmt", label_of(tx))
+    if identity is None:
+        found = links(payload.limit(0), side)
+    else:
+        found = links(payload.join(identity, "TransactionID"), side, unique_ids)
+    return links(tx, own, unique_ids).unionByName(found) if own else found
 
 
 def build_edges(joined: DataFrame, *rel_types: str) -> DataFrame:
-    """Distinct edges of the given types as (src, dst, rel_type, dt_gap_seconds)."""
-    found = links(joined, rel_types or V2_RELS).select("transactionId", "rel_type", "key").distinct()
-    return to_edges(found)
+    """Edges of the given types as (src, dst, rel_type, dt_gap_seconds), distinct as the ids are."""
+    return to_edges(links(joined, rel_types or V2_RELS))
 
 
 def to_edges(found: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithgraph.session import cut_lineage
+
 HOT_KEYS = 10_000
 SLICE_SECONDS = 3_600
 SLICE_MIN_ROWS = 100_000
@@ -42,6 +44,7 @@ def attach(
     shuffle join in which no key is large. Keys must not be null.
     """
     keys = list(keys)
+    small = cut_lineage(small)  # it is counted here and joined below: compute it once
     hot = hot_rows(small, n, limit)
     if hot is None:
         return big.join(small, keys, how)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.functions import normalize as N
-from kithgraph.operators.edges import node_type_of
+from kithgraph.operators.edges import entity_key, label_of, node_type_of
 from kithgraph.operators.skew import attach
 from kithgraph.operators.stats import ENTITY, attach_entity_stats, entity_stats
 
@@ -150,21 +150,22 @@ def card_cluster(links: DataFrame, card: str, n: int = 20) -> DataFrame:
     )
 
 
-def co_occurrence(links: DataFrame, rel_a: str, rel_b: str) -> DataFrame:
-    """Entity pairs met in one transaction, with the transaction: one shuffle by transaction."""
-    both = links.filter(F.col("rel_type").isin(rel_a, rel_b)).groupBy("transactionId").agg(
-        F.max(F.when(F.col("rel_type") == rel_a, F.col("key"))).alias("key_a"),
-        F.max(F.when(F.col("rel_type") == rel_b, F.col("key"))).alias("key_b"),
-        F.max("isFraud").alias("isFraud"),
+def co_occurrence(joined: DataFrame, rel_a: str, rel_b: str) -> DataFrame:
+    """Entity pairs met in one transaction, with the transaction: both keys lie in its row."""
+    both = joined.select(
+        F.col("TransactionID").cast("bigint").alias("transactionId"),
+        entity_key(rel_a).alias("key_a"),
+        entity_key(rel_b).alias("key_b"),
+        label_of(joined),
     )
     return both.filter(F.col("key_a").isNotNull() & F.col("key_b").isNotNull())
 
 
 def card_email_amplification(
-    links: DataFrame, min_tx: int = 5, min_rate: float = 0.15, k: int = 10
+    tx: DataFrame, min_tx: int = 5, min_rate: float = 0.15, k: int = 10
 ) -> DataFrame:
     """Card and payer-domain pairs with a high fraud share."""
-    pairs = co_occurrence(links, "USED_CARD", "PAYER_EMAIL")
+    pairs = co_occurrence(tx, "USED_CARD", "PAYER_EMAIL")
     stats = entity_stats(pairs, ["key_a", "key_b"]).filter(
         (F.col("tx_count") >= min_tx) & (F.col("fraud_rate") > min_rate)
     )

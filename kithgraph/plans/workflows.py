@@ -25,20 +25,25 @@ class Graph(NamedTuple):
     edges: DataFrame
 
 
-def graph_of(tx: DataFrame, identity: DataFrame, version: int = 2, window_hours: int = 24) -> Graph:
+def graph_of(
+    tx: DataFrame, identity: DataFrame | None, version: int = 2, window_hours: int = 24, unique_ids: bool = True
+) -> Graph:
     """Nodes and edges of the first (5 types) or second (8 types) graph.
 
-    Both come from the links, which are written once; the rest is not yet computed.
+    Both come from the links, which are written once; the rest is not yet computed. The
+    label, the identity table and columns of it may be missing. `unique_ids` off keeps one
+    edge per pair when a transaction comes twice.
     """
     rels = G.V1_RELS if version == 1 else G.V2_RELS
-    found = cut_lineage(G.links_of(tx, identity, rels))
+    found = cut_lineage(G.links_of(tx, identity, rels, unique_ids))
     edges = G.to_edges(found)
     if version == 2:
-        edges = G.union_edges(edges, G.chain_edges(W.prev_on_card(tx, window_hours)))
+        once = tx if unique_ids else tx.dropDuplicates(["TransactionID"])
+        edges = G.union_edges(edges, G.chain_edges(W.prev_on_card(once, window_hours)))
     return Graph(G.build_nodes(tx, found), edges)
 
 
-def load_graph(tx: DataFrame, identity: DataFrame, path: str, version: int = 2) -> DataFrame:
+def load_graph(tx: DataFrame, identity: DataFrame | None, path: str, version: int = 2) -> DataFrame:
     """Write the graph tables and return the validation counts of what was written."""
     graph = graph_of(tx, identity, version)
     T.write_graph(graph.nodes, graph.edges, path)
@@ -47,11 +52,12 @@ def load_graph(tx: DataFrame, identity: DataFrame, path: str, version: int = 2)
 
 
 def features(
-    tx: DataFrame, identity: DataFrame, version: int = 2, **scope
+    tx: DataFrame, identity: DataFrame | None, version: int = 2, **scope
 ) -> DataFrame:
     """Feature frame of the first or second layout under a label scope.
 
-    The links are read several times, so they are written once.
+    The links are read several times, so they are written once. With the training scope
+    the label of the transaction before on a card counts up to the split only, too.
     """
     ids = tx.select(F.col("TransactionID").cast("bigint").alias("transactionId"))
     if version == 1:
@@ -60,11 +66,15 @@ def features(
         labels = tx.select(F.col("TransactionID").alias("transactionId"), "isFraud")
         return Fe.feature_frame_v1(ids, found, C.component_features(parts, labels), **scope)
     found = cut_lineage(G.links_of(tx, identity))
-    chain = W.prev_features(W.previous_on_card(tx))
+    chain = W.previous_on_card(tx)
+    if scope.get("label_scope") == "train":
+        known = F.col("prev_dt") <= scope["split_dt"]
+        chain = chain.withColumn("prev_is_fraud", F.when(known, F.col("prev_is_fraud")))
+    chain = W.prev_features(chain)
     return Fe.feature_frame_v2(ids, found, chain, **scope)
 
 
-def embeddings(tx: DataFrame, identity: DataFrame, version: int = 2, **params) -> DataFrame:
+def embeddings(tx: DataFrame, identity: DataFrame | None, version: int = 2, **params) -> DataFrame:
     """(transactionId, embedding) over the chosen graph."""
     graph = graph_of(tx, identity, version)
     return X.transaction_embeddings(X.fastrp(graph.edges, graph.nodes, **params))
@@ -112,21 +122,25 @@ def run_experiment(
 
 def train_and_compare(
     tx: DataFrame,
-    identity: DataFrame,
+    identity: DataFrame | None,
     split_dt: int,
     label_scope: str = "train",
     dim: int = X.DIM,
+    version: int = 2,
+    scope: dict | None = None,
     **params,
 ) -> tuple[Experiment, Experiment, DataFrame]:
     """Tabular against graph-enhanced model on one temporal split.
 
-    Entity rates count training labels only unless `label_scope` says otherwise.
+    Entity rates count training labels only unless `label_scope` says otherwise; `scope`
+    has what that scope needs besides (`exclude_self`, `lookback_s`). `version` chooses the
+    layout of graph and features.
     """
-    scope = {"label_scope": label_scope}
+    scope = {"label_scope": label_scope, **(scope or {})}
     if label_scope == "train":
         scope["split_dt"] = split_dt
-    graph = features(tx, identity, 2, **scope)
-    emb = X.expand_embedding(embeddings(tx, identity, 2, dim=dim), dim)
+    graph = features(tx, identity, version, **scope)
+    emb = X.expand_embedding(embeddings(tx, identity, version, dim=dim), dim)
     dataset = cut_lineage(T.build_dataset(G.join_identity(tx, identity), graph, emb))
     base = run_experiment(dataset, ("tabular",), split_dt, **params)
     full = run_experiment(dataset, ("tabular", "graph", "embedding"), split_dt, **params)

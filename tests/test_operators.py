@@ -18,6 +18,7 @@ from kithgraph.operators import stats as S
 from kithgraph.operators import temporal as W
 from kithgraph.operators import train as M
 from kithgraph.plans import questions as Q
+from kithgraph.plans import workflows
 from kithgraph.sources import tables as T
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -300,3 +301,54 @@ def test_plans_stay_in_the_jvm_and_prune_columns(g):
     assert "c_acctbal" not in plan and "c_name" not in plan
     pushed = Q.lookup(g.tx, "TransactionID", 4)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(event_id,4)" in pushed
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("TransactionID,card1,TransactionDT\n1,77,500\n")
+    schema = T.pinned_schema(["TransactionDT", "TransactionID", "card1"])
+    row = T.read_table(spark, str(tmp_path / "a.csv"), schema).first()
+    assert (row.TransactionID, row.card1, row.TransactionDT) == (1, 77, 500)
+    with pytest.raises(ValueError, match="addr1"):
+        T.read_table(spark, str(tmp_path / "a.csv"), T.pinned_schema(["TransactionID", "addr1"]))
+    (tmp_path / "b.csv").write_text("card1,TransactionID,TransactionDT\n9,2,600\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        T.read_table(spark, str(tmp_path), schema).collect()
+
+
+def test_upsert_edges_keeps_properties_without_order(spark):
+    kind = "src string, dst string, rel_type string, gap int, at int"
+    none = spark.createDataFrame([], kind)
+    new = spark.createDataFrame([("a", "b", "R", 4, None), ("c", "d", "R", 2, 5), ("c", "d", "R", 1, None)], kind)
+    assert sorted(map(tuple, T.upsert_edges(none, new, "at").collect())) == [("a", "b", "R", 4, None), ("c", "d", "R", 2, 5)]
+    bare = new.select("src", "dst", "rel_type")
+    assert T.upsert_edges(bare.limit(0), bare, "src").count() == 2
+
+
+def test_encode_is_the_same_at_any_size(spark):
+    rows = [(1, "a"), (1, "b"), (None, "c"), (None, None), (2, "new")]
+    df = spark.createDataFrame(rows, "TransactionID long, c string")
+    encoder = E.fit_encoder(df.filter("c is null or c <> 'new'"), ["c"])
+    want = sorted(map(repr, [(1, 1), (1, 2), (None, 3), (None, 0), (2, 0)]))
+    for most in (10, 0):
+        assert sorted(repr(tuple(r)) for r in E.encode(df, encoder, ["c"], max_codes=most).collect()) == want
+
+
+def test_encoder_ranges_are_even(spark):
+    df = spark.range(4000).selectExpr("concat('SM-A', lpad(cast(id as string), 6, '0')) AS c")
+    codes = {r.value: r.code for r in E.fit_encoder(df, ["c"]).collect()}
+    values = sorted(codes)
+    assert [codes[v] for v in values] == list(range(4001))
+
+
+def test_graph_without_labels_or_identity(spark):
+    tx = spark.createDataFrame(
+        [(1, 10, 5.0, 7, "a.com"), (2, 20, 6.0, 7, None), (2, 20, 6.0, 7, None)],
+        "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, P_emaildomain string",
+    )
+    graph = workflows.graph_of(tx, None, unique_ids=False)
+    edges = sorted((r.src, r.dst) for r in graph.edges.collect())
+    assert edges == [
+        ("Transaction:1", "Card:7"), ("Transaction:1", "EmailDomain:a.com"),
+        ("Transaction:1", "Transaction:2"), ("Transaction:2", "Card:7"),
+    ]
+    assert workflows.features(tx.dropDuplicates(), None).count() == 2
