@@ -20,4 +20,5 @@ ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op3_url_filter": url_filter.SQL,
     "op6_mix_sources": mixing.SQL,
+    "op8_decontaminate": decontaminate.SQL,
 }

@@ -7,7 +7,8 @@ automaton and the longest match ending at each word is tracked. Where it reaches
 (10 words, or a whole shorter item) those words are hit. Words that no item contains end
 every match, so only stretches of known words are walked.
 
-Defined cases: null or empty texts have no words; a null item is no item; equal items
+Defined cases: null or empty texts have no words; a null item is no item, a null
+item_id an empty one; equal items
 both count; an empty benchmark hits nothing; an empty document table gives no rows.
 """
 
@@ -166,11 +167,11 @@ def blocks_of(benchmark: DataFrame, window: int, most: int = BLOCK_WORDS) -> lis
     out = []
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        rows = part.select(F.col("item_id").cast("string").alias("item_id"), "text").orderBy("item_id").collect()
+        rows = part.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").orderBy("item_id").collect()
         if rows:
             h, _, _, first = normal_words(pa.array([r.text for r in rows], pa.string()))
             hashes = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-            out.append(spark.sparkContext.broadcast(Block([str(r.item_id) for r in rows], hashes, window)))
+            out.append(spark.sparkContext.broadcast(Block([r.item_id for r in rows], hashes, window)))
     return out
 
 
@@ -269,3 +270,32 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+), i AS (
+  SELECT item_id::varchar AS item, w, least({WINDOW}, len(w)) AS m
+  FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), g AS (
+  SELECT DISTINCT item, m, array_to_string(w[k:k + m - 1], ' ') AS gram
+  FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM i)
+), o AS (
+  SELECT r, k, m, array_to_string(w[k:k + m - 1], ' ') AS gram
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM g))
+), f AS (
+  SELECT r, k, m, item FROM o JOIN g USING (m, gram)
+), h AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(k, k + m)) AS p FROM f) GROUP BY r
+), t AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM f) GROUP BY r
+)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
