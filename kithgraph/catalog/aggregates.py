@@ -120,10 +120,7 @@ def class_balance(g: Given):
     return S.class_balance(g.tx)
 
 
-SIGNALS = [
-    "card_fraud_rate", "recip_email_fraud_rate", "device_fraud_rate", "os_browser_fraud_rate",
-    "proxy_fraud_rate", "is_proxy", "prev_card_is_fraud", "prev_card_dt_gap",
-]
+SIGNALS = list(Fe.V2_FEATURES)
 
 
 @query(
