@@ -28,6 +28,8 @@ WINDOW = 8
 SYMBOLS = B.table(b"#*$%&|<>")
 CHAR_WIDTHS = (2, 3, 4)
 STEPS = 60
+RATE, RIDGE = 0.1, 1e-4
+COMMON = 0.2  # shares far below this count little, so that rare n-grams do not decide
 
 
 def _characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +118,7 @@ def fit(table: pa.Table) -> dict | None:
         return None
     n, size = len(y), int(feature.max()) + 1
     apart = np.arange(n) % 3 == 2  # the calibration third
-    scale = 1 / (np.sqrt(np.bincount(feature, share * share, size) / n) + 1e-3)
+    scale = 1 / (np.sqrt(np.bincount(feature, share * share, size) / n) + COMMON)
     value = share * scale[feature].astype(np.float32)
     w, bias = np.zeros(size), 0.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
@@ -124,9 +126,9 @@ def fit(table: pa.Table) -> dict | None:
     for step in range(1, STEPS + 1):
         z = np.bincount(row, w[feature] * value, n) + bias
         error = np.where(use, sigmoid(z) - y, 0) / use.sum()
-        g = np.append(np.bincount(feature, error[row] * value, size) + 1e-3 * w, error.sum())
+        g = np.append(np.bincount(feature, error[row] * value, size) + RIDGE * w, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
     z = np.bincount(row, w[feature] * value, n) + bias
     a, b = logistic(z[apart][:, None], y[apart], 0.1, prior=np.array([1.0, 0.0]))
