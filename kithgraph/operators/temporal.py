@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithgraph.functions import normalize as N
-from kithgraph.operators.skew import SLICE_MIN_ROWS, SLICE_SECONDS, running_sums, slice_hot
+from kithgraph.operators.skew import SLICE_MIN_ROWS, SLICE_SECONDS, hot_rows, running_sums, slice_hot
 
 WINDOW_HOURS = 24
 CHAIN_LENGTH = 5
@@ -172,37 +172,62 @@ def rolling_entity_rate(
 ) -> DataFrame:
     """Counts and fraud rate of an entity over the `lookback_s` seconds before each row.
 
-    A transaction enters the lookback one second after its own time and leaves it
-    `lookback_s` seconds later; the state at a row is a running sum of those changes, which
-    is cut into slices for hot entities. Rows of the same second are not seen.
+    Rows of the same second are not seen. A window does this for entities of ordinary size.
+    A hot one is first summed by second: a transaction enters the lookback one second after
+    its own time and leaves it `lookback_s` seconds later, the state at a second is a
+    running sum of those changes over slices of time, and rows look their second up. So a
+    hub has at most a few rows for each second, however many transactions fall into it.
     """
     entity = ["rel_type", "key"]
-    fraud = N.is_fraud("isFraud").cast("bigint")
-    one, nothing = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    t, no_id = F.col("transactionDT"), F.lit(None).cast("bigint")
-
-    def step(at, dn, df, tx_id):
-        return F.struct(at.alias("t"), dn.alias("dn"), df.alias("df"), tx_id.alias("transactionId"))
-
-    steps = F.array(
-        step(t + 1, one, fraud, no_id),
-        step(t + lookback_s + 1, -one, -fraud, no_id),
-        step(t, nothing, nothing, F.col("transactionId")),
+    found = links.select(
+        *entity,
+        "transactionId",
+        F.col("transactionDT").alias("t"),
+        N.is_fraud("isFraud").cast("bigint").alias("fraud"),
     )
-    rows, sums = links.select(*entity, F.inline(steps)), {"n": "dn", "f": "df"}
-    counts = links.groupBy(*entity).agg(F.count(F.lit(1)).alias("_n"))
-    sliced = slice_hot(rows, entity, "t", seconds, min_rows, counts)
-    if sliced is None:
-        summed = running_sums(rows, entity, None, "t", sums)
+    counts = found.groupBy(*entity).agg(F.count(F.lit(1)).alias("_n"))
+    hot = hot_rows(counts, "_n", min_rows=min_rows)
+    if hot is None:
+        out = _rolling(found, entity, lookback_s)
     else:
-        summed = running_sums(sliced, entity, "_slice", "t", sums, only=F.col("_hot"))
-    return summed.filter(F.col("transactionId").isNotNull()).select(
+        keys = F.broadcast(hot.select(*entity))
+        out = _rolling(found.join(keys, entity, "left_anti"), entity, lookback_s).unionByName(
+            _rolling_by_second(found.join(keys, entity, "left_semi"), entity, lookback_s, seconds)
+        )
+    return out.select(
         "transactionId",
         *entity,
         F.col("n").alias("prior_tx_count"),
-        F.col("f").alias("prior_fraud_count"),
-        N.rate(F.col("f"), F.col("n")).alias("prior_fraud_rate"),
+        F.coalesce("f", F.lit(0)).cast("bigint").alias("prior_fraud_count"),
+        N.rate(F.coalesce("f", F.lit(0)), F.col("n")).alias("prior_fraud_rate"),
+    )
+
+
+def _rolling(found: DataFrame, entity: list[str], lookback_s: int) -> DataFrame:
+    before = Window.partitionBy(*entity).orderBy("t").rangeBetween(-lookback_s, -1)
+    return found.select(
+        "transactionId", *entity, F.count(F.lit(1)).over(before).alias("n"), F.sum("fraud").over(before).alias("f")
+    )
+
+
+def _rolling_by_second(found: DataFrame, entity: list[str], lookback_s: int, seconds: int) -> DataFrame:
+    by_second = found.groupBy(*entity, "t").agg(F.count(F.lit(1)).alias("n"), F.sum("fraud").alias("f"))
+    t, nothing = F.col("t"), F.lit(0).cast("bigint")
+
+    def step(at, dn, df):
+        return F.struct(at.alias("t"), dn.alias("dn"), df.alias("df"))
+
+    steps = F.array(
+        step(t, nothing, nothing),
+        step(t + 1, F.col("n"), F.col("f")),
+        step(t + lookback_s + 1, -F.col("n"), -F.col("f")),
+    )
+    changes = by_second.select(*entity, F.inline(steps)).groupBy(*entity, "t").agg(
+        F.sum("dn").alias("dn"), F.sum("df").alias("df")
     )
+    sliced = changes.withColumn("_slice", F.floor(t / F.lit(seconds)))
+    state = running_sums(sliced, entity, "_slice", "t", {"n": "dn", "f": "df"})
+    return found.join(state.select(*entity, "t", "n", "f"), [*entity, "t"]).select("transactionId", *entity, "n", "f")
 
 
 def order_within(df: DataFrame, card: str, dt: str, key: str) -> DataFrame:

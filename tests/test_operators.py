@@ -352,3 +352,17 @@ def test_graph_without_labels_or_identity(spark):
         ("Transaction:1", "Transaction:2"), ("Transaction:2", "Card:7"),
     ]
     assert workflows.features(tx.dropDuplicates(), None).count() == 2
+
+
+def test_rolling_rate_of_a_hub_in_one_hour(spark):
+    rng = random.Random(3)
+    rows = [(i, "hub" if i % 3 else f"k{i % 7}", rng.randrange(3600), rng.randrange(2)) for i in range(3000)]
+    links = spark.createDataFrame(rows, "transactionId long, key string, transactionDT long, isFraud int").selectExpr(
+        "'R' AS rel_type", "*"
+    )
+    plain, by_second = (
+        sorted(map(tuple, W.rolling_entity_rate(links, 600, min_rows=m).collect()), key=repr) for m in (10**9, 1)
+    )
+    assert plain == by_second
+    seen = [x for x in rows if x[1] == "hub" and rows[1][2] - 600 <= x[2] <= rows[1][2] - 1]
+    assert next(r for r in plain if r[0] == 1)[3:5] == (len(seen), sum(x[3] for x in seen))
