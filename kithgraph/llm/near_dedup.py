@@ -89,7 +89,7 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _sketches(sig: np.ndarray) -> np.ndarray:
     """Two bits of each number, packed."""
     low = sig.astype(np.uint32)
-    return np.packbits(np.stack([low & 1, low >> 1 & 1], axis=2).reshape(len(sig), -1).astype(np.uint8), axis=1)
+    return np.packbits(np.stack([low & 1, low >> 1 & 1], axis=2).reshape(len(sig), 2 * TREES * DEPTH).astype(np.uint8), axis=1)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -128,7 +128,7 @@ def summaries(docs: DataFrame, width: int, id_col: str = "doc_id") -> DataFrame:
                         pa.array(n.astype(np.int64)),
                         pa.array(total),
                         pa.array(other),
-                        _binary(sig.view(np.uint8).reshape(len(filled), -1)).take(take),
+                        _binary(sig.view(np.uint8).reshape(len(filled), 4 * TREES * DEPTH)).take(take),
                         _binary(_sketches(sig)).take(take),
                     ],
                     ["node", "n_shingles", "s1", "s2", "sig", "sketch"],
@@ -250,7 +250,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), sets], ["node", "shingles"])
 
-    return docs.join(nodes, "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
+    return docs.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -281,7 +281,8 @@ def components_of(docs: DataFrame, reps: DataFrame, width: int, threshold: int,
 
     tried = best.select("a", "b")
     open_pairs = rooted(rooted(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "a"), "b")
-    open_pairs = cut_lineage(open_pairs.filter(F.col("root_a") != F.col("root_b")).select("a", "b"))
+    open_pairs = open_pairs.filter(F.col("root_a") != F.col("root_b")).select("a", "b")
+    open_pairs = cut_lineage(open_pairs)
     more = cut_lineage(confirm(open_pairs, sets, threshold))
     if more.isEmpty():
         return parents
