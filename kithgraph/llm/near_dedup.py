@@ -36,6 +36,7 @@ THRESHOLD = 80  # per cent
 TREES, DEPTH = 16, 8
 LEAST_PREFIX = 2
 NEIGHBOURS = 3  # rows on each side of a row in each order
+PAIRS_PER_FILE = 4_000
 SLACK = 0.19  # of the sketches' estimate, some five standard deviations at 0.8
 LAST_ID = 2**63 - 1
 _MULTIPLIERS = (B.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -266,11 +267,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> Da
 def components_of(docs: DataFrame, reps: DataFrame, width: int, threshold: int, neighbours: int) -> DataFrame:
     """(child, parent): the smallest linked representative of every other one that has links."""
     pairs = cut_lineage(candidates(reps, threshold, neighbours))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = max(1, min(parts, -(-pairs.count() // PAIRS_PER_FILE)))  # small tables in few files
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut_lineage(full_sets(docs, nodes, width))
     # First the most alike partner of each row: these links join nearly all groups.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-    sure = cut_lineage(confirm(best.select("a", "b"), sets, threshold))
+    sure = cut_lineage(confirm(best.select("a", "b"), sets, threshold).coalesce(files))
     parents = star_components(sure)
     # Then what is left between different components.
     up = parents.select(F.col("child").alias("node"), "parent")
@@ -282,8 +285,8 @@ def components_of(docs: DataFrame, reps: DataFrame, width: int, threshold: int,
     tried = best.select("a", "b")
     open_pairs = rooted(rooted(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "a"), "b")
     open_pairs = open_pairs.filter(F.col("root_a") != F.col("root_b")).select("a", "b")
-    open_pairs = cut_lineage(open_pairs)
-    more = cut_lineage(confirm(open_pairs, sets, threshold))
+    open_pairs = cut_lineage(open_pairs.coalesce(files))
+    more = cut_lineage(confirm(open_pairs, sets, threshold).coalesce(files))
     if more.isEmpty():
         return parents
     links = parents.select(F.col("child").alias("a"), F.col("parent").alias("b")).unionByName(more)
