@@ -6,7 +6,8 @@ miss no match:
 1. Anchors. In each stretch of `LENGTH` bytes the gram of `GRAM` bytes with the smallest
    hash (the leftmost of equals) is its anchor. Two places that hold the same string
    choose the same anchor in it, so all matches of a string lie among the contexts of
-   one anchor, the at most `LENGTH - GRAM` bytes before and `LENGTH` bytes from it.
+   one anchor, where a context is what the strings that chose this place cover. A string
+   is in one context only.
 2. Anchors seen once are dropped. Contexts that are equal as a whole are repeated as a
    whole: one of them stands for all. Only anchors with different contexts go on.
 3. Shards of about `SHARD_BYTES` take whole anchors. Contexts of one text that overlap
@@ -40,18 +41,21 @@ from kithgraph.session import scratch_path
 LENGTH = 400
 GRAM = 32
 SHARD_BYTES = 1_500_000
-HOT = 3_000
+HOT = 6_000
 JOINT = 0xFF  # in no UTF-8 text
 
 
 def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """(text, position in the buffer, hash) of the anchors of all texts."""
+    """(text, place, hash, low, high) of the anchors of all texts, and the buffer's hasher.
+
+    The strings of `length` bytes that have this anchor begin from low and end at high.
+    """
     hasher = B.Hasher(data)
     h = hasher.windows(gram)
     width = length - gram + 1
     if len(h) < width:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, np.zeros(0, np.uint64), hasher
+        return none, none, np.zeros(0, np.uint64), none, none, hasher
     # Hash and place in one number: the smallest is the leftmost of the smallest hashes.
     mark = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     rows = np.full(-(-len(h) // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -62,11 +66,13 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     n = len(h) - width + 1
     best = np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
     end = np.repeat(offsets[1:], np.diff(offsets))[:n]
-    place = (best[np.arange(n) + length <= end] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    starts = np.flatnonzero(np.arange(n) + length <= end)
+    place = (best[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.ones(len(place), dtype=bool)
     new[1:] = place[1:] != place[:-1]
+    low, high = starts[new], starts[np.append(new[1:], True)[: len(new)]] + length
     place = place[new]
-    return np.searchsorted(offsets, place, side="right") - 1, place, h[place], hasher
+    return np.searchsorted(offsets, place, side="right") - 1, place, h[place], low, high, hasher
 
 
 def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -77,9 +83,7 @@ def anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             for part in B.slices(batch, "text"):
                 data, offsets = B.flat(part.column("text"))
-                text, place, a, hasher = find_anchors(data, offsets, length, gram)
-                low = np.maximum(offsets[text], place - (length - gram))
-                high = np.minimum(offsets[text + 1], place + length)
+                text, place, a, low, high, hasher = find_anchors(data, offsets, length, gram)
                 c = B.mix(hasher.spans(low, high) + B.mix((place - low).astype(np.uint64) + np.uint64(1)))
                 rows = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
@@ -143,7 +147,7 @@ def _stretches(starts: np.ndarray, length: int) -> list[int]:
     return np.stack([low, high], axis=1).ravel().tolist()
 
 
-def sort_shard(length: int, gram: int):
+def sort_shard(length: int):
     """Over the contexts of a shard: (a, c, cut), the stretches each loses, relative to its anchor."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -175,8 +179,7 @@ def sort_shard(length: int, gram: int):
         found = np.flatnonzero(repeated_starts(np.frombuffer(b"".join(pieces), dtype=np.uint8), length))
         before = table.column("l").to_numpy().astype(np.int64)
         first = np.searchsorted(found, base)
-        # A string of this anchor begins at most length - gram bytes before it and ends in the context.
-        last = np.searchsorted(found, base + np.minimum(before, size - length), side="right")
+        last = np.searchsorted(found, base + size - length, side="right")
         cuts = [
             _stretches(found[a:b] - base[i] - before[i], length) if b > a else []
             for i, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True))
@@ -189,8 +192,8 @@ def sort_shard(length: int, gram: int):
 
 
 def hash_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """(a, c, s, w): every string of `length` bytes in a context that holds its anchor, by hash;
-    s is its start relative to the anchor, so that one place counts once for an anchor."""
+    """(a, c, s, w): every string of `length` bytes in a context by hash, s its start relative
+    to the anchor, which is the same wherever the string is."""
 
     def run(batches):
         for batch in batches:
@@ -203,7 +206,7 @@ def hash_strings(contexts: DataFrame, length: int) -> DataFrame:
                 before = part.column("l").to_numpy().astype(np.int64)
                 place = np.arange(len(strings))
                 start = place - offsets[owner]
-                ok = np.flatnonzero((place + length <= offsets[owner + 1]) & (start <= before[owner]))
+                ok = np.flatnonzero(place + length <= offsets[owner + 1])
                 rows = pa.array(owner[ok])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -283,14 +286,14 @@ def repeated_spans(
     ).first()
     shards = max(1, -(-total // shard_bytes))
     cold = pieces.filter(~F.col("hot")).withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
-    cuts = cold.groupBy("shard").applyInArrow(sort_shard(length, gram), "a long, c long, cut array<int>")
+    cuts = cold.groupBy("shard").applyInArrow(sort_shard(length), "a long, c long, cut array<int>")
     if any_hot:
         cuts = cuts.unionByName(_count_strings(pieces.filter("hot"), length))
     whole = F.array((-F.col("l")).cast("int"), F.col("r").cast("int"))
     cuts = (
         contexts.select("a", "c", "n", "l", "r")
         .join(cuts, ["a", "c"], "left")
-        .withColumn("cut", F.when((F.col("n") > 1) & (F.col("l") + F.col("r") >= length), whole).otherwise(F.col("cut")))
+        .withColumn("cut", F.when(F.col("n") > 1, whole).otherwise(F.col("cut")))
         .filter(F.size("cut") > 0)
         .groupBy("a", "c")
         .agg(F.first("cut").alias("cut"))
