@@ -43,7 +43,7 @@ from kithgraph.session import scratch_path
 FRAME_IDS = 1 << 18
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1  # fixed by the format
 END_ID = 1
-CACHE_WORDS = 600_000  # per worker process
+CACHE_WORDS = 1_200_000  # per worker process
 
 
 def default_vocabulary() -> str:
