@@ -252,11 +252,13 @@ def repeated_spans(
         return spark.read.parquet(path)
 
     found = stored(anchors(texts, length, gram), "anchors")
-    shared = (
+    # Stored, so that the join below has two plain sides and a frequent anchor is split.
+    shared = stored(
         found.groupBy("a")
         .agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
         .filter("n > 1")
-        .select("a", (F.col("c0") != F.col("c1")).alias("differ"))
+        .select("a", (F.col("c0") != F.col("c1")).alias("differ")),
+        "anchors-shared",
     )
     hits = stored(found.join(shared, "a"), "anchor-hits")
     contexts = stored(
