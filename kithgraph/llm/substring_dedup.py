@@ -300,6 +300,7 @@ def repeated_spans(
         .groupBy("a", "c")
         .agg(F.first("cut").alias("cut"))
     )
+    cuts = stored(cuts, "anchor-cuts")  # again so that the join has two plain sides
     placed = hits.select("t1", "t2", "p", "a", "c").join(cuts, ["a", "c"])
     moved = F.transform("cut", lambda x: x + F.col("p"))
     return placed.groupBy("t1", "t2").agg(F.flatten(F.collect_set(moved)).alias("spans"))
