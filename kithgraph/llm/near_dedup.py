@@ -12,7 +12,12 @@
 3. Candidates whose sizes cannot reach the threshold or whose sketches are far from it
    are left out. The rest is confirmed on the full sets, in two rounds: first the best
    partner of each row, then whatever still lies between different components.
-4. Components by alternating large-star and small-star rounds.
+4. A row whose window ends while the next row still shares `LEAST_PREFIX` numbers is in a
+   dense region; what the windows may have left there is settled exactly. Shingles are put
+   in one order, rare ones first, and two rows of different components become a pair if
+   they meet in the first shingles, of which sets that reach the threshold share one, and
+   if enough shingles follow on both sides. These pairs are confirmed on the full sets, too.
+5. Components by alternating large-star and small-star rounds.
 
 Defined cases: a text without words has an empty set and is linked to nothing; fewer
 words than a shingle has make one shingle of the whole sequence; a null doc_id ranks after all others
@@ -37,10 +42,16 @@ TREES, DEPTH = 16, 8
 LEAST_PREFIX = 2
 NEIGHBOURS = 3  # rows on each side of a row in each order
 PAIRS_PER_FILE = 4_000
+ORDER_ROWS = 4_000  # rows that the order of the shingles is taken from; any order gives the same links
+ORDER_SHINGLES = 100_000
+SALTED = 50_000  # a shingle of more rows is met in several tasks
+MOST_SALTS = 16
+SHORT_RUN = 32
 SLACK = 0.19  # of the sketches' estimate, some five standard deviations at 0.8
 LAST_ID = 2**63 - 1
 _MULTIPLIERS = (B.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADDENDS = (B.mix(np.arange(1001, TREES * DEPTH + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+DENSE = -1.0
 BITS = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -161,8 +172,21 @@ def _pairs(tree, key, node, size, sketch, threshold: int, neighbours: int, fresh
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _dense(tree, key, node, neighbours: int) -> np.ndarray:
+    """The nodes in stretches of more rows with one prefix than `neighbours` reach over."""
+    gap = neighbours + 1
+    a = np.arange(max(0, len(node) - gap))
+    same = (tree[a] == tree[a + gap]) & (key[a, : 4 * LEAST_PREFIX] == key[a + gap, : 4 * LEAST_PREFIX]).all(axis=1)
+    return np.unique(node[B.cover(len(node), a[same], gap + 1)])
+
+
 def _sweep(threshold: int, neighbours: int, edges: bool):
-    """Over rows in sorted order: candidate pairs, and with `edges` the first and last rows."""
+    """Over rows in sorted order: candidate pairs, and with `edges` the first and last rows.
+
+    A row of a dense region is a pair with itself and the estimate `DENSE`. Without `edges`
+    the rows are those from the borders, where all of two borders are paired.
+    """
+    reach = neighbours + 1 if edges else 2 * (neighbours + 1)
 
     def rows_of(batch: pa.RecordBatch):
         return (
@@ -200,10 +224,13 @@ def _sweep(threshold: int, neighbours: int, edges: bool):
             now = rows_of(batch)
             rows = now if kept is None else tuple(np.concatenate([x, y]) for x, y in zip(kept, now, strict=True))
             fresh = 0 if kept is None else len(kept[0])
-            head = tuple(x[:neighbours] for x in now) if edges and not begun else None
+            head = tuple(x[:reach] for x in now) if edges and not begun else None
             begun = True
-            yield result(*_pairs(*rows, threshold, neighbours, fresh), head)
-            kept = tuple(x[-neighbours:].copy() for x in rows)
+            a, b, estimate = _pairs(*rows, threshold, neighbours if edges else reach, fresh)
+            many = _dense(*rows[:3], neighbours)
+            marks = np.full(len(many), DENSE)
+            yield result(np.concatenate([a, many]), np.concatenate([b, many]), np.concatenate([estimate, marks]), head)
+            kept = tuple(x[-reach:].copy() for x in rows)
         if edges and kept is not None:
             none = np.zeros(0, np.int64)
             yield result(none, none, np.zeros(0), kept)
@@ -214,8 +241,10 @@ def _sweep(threshold: int, neighbours: int, edges: bool):
 _SWEPT = "a long, b long, estimate double, tree int, key binary, node long, size long, sketch binary"
 
 
-def candidates(reps: DataFrame, threshold: int = THRESHOLD, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(a, b, estimate), a < b: rows that are neighbours in one of the sorted orders."""
+def candidates(
+    reps: DataFrame, threshold: int = THRESHOLD, neighbours: int = NEIGHBOURS
+) -> tuple[DataFrame, DataFrame]:
+    """(a, b, estimate), a < b: rows that are neighbours in one of the sorted orders; (node): rows of dense regions."""
     trees = F.sequence(F.lit(0), F.lit(TREES - 1))
     rows = reps.select(
         F.explode(trees).alias("tree"), "sig", "node", F.col("n_shingles").alias("size"), "sketch"
@@ -233,12 +262,13 @@ def candidates(reps: DataFrame, threshold: int = THRESHOLD, neighbours: int = NE
     # A few rows from each border of a partition: their number follows the partitions, not the rows.
     border = swept.filter("node is not null").select(*order, "size", "sketch").distinct()
     across = (
-        border.repartitionByRange(max(1, parts // 64), *order)
+        border.repartitionByRange(max(1, min(TREES, parts // 64)), "tree")
         .sortWithinPartitions(*order)
-        .mapInArrow(_sweep(threshold, 2 * neighbours, False), _SWEPT)
+        .mapInArrow(_sweep(threshold, neighbours, False), _SWEPT)
     )
     both = swept.filter("a is not null").select("a", "b", "estimate").unionByName(across.select("a", "b", "estimate"))
-    return both.filter("a <> b").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    pairs = both.filter("a <> b").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    return pairs, both.filter(F.col("estimate") == DENSE).select(F.col("a").alias("node")).distinct()
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -264,9 +294,160 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> Da
     return joined.filter(100 * F.col("common") >= threshold * union).select("a", "b")
 
 
+def _ranked(hashes: np.ndarray, first: np.ndarray, often: np.ndarray, times: np.ndarray):
+    """(shingles, counts): the sets with rare shingles first."""
+    if len(often):
+        at = np.searchsorted(often, hashes).clip(0, len(often) - 1)
+        count = np.where(often[at] == hashes, times[at], 0)
+    else:
+        count = np.zeros(len(hashes), np.int64)
+    order = np.lexsort((hashes, count, B.owner(first)))
+    return hashes[order], count[order]
+
+
+_PREFIXES = "token long, salt int, node long, root long, size long, rest long"
+
+
+def _prefixes(width: int, threshold: int, often: np.ndarray, times: np.ndarray):
+    """The first shingles of each set, of which two sets that reach the threshold share one.
+
+    `rest` counts the shingles from this one on. Of two such sets the smaller one has enough
+    of them for a partner of its own size (`_first_of_two`); only these rows are salted.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in B.slices(batch, "text"):
+                hashes, first = shingle_sets(part.column("text"), width)
+                token, count = _ranked(hashes.view(np.int64), first, often, times)
+                text, n = B.owner(first), np.diff(first)
+                size = n[text]
+                rest = size - (np.arange(len(token)) - first[text])
+                early = np.flatnonzero(rest >= -(-threshold * size // 100))
+                token, text, size, rest, count = token[early], text[early], size[early], rest[early], count[early]
+                node, root = part.column("node").to_numpy()[text], part.column("root").to_numpy()[text]
+                salts = np.clip(-(-count // SALTED), 1, MOST_SALTS)
+                own = (B.mix(node.view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
+                copies = np.repeat(np.arange(len(token)), salts)
+                salt = np.arange(len(copies)) - np.repeat(np.cumsum(salts) - salts, salts)
+                # In the other salts a row is met but looks for no partner: its sign says so.
+                signed = np.where(salt == own[copies], rest[copies], -rest[copies])
+                columns = [token[copies], salt.astype(np.int32), node[copies], root[copies], size[copies], signed]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "salt", "node", "root", "size", "rest"])
+
+    return run
+
+
+def _may_reach(size_a, rest_a, size_b, rest_b, threshold: int):
+    return np.minimum(rest_a, rest_b) * (100 + threshold) >= threshold * (size_a + size_b)
+
+
+def _first_of_two(size, rest, threshold: int):
+    """A pair that may reach the threshold has such a row: with none, the smaller rest is too small."""
+    return _may_reach(size, rest, size, rest, threshold)
+
+
+def _crossing(node, root, size, rest, threshold: int):
+    """Pairs of different roots in one long run of a shingle."""
+    looks, rest = (rest > 0) & _first_of_two(size, rest, threshold), np.abs(rest)
+    names, of = np.unique(root, return_inverse=True)
+    main = of == np.bincount(of, minlength=len(names)).argmax()
+    for left, right in (
+        (np.flatnonzero(looks & main), np.flatnonzero(~main)),
+        (np.flatnonzero(looks & ~main), np.arange(len(node))),
+    ):
+        step = max(1, (1 << 20) // max(1, len(right)))
+        for k in range(0, len(left), step):
+            x, y = left[k : k + step, None], right[None, :]
+            i, j = np.nonzero((root[x] != root[y]) & _may_reach(size[x], rest[x], size[y], rest[y], threshold))
+            yield left[k + i], right[j]
+
+
+def _meet(threshold: int):
+    """Over rows sorted by shingle and salt: pairs of different roots that may reach the threshold."""
+
+    def pairs(token, salt, node, root, size, rest):
+        n = len(token)
+        starts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]))
+        length = np.diff(np.append(starts, n))
+        mixed = (np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)) & (length > 1)
+        run = np.repeat(np.arange(len(starts)), length)
+        rows = np.flatnonzero((mixed & (length <= SHORT_RUN))[run])
+        found = []
+        for gap in range(1, SHORT_RUN):
+            a = rows[:-gap] if len(rows) > gap else rows[:0]
+            b = rows[gap:][: len(a)]
+            together = run[a] == run[b]
+            if not together.any():
+                break
+            a, b = a[together], b[together]
+            good = (root[a] != root[b]) & ((rest[a] > 0) | (rest[b] > 0))
+            good &= _may_reach(size[a], np.abs(rest[a]), size[b], np.abs(rest[b]), threshold)
+            found.append((a[good], b[good]))
+        for r in np.flatnonzero(mixed & (length > SHORT_RUN)).tolist():
+            s, e = starts[r], starts[r] + length[r]
+            found += [(s + i, s + j) for i, j in _crossing(node[s:e], root[s:e], size[s:e], rest[s:e], threshold)]
+        for i, j in found:
+            if len(i):
+                both = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy() for c in batch.columns]
+            # The last run may go on in the next batch.
+            last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            cut = last[-1] + 1 if len(last) else 0
+            if held and (cut or (held[-1][0][-1], held[-1][1][-1]) != (now[0][0], now[1][0])):
+                whole = [np.concatenate(x) for x in zip(*held, [c[:cut] for c in now], strict=True)]
+                yield from pairs(*whole)
+                held = []
+            elif cut:
+                yield from pairs(*[c[:cut] for c in now])
+            held.append([c[cut:].copy() for c in now])
+        if held:
+            yield from pairs(*[np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return run
+
+
+def settle_dense(docs: DataFrame, dense: DataFrame, parents: DataFrame, width: int, threshold: int) -> DataFrame | None:
+    """(a, b): all links between rows of `dense` that are in different components so far."""
+    count = dense.count()
+    if count < 2:
+        return None
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, count // ORDER_ROWS)
+    some = dense.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)
+    common = full_sets(docs, some, width).select(F.explode("shingles").alias("token")).groupBy("token").count()
+    top = common.filter("count > 1").orderBy(F.desc("count"), "token").limit(ORDER_SHINGLES).toPandas().sort_values("token")
+    often, times = top["token"].to_numpy(np.int64), top["count"].to_numpy(np.int64) * every
+    up = parents.select(F.col("child").alias("node"), "parent")
+    rooted = dense.join(up, "node", "left").select("node", F.coalesce("parent", "node").alias("root"))
+    met = (
+        docs.join(rooted.hint("merge"), "node")
+        .select("node", "root", "text")
+        .mapInArrow(_prefixes(width, threshold, often, times), _PREFIXES)
+        .repartition(parts, "token", "salt")
+        .sortWithinPartitions("token", "salt")
+        .mapInArrow(_meet(threshold), "a long, b long")
+    )
+    pairs = cut_lineage(met.distinct())
+    if pairs.isEmpty():
+        return None
+    files = max(1, min(parts, -(-pairs.count() // PAIRS_PER_FILE)))
+    sets = cut_lineage(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width))
+    links = cut_lineage(confirm(pairs, sets, threshold).coalesce(files))
+    return None if links.isEmpty() else links
+
+
 def components_of(docs: DataFrame, reps: DataFrame, width: int, threshold: int, neighbours: int) -> DataFrame:
     """(child, parent): the smallest linked representative of every other one that has links."""
-    pairs = cut_lineage(candidates(reps, threshold, neighbours))
+    pairs, dense = candidates(reps, threshold, neighbours)
+    pairs, dense = cut_lineage(pairs), cut_lineage(dense)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     files = max(1, min(parts, -(-pairs.count() // PAIRS_PER_FILE)))  # small tables in few files
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -287,10 +468,11 @@ def components_of(docs: DataFrame, reps: DataFrame, width: int, threshold: int,
     open_pairs = open_pairs.filter(F.col("root_a") != F.col("root_b")).select("a", "b")
     open_pairs = cut_lineage(open_pairs.coalesce(files))
     more = cut_lineage(confirm(open_pairs, sets, threshold).coalesce(files))
-    if more.isEmpty():
-        return parents
-    links = parents.select(F.col("child").alias("a"), F.col("parent").alias("b")).unionByName(more)
-    return star_components(links)
+    for links in (lambda: None if more.isEmpty() else more, lambda: settle_dense(docs, dense, parents, width, threshold)):
+        if (found := links()) is not None:
+            known = parents.select(F.col("child").alias("a"), F.col("parent").alias("b"))
+            parents = star_components(known.unionByName(found))
+    return parents
 
 
 def near_groups(

@@ -214,6 +214,36 @@ def test_near_dedup_large_group_of_near_copies(spark):
     assert all(groups[i] == i for i in [*range(5000, 5200), 9000, 9001])
 
 
+def test_near_dedup_pairs_in_dense_regions(spark):
+    """Long shared passages: all others are 77 % alike, two documents of each region 86 %."""
+    own = iter(range(10**9))
+    text = lambda common, n: common + " " + " ".join(f"o{next(own)}" for _ in range(n))
+    rows = []
+    for region in range(8):
+        common = " ".join(f"c{region}x{i}" for i in range(402))
+        rows += [(1000 * region + i, text(common, 32 if i in (40, 90) else 60)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, width=3, threshold=85).collect()}
+    assert got == {d: d - 50 if d % 1000 == 90 else d for d, _ in rows}
+
+
+def test_near_dedup_meets_in_runs():
+    """The same pairs whether a run of a shingle is short, long, cut by batches or salted."""
+    n, gen = 200, np.random.default_rng(3)
+    node, root, size = np.arange(n), gen.integers(0, 40, n), gen.integers(80, 120, n)
+    rest = size - gen.integers(0, 12, n)
+    want = {
+        (a, b) for a in range(n) for b in range(a + 1, n)
+        if root[a] != root[b] and min(rest[a], rest[b]) * 180 >= 80 * (size[a] + size[b])
+    }
+    table = pa.table({"token": np.full(n, 7), "salt": np.zeros(n, np.int32), "node": node, "root": root, "size": size, "rest": rest})
+    for rows in (n, 7):
+        got = [p for out in near_dedup._meet(80)(table.to_batches(rows)) for p in zip(*out.to_pydict().values(), strict=True)]
+        assert set(got) == want
+    got = [p for i, j in near_dedup._crossing(node, root, size, rest, 80) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert {(min(p), max(p)) for p in got} == want
+
+
 def test_near_dedup_nulls_and_empty(spark, none):
     docs = spark.createDataFrame([(None, PASSAGE), (3, PASSAGE), (None, None)], "doc_id long, text string")
     got = by_text((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(docs).collect())
