@@ -21,19 +21,22 @@
 
 Defined cases: a text without words has an empty set and is linked to nothing; fewer
 words than a shingle has make one shingle of the whole sequence; a null doc_id ranks after all others
-(its component_id is null if nothing smaller is reachable); rows with the same doc_id are
-separate texts under one id; equal rows get equal results.
+(its component_id is null if nothing smaller is reachable). Rows are linked by a node, the
+64-bit hash of doc_id and text, so different texts under one doc_id, or under none, are
+separate; ids come in again with the result. Of rows with the smallest doc_id of a group
+the one with the smallest node is kept. Equal rows get equal results.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kithgraph.llm import textbytes as B
 from kithgraph.operators.components import star_components
+from kithgraph.operators.skew import attach
 from kithgraph.session import cut_lineage, scratch_path
 
 WIDTH = 5
@@ -119,8 +122,13 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[start : start + len(column) * width].reshape(-1, width)
 
 
+def node_of(id_col: str) -> Column:
+    """What a row is linked by; the null marks keep (1, null) and (null, ...) apart from other rows."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(id_col).isNull(), "text", F.col("text").isNull())
+
+
 def summaries(docs: DataFrame, width: int, id_col: str = "doc_id") -> DataFrame:
-    """(node, n_shingles, s1, s2, sig, sketch); texts without words have no sig."""
+    """(doc_id, node, n_shingles, s1, s2, sig, sketch); texts without words have no sig."""
 
     def run(batches):
         for batch in batches:
@@ -136,6 +144,7 @@ def summaries(docs: DataFrame, width: int, id_col: str = "doc_id") -> DataFrame:
                 take = pa.array(place, mask=place < 0)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        part.column("doc_id"),
                         part.column("node"),
                         pa.array(n.astype(np.int64)),
                         pa.array(total),
@@ -143,11 +152,11 @@ def summaries(docs: DataFrame, width: int, id_col: str = "doc_id") -> DataFrame:
                         _binary(sig.view(np.uint8).reshape(len(filled), 4 * TREES * DEPTH)).take(take),
                         _binary(_sketches(sig)).take(take),
                     ],
-                    ["node", "n_shingles", "s1", "s2", "sig", "sketch"],
+                    ["doc_id", "node", "n_shingles", "s1", "s2", "sig", "sketch"],
                 )
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("node"), "text")
-    return rows.mapInArrow(run, "node long, n_shingles long, s1 long, s2 long, sig binary, sketch binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(id_col).alias("node"), "text")
+    return rows.mapInArrow(run, "doc_id long, node long, n_shingles long, s1 long, s2 long, sig binary, sketch binary")
 
 
 def _pairs(tree, key, node, size, sketch, threshold: int, neighbours: int, fresh: int = 0):
@@ -281,7 +290,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), sets], ["node", "shingles"])
 
-    return docs.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
+    sets = docs.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
+    return sets.dropDuplicates(["node"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -475,46 +485,58 @@ def components_of(docs: DataFrame, reps: DataFrame, width: int, threshold: int,
     return parents
 
 
-def near_groups(
-    docs: DataFrame,
-    width: int = WIDTH,
-    threshold: int = THRESHOLD,
-    neighbours: int = NEIGHBOURS,
-    id_col: str = "doc_id",
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of `docs` (doc_id, text)."""
+def grouped_nodes(docs: DataFrame, width: int, threshold: int, neighbours: int = NEIGHBOURS, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, node), one row per row of `docs` (doc_id, text)."""
     path = scratch_path(docs.sparkSession, "shingles")
     summaries(docs, width, id_col).write.parquet(path)
     rows = docs.sparkSession.read.parquet(path)
     key = ["n_shingles", "s1", "s2"]
     full = rows.filter("n_shingles > 0")
-    groups = full.groupBy(*key).agg(F.min("node").alias("node"))
-    reps = full.join(groups, [*key, "node"], "left_semi").dropDuplicates(["node", "s1", "s2"])
-    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("node"), "text")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node"))
+    groups = full.groupBy(*key).agg(F.min("node").alias("node"), first.alias("first"))
+    reps = full.join(groups.select(*key, "node"), [*key, "node"], "left_semi").dropDuplicates(["node", "s1", "s2"])
+    # A repeated row, equal in id and text, is one node and one text.
+    named = docs.select(node_of(id_col).alias("node"), "text")
     parents = components_of(named, reps, width, threshold, neighbours)
-    groups = groups.join(parents.withColumnRenamed("child", "node"), "node", "left").select(
-        *key, F.coalesce("parent", "node").alias("component")
+    groups = cut_lineage(
+        groups.join(parents.withColumnRenamed("child", "node"), "node", "left").select(
+            *key, F.coalesce("parent", "node").alias("component"), "first"
+        )
     )
-    out = full.select("node", *key).join(groups, key).select("node", "n_shingles", "component")
-    empty = rows.filter("n_shingles = 0").select("node", "n_shingles", F.col("node").alias("component"))
-    out = out.unionByName(empty)
-    return out.select(
-        F.nullif("node", F.lit(LAST_ID)).alias("doc_id"),
+    least = groups.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    groups = attach(groups.drop("first"), least, ["component"], "n", "inner").select(*key, "least")
+    out = full.select("doc_id", "node", *key).join(groups, key).select("doc_id", "node", "n_shingles", "least")
+    alone = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node")
+    empty = rows.filter("n_shingles = 0").select("doc_id", "node", "n_shingles", alone.alias("least"))
+    return out.unionByName(empty).select(
+        "doc_id",
         "n_shingles",
-        F.nullif("component", F.lit(LAST_ID)).alias("component_id"),
-        (F.col("node") == F.col("component")).alias("kept"),
+        F.nullif("least.id", F.lit(LAST_ID)).alias("component_id"),
+        (F.col("node") == F.col("least.node")).alias("kept"),
+        "node",
     )
 
 
+def near_groups(
+    docs: DataFrame,
+    width: int = WIDTH,
+    threshold: int = THRESHOLD,
+    neighbours: int = NEIGHBOURS,
+    id_col: str = "doc_id",
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of `docs` (doc_id, text)."""
+    return grouped_nodes(docs, width, threshold, neighbours, id_col).drop("node")
+
+
 def remove_near_copies(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """One row of `docs` for each group: that with the smallest doc_id, of several the smallest text."""
-    kept = near_groups(docs.select("doc_id", "text"), width, threshold).filter("kept").select("doc_id").distinct()
+    """One row of `docs` for each group: that with the smallest doc_id, of several the smallest node."""
+    kept = grouped_nodes(docs.select("doc_id", "text"), width, threshold).filter("kept").select("node").distinct()
     name = "_" + "_".join(docs.columns)  # a name that no column has
-    known = kept.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias(name))
-    marked = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
-    one = Window.partitionBy(name).orderBy(F.xxhash64("text"))
+    marked = docs.withColumn(name, node_of("doc_id"))
+    # Only rows equal in id and text meet here, and all but one of a task stay behind before the shuffle.
+    one = Window.partitionBy(name).orderBy(F.xxhash64(*docs.columns))
     rank = name + "_"
-    stay = marked.join(known, name, "left_semi").withColumn(rank, F.row_number().over(one))
+    stay = marked.join(kept.withColumnRenamed("node", name), name, "left_semi").withColumn(rank, F.row_number().over(one))
     return stay.filter(F.col(rank) == 1).select(*docs.columns)
 
 

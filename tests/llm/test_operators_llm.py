@@ -251,6 +251,18 @@ def test_near_dedup_nulls_and_empty(spark, none):
     assert near_dedup.near_groups(none).count() == 0
 
 
+def test_near_dedup_ids_do_not_link(spark):
+    """Unrelated texts under no id, or under one id, link neither each other nor what is near them."""
+    one, two, three, four, five = (prose(100) for _ in range(5))
+    rows = [(None, one), (5, one + " tail"), (None, two), (9, two + " tail"), (None, three), (7, four), (7, five), (8, five + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_text(tuple(r) for r in near_dedup.remove_near_copies(docs).select("doc_id", "text").collect())
+    assert got == by_text([rows[1], rows[3], rows[4], rows[5], rows[6]])
+    groups = by_text((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(docs).collect())
+    want = [(None, 5, False), (5, 5, True), (None, 9, False), (9, 9, True), (None, None, True), (7, 7, True), (7, 7, True), (8, 7, False)]
+    assert groups == by_text(want)
+
+
 # Token files
 
 
