@@ -368,6 +368,24 @@ def test_wrapper_without_article():
         assert html_extract.extract(p, wrapper) == " ".join(text.split())
 
 
+def test_extract_hidden_and_class_words():
+    main = "<article><h1>H</h1><p>main text</p></article>"
+    for page in (
+        f'<body style="overflow:hidden">{main}</body>',
+        f'<body><div title="A hidden gem" aria-hidden="false">{main}</div></body>',
+        f'<body><div class="layout has-sidebar">{main}<div class="sidebar">other</div></div></body>',
+        f'<body><div class="widget">{main}</div><div class="ads">other</div></body>',
+        '<body><div class="layout widget"><h1>H</h1><p>main text</p></div><div class="ad">x</div></body>',
+        '<body><article><div class="post-header"><h1>H</h1></div><p>main text</p></article></body>',
+        "<body hidden><h1>H</h1><p>main text</p></body>",
+    ):
+        assert html_extract.extract(page, None) == "H main text", page
+    assert html_extract.extract(f'<body>{main}<div hidden>other</div><div class="x ad">other</div></body>', None) == "H main text"
+    assert html_extract.extract("<body><p>main text</p><p hidden>other and much longer than that</p></body>", None) == "main text"
+    assert html_extract.extract("<body><nav>menu</nav></body>", None) == ""
+    assert html_extract.extract("<div class='ad'>x</div>" + "<div>" * 3000 + "deep text", None) == "deep text"
+
+
 def test_extract_pages(spark):
     body = FRAME % "<article><h1>H</h1><p>text &copy; x</p></article>"
     rows = [(1, "http://a.b/1", body), (2, None, body), (3, "http://a.b/2", None), (4, "http://a.b/1", body), (5, "x", "")]
