@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from kithgraph.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, substring_dedup, token_files, toxicity, url_filter
+from kithgraph.llm import (
+    decontaminate,
+    html_extract,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality,
+    quality_network,
+    substring_dedup,
+    token_alignment,
+    token_files,
+    toxicity,
+    url_filter,
+)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +28,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_quality_classifier": quality_network.op13_quality_classifier,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,

@@ -85,6 +85,40 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
             yield batch.slice(a, b - a)
 
 
+def blocks(
+    data: np.ndarray, offsets: np.ndarray, cut: np.ndarray, limit: int = SLICE_BYTES
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(owner, data, offsets) pieces of about `limit` bytes; owner is the text each part is from.
+
+    A text above `limit` is cut before bytes of the 256-entry table `cut`, so what lies
+    between two such bytes stays whole and the arrays made of a piece stay bounded however
+    long the text is.
+    """
+    starts, owner = offsets[:-1], np.arange(len(offsets) - 1)
+    more, of = [], []
+    for t in np.flatnonzero(np.diff(offsets) > limit).tolist():
+        end, at = int(offsets[t + 1]), int(offsets[t]) + limit
+        while at < end:
+            hit = np.flatnonzero(cut[data[at : min(at + (1 << 16), end)]])
+            if not len(hit):
+                at += 1 << 16
+                continue
+            more.append(at + int(hit[0]))
+            of.append(t)
+            at = more[-1] + limit
+    if more:
+        starts, owner = np.concatenate([starts, more]), np.concatenate([owner, of])
+        order = np.lexsort((owner, starts))
+        starts, owner = starts[order], owner[order]
+    if not len(starts):
+        return
+    edges = np.append(starts, offsets[-1])
+    part = edges[1:] // limit
+    at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield owner[a:b], data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null has no bytes."""
     if column.null_count:
