@@ -10,6 +10,7 @@ from kithgraph.llm import (
     near_dedup,
     quality,
     quality_network,
+    ranked_search,
     substring_dedup,
     token_alignment,
     token_files,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
     "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_quality_classifier": quality_network.op13_quality_classifier,
 }
@@ -36,4 +38,5 @@ ORACLES = {
     "op3_url_filter": url_filter.SQL,
     "op6_mix_sources": mixing.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op11_ranked_search": ranked_search.SQL,
 }
