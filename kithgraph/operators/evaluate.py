@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithgraph.functions import normalize as N
-from kithgraph.operators.skew import running_sums
+from kithgraph.operators.skew import SLICE_ROWS, equi_depth, running_sums
 
-SLICES = 1_000_000
 STEPS = 100  # thresholds are whole hundredths
 SWEEP = (10, 90)
 DEMO_SWEEP = (5, 95)
@@ -35,16 +34,14 @@ def score_histogram(pred: DataFrame) -> DataFrame:
     )
 
 
-def cumulative_counts(hist: DataFrame) -> DataFrame:
+def cumulative_counts(hist: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
     """(proba, pos, neg, tp, fp): positives and negatives scored at or above each score.
 
-    Scores fall into at most SLICES + 1 slices of equal width; only the slice totals are
-    summed in one task.
+    Distinct scores fall into slices of equal depth, so peaked scores are spread as well;
+    only the slice totals are summed in one task.
     """
-    sliced = hist.withColumn("_slice", F.floor(F.col("proba") * SLICES))
-    return running_sums(
-        sliced, [], "_slice", "proba", {"tp": "pos", "fp": "neg"}, descending=True
-    ).select("proba", "pos", "neg", F.col("tp").cast("bigint"), F.col("fp").cast("bigint"))
+    sliced, column = equi_depth(hist, ["proba"], rows)
+    return running_sums(sliced, [], column, "proba", {"tp": "pos", "fp": "neg"}, descending=True).select("proba", "pos", "neg", F.col("tp").cast("bigint"), F.col("fp").cast("bigint"))
 
 
 def _div(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.functions import normalize as N
-from kithgraph.operators.skew import running_sums
+from kithgraph.operators.skew import SLICE_ROWS, equi_depth, running_sums
 
 MISSING = -1.0  # fill value that means "no data" in feature frames
 TINY = 1e-9
@@ -96,16 +96,16 @@ def cardinality(df: DataFrame, columns: Sequence[str], approx: bool = False) ->
     )
 
 
-def exact_median(df: DataFrame, column: str) -> DataFrame:
+def exact_median(df: DataFrame, column: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Median from a value histogram and two-level running counts, one row.
 
-    Values fall into slices of their logarithm, of which a double has a fixed number.
+    Distinct values fall into slices of about `rows` at their own quantiles, so values that
+    crowd together, near zero or anywhere, are spread over as many tasks as others.
     """
     value = F.col(column).cast("double")
-    hist = (
-        df.select(value.alias("v")).dropna().groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    ).withColumn("_slice", F.floor(F.signum("v") * F.log2(F.abs("v") + 1) * 1024))
-    summed = running_sums(hist, [], "_slice", "v", {"upto": "n"})
+    hist = df.select(value.alias("v")).dropna().groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    hist, slices = equi_depth(hist, ["v"], rows)
+    summed = running_sums(hist, [], slices, "v", {"upto": "n"})
     total = hist.agg(F.sum("n")).scalar()
     low, high = F.floor((total - 1) / 2), F.floor(total / 2)
     mid = summed.filter(

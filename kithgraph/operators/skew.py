@@ -1,8 +1,13 @@
-"""Joins and ordered sums that stay balanced when one key holds a large share of the rows.
+"""Joins, windows and ordered sums that stay balanced when one key holds a large share of the rows.
 
-A key is *hot* when it holds more than 1/HOT_KEYS of all rows, so there are fewer than
-HOT_KEYS hot keys whatever the data size. That count is the size bound behind every
-broadcast in this module; every other key is small enough for one shuffle task.
+For a join a key is *hot* when it holds more than 1/HOT_KEYS of all rows, so there are
+fewer than HOT_KEYS hot keys whatever the data size. That count is the size bound behind
+every broadcast in this module; every other key is small enough for one shuffle task.
+
+For a window what counts is its number of rows: a key with more than SLICE_ROWS of them is
+cut into slices of about SLICE_ROWS rows at quantiles of the window's order, however many
+rows there are in all, and what crosses a border is carried over by a second window with
+one row for each slice.
 """
 
 from __future__ import annotations
@@ -15,8 +20,7 @@ from pyspark.sql import functions as F
 from kithgraph.session import cut_lineage
 
 HOT_KEYS = 10_000
-SLICE_SECONDS = 3_600
-SLICE_MIN_ROWS = 100_000
+SLICE_ROWS = 100_000
 
 
 def hot_rows(counts: DataFrame, n: str, limit: int = HOT_KEYS, min_rows: int = 0) -> DataFrame | None:
@@ -53,31 +57,53 @@ def attach(
     return near.unionByName(rest)
 
 
-def slice_hot(
-    df: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    seconds: int = SLICE_SECONDS,
-    min_rows: int = SLICE_MIN_ROWS,
-    counts: DataFrame | None = None,
-) -> DataFrame | None:
-    """Add `_hot` and `_slice`: a time slice for hot keys, 0 for all others.
-
-    Slices depend on the row's own time only, so a recomputed task cuts the same way. None
-    if no key is hot, in which case a plain window over `keys` is balanced. `counts` may
-    hold the rows per key as `_n` if there is a cheaper way to count them.
+def split_big(
+    df: DataFrame, keys: Sequence[str], rows: int = SLICE_ROWS, counts: DataFrame | None = None
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of keys with at most `rows` rows, rows of larger keys); None where there are none.
+
+    Below HOT_KEYS the larger keys are broadcast. If there are more of them, nothing can be
+    told apart without sending a whole key to one task, so all rows count as large.
+    `counts` may hold the rows per key as `_n` if there is a cheaper way to count them.
     """
     keys = list(keys)
     if counts is None:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = hot_rows(counts, "_n", min_rows=min_rows)
-    if hot is None:
-        return None
-    marked = df.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
-    hot_col = F.coalesce("_hot", F.lit(False))
-    return marked.withColumn("_hot", hot_col).withColumn(
-        "_slice", F.when(F.col("_hot"), F.floor(F.col(time) / F.lit(seconds))).otherwise(F.lit(0))
-    )
+    large = cut_lineage(counts.filter(F.col("_n") > rows).select(*keys))
+    n = large.count()
+    if n == 0:
+        return df, None
+    if n >= HOT_KEYS:
+        return None, df
+    known = F.broadcast(large)
+    return df.join(known, keys, "left_anti"), df.join(known, keys, "left_semi")
+
+
+def equi_depth(df: DataFrame, order: Sequence[str], rows: int = SLICE_ROWS) -> tuple[DataFrame, str | None]:
+    """(`df` as a stored table, its slice column): slices of about `rows` rows that grow with `order`.
+
+    Borders are quantiles of `order` over all rows, from Spark's range partitioning, so a
+    key of any size and any pile-up of values is cut evenly; rows equal in `order` share a
+    slice. The slice is stored with the row: a lost task cannot cut another way. No column
+    (None) if `rows` rows are all there are.
+    """
+    stored = cut_lineage(df)
+    n = stored.count()
+    if n <= rows:
+        return stored, None
+    ranged = stored.repartitionByRange(-(-n // rows), *order)
+    return cut_lineage(ranged.withColumn("_slice", F.spark_partition_id().cast("bigint"))), "_slice"
+
+
+def slice_big(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = SLICE_ROWS
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows for a plain window over `keys`, the others with a `_slice` of their key)."""
+    plain, big = split_big(df, keys, rows)
+    if big is None:
+        return plain, None
+    sliced, column = equi_depth(big, [*keys, *order], rows)
+    return plain, sliced if column else sliced.withColumn("_slice", F.lit(0).cast("bigint"))
 
 
 def running_sums(
@@ -92,9 +118,10 @@ def running_sums(
     """Running totals over `order` inside each group, ties included, as a two-level sum.
 
     Without `slice_col` every group is small enough for one window. With it (it must grow
-    with `order`) one window runs inside each (group, slice); the
-    totals of earlier slices come from a second window over one row per slice. `only`
-    says which rows lie in groups of several slices, so that the others skip the second.
+    with `order`, and rows equal in `order` must share it) one window runs inside each
+    (group, slice); the totals of earlier slices come from a second window over one row
+    per slice. `only` says which rows lie in groups of several slices, so that the others
+    skip the second.
     """
     group = list(group)
 

@@ -1,8 +1,9 @@
 """Per-card order: neighbours in time, chains and rolling lookbacks.
 
-A card (or any entity) that holds a large share of all rows is cut into time slices, so no
-window ever sorts more than one slice of it; what crosses a slice border is carried over
-by a second, small window with one row per slice.
+A card (or any entity) with more than SLICE_ROWS rows is cut into slices of that depth at
+quantiles of (time, id), so no window sorts more than one slice, at any number of rows in
+all or in one second; what crosses a border is carried over by a second, small window with
+one row per slice.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithgraph.functions import normalize as N
-from kithgraph.operators.skew import SLICE_MIN_ROWS, SLICE_SECONDS, hot_rows, running_sums, slice_hot
+from kithgraph.operators.skew import SLICE_ROWS, attach, equi_depth, running_sums, slice_big, split_big
+from kithgraph.session import cut_lineage
 
 WINDOW_HOURS = 24
 CHAIN_LENGTH = 5
+WINDOW_ROWS = 1_000  # a sliding frame is added up again for each row: longer entities go by running sums
 
 
 def card_times(tx: DataFrame) -> DataFrame:
@@ -27,37 +30,33 @@ def card_times(tx: DataFrame) -> DataFrame:
     ).dropna(subset=["id", "card", "dt"])
 
 
-def _neighbour(times: DataFrame, step: int, seconds: int, min_rows: int) -> DataFrame:
+def _neighbour(times: DataFrame, step: int, rows: int) -> DataFrame:
     """Add `_near`: the next (step 1) or previous (step -1) row of the card by (dt, id)."""
     row = F.struct("dt", "id", "is_fraud")
     if step < 0:
         order, by_slice, edge = [F.asc("dt"), F.asc("id")], F.asc("_slice"), F.max
     else:
         order, by_slice, edge = [F.desc("dt"), F.desc("id")], F.desc("_slice"), F.min
-    sliced = slice_hot(times, ["card"], "dt", seconds, min_rows)
-    if sliced is None:
-        return times.withColumn("_near", F.lag(row).over(Window.partitionBy("card").orderBy(*order)))
-    inside = sliced.withColumn(
-        "_near", F.lag(row).over(Window.partitionBy("card", "_slice").orderBy(*order))
-    )
-    border = sliced.filter("_hot").groupBy("card", "_slice").agg(edge(row).alias("_edge"))
-    carried = border.select(
-        "card",
-        "_slice",
-        F.lag("_edge").over(Window.partitionBy("card").orderBy(by_slice)).alias("_carry"),
-    )
-    return (
-        inside.join(carried, ["card", "_slice"], "left")
-        .withColumn("_near", F.coalesce("_near", "_carry"))
-        .drop("_carry", "_hot", "_slice")
-    )
+    plain, sliced = slice_big(times, ["card"], ["dt", "id"], rows)
+    parts = []
+    if plain is not None:
+        parts.append(plain.withColumn("_near", F.lag(row).over(Window.partitionBy("card").orderBy(*order))))
+    if sliced is not None:
+        inside = sliced.withColumn("_near", F.lag(row).over(Window.partitionBy("card", "_slice").orderBy(*order)))
+        border = sliced.groupBy("card", "_slice").agg(edge(row).alias("_edge"))
+        before = Window.partitionBy("card").orderBy(by_slice)
+        carried = border.select("card", "_slice", F.lag("_edge").over(before).alias("_carry"))
+        parts.append(
+            inside.join(carried, ["card", "_slice"])
+            .withColumn("_near", F.coalesce("_near", "_carry"))
+            .drop("_carry", "_slice")
+        )
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def next_on_card(
-    tx: DataFrame, seconds: int = SLICE_SECONDS, min_rows: int = SLICE_MIN_ROWS
-) -> DataFrame:
+def next_on_card(tx: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
     """Each transaction with the id and time of the next one on its card (null at the end)."""
-    near = _neighbour(card_times(tx), 1, seconds, min_rows)
+    near = _neighbour(card_times(tx), 1, rows)
     return near.select(
         "id",
         "card",
@@ -67,14 +66,9 @@ def next_on_card(
     )
 
 
-def previous_on_card(
-    tx: DataFrame,
-    window_hours: int = WINDOW_HOURS,
-    seconds: int = SLICE_SECONDS,
-    min_rows: int = SLICE_MIN_ROWS,
-) -> DataFrame:
+def previous_on_card(tx: DataFrame, window_hours: int = WINDOW_HOURS, rows: int = SLICE_ROWS) -> DataFrame:
     """Each transaction whose predecessor on the card lies within the window."""
-    near = _neighbour(card_times(tx), -1, seconds, min_rows)
+    near = _neighbour(card_times(tx), -1, rows)
     gap = F.col("dt") - F.col("_near.dt")
     return near.filter((gap >= 0) & (gap <= window_hours * 3600)).select(
         F.col("_near.id").alias("prev_id"),
@@ -122,61 +116,52 @@ def _filled(tx: DataFrame, hours: int, slicing: dict, column: str, missing: floa
     return ids.join(found, "transactionId", "left").fillna({column: missing})
 
 
-def card_chain_rate(
-    tx: DataFrame,
-    n: int = CHAIN_LENGTH,
-    seconds: int = SLICE_SECONDS,
-    min_rows: int = SLICE_MIN_ROWS,
-) -> DataFrame:
+def card_chain_rate(tx: DataFrame, n: int = CHAIN_LENGTH, rows: int = SLICE_ROWS) -> DataFrame:
     """Share of fraud among the card's last n earlier transactions, null without any.
 
     The last n rows before a slice lie in the n slices before it; they join the slice as
     extra rows that feed the window and are dropped afterwards.
     """
     row = F.struct("dt", "id", "is_fraud")
-    times = card_times(tx)
     share = F.avg(N.is_fraud("is_fraud").cast("double"))
-    sliced = slice_hot(times, ["card"], "dt", seconds, min_rows)
-    if sliced is None:
+    out = (F.col("id").alias("transactionId"), "card_chain_fraud_rate")
+    plain, sliced = slice_big(card_times(tx), ["card"], ["dt", "id"], rows)
+    parts = []
+    if plain is not None:
         last = Window.partitionBy("card").orderBy("dt", "id").rowsBetween(-n, -1)
-        return times.select(F.col("id").alias("transactionId"), share.over(last).alias("card_chain_fraud_rate"))
-    newest = Window.partitionBy("card", "_slice").orderBy(F.desc("dt"), F.desc("id"))
-    tails = (
-        sliced.filter("_hot")
-        .withColumn("_rank", F.row_number().over(newest))
-        .filter(F.col("_rank") <= n)
-        .groupBy("card", "_slice")
-        .agg(F.collect_list(row).alias("_tail"))
-    )
-    earlier = Window.partitionBy("card").orderBy("_slice").rowsBetween(-n, -1)
-    extra = (
-        tails.select("card", "_slice", F.flatten(F.collect_list("_tail").over(earlier)).alias("_all"))
-        .select("card", "_slice", F.inline(F.slice(F.reverse(F.array_sort("_all")), 1, n)))
-        .withColumn("_extra", F.lit(True))
-    )
-    own = sliced.select("card", "_slice", "dt", "id", "is_fraud", F.lit(False).alias("_extra"))
-    last = Window.partitionBy("card", "_slice").orderBy("dt", "id").rowsBetween(-n, -1)
-    return (
-        own.unionByName(extra)
-        .withColumn("card_chain_fraud_rate", share.over(last))
-        .filter(~F.col("_extra"))
-        .select(F.col("id").alias("transactionId"), "card_chain_fraud_rate")
-    )
+        parts.append(plain.withColumn("card_chain_fraud_rate", share.over(last)).select(*out))
+    if sliced is not None:
+        newest = Window.partitionBy("card", "_slice").orderBy(F.desc("dt"), F.desc("id"))
+        tails = (
+            sliced.withColumn("_rank", F.row_number().over(newest))
+            .filter(F.col("_rank") <= n)
+            .groupBy("card", "_slice")
+            .agg(F.collect_list(row).alias("_tail"))
+        )
+        earlier = Window.partitionBy("card").orderBy("_slice").rowsBetween(-n, -1)
+        extra = (
+            tails.select("card", "_slice", F.flatten(F.collect_list("_tail").over(earlier)).alias("_all"))
+            .select("card", "_slice", F.inline(F.slice(F.reverse(F.array_sort("_all")), 1, n)))
+            .withColumn("_extra", F.lit(True))
+        )
+        own = sliced.select("card", "_slice", "dt", "id", "is_fraud", F.lit(False).alias("_extra"))
+        last = Window.partitionBy("card", "_slice").orderBy("dt", "id").rowsBetween(-n, -1)
+        fed = own.unionByName(extra).withColumn("card_chain_fraud_rate", share.over(last))
+        parts.append(fed.filter(~F.col("_extra")).select(*out))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def rolling_entity_rate(
-    links: DataFrame,
-    lookback_s: int,
-    seconds: int = SLICE_SECONDS,
-    min_rows: int = SLICE_MIN_ROWS,
+    links: DataFrame, lookback_s: int, rows: int = SLICE_ROWS, window_rows: int = WINDOW_ROWS
 ) -> DataFrame:
     """Counts and fraud rate of an entity over the `lookback_s` seconds before each row.
 
-    Rows of the same second are not seen. A window does this for entities of ordinary size.
-    A hot one is first summed by second: a transaction enters the lookback one second after
-    its own time and leaves it `lookback_s` seconds later, the state at a second is a
-    running sum of those changes over slices of time, and rows look their second up. So a
-    hub has at most a few rows for each second, however many transactions fall into it.
+    Rows of the same second are not seen. A sliding window does this for entities of up to
+    `window_rows` rows. A longer one is first summed by second: a transaction enters the
+    lookback one second after its own time and leaves it `lookback_s` seconds later, the
+    state at a second is a running sum of those changes over slices of `rows` rows, and
+    rows look their second up. So the work is in proportion to the rows, and a hub has at
+    most a few rows for each second, however many transactions fall into it.
     """
     entity = ["rel_type", "key"]
     found = links.select(
@@ -185,15 +170,13 @@ def rolling_entity_rate(
         F.col("transactionDT").alias("t"),
         N.is_fraud("isFraud").cast("bigint").alias("fraud"),
     )
-    counts = found.groupBy(*entity).agg(F.count(F.lit(1)).alias("_n"))
-    hot = hot_rows(counts, "_n", min_rows=min_rows)
-    if hot is None:
-        out = _rolling(found, entity, lookback_s)
-    else:
-        keys = F.broadcast(hot.select(*entity))
-        out = _rolling(found.join(keys, entity, "left_anti"), entity, lookback_s).unionByName(
-            _rolling_by_second(found.join(keys, entity, "left_semi"), entity, lookback_s, seconds)
-        )
+    short, long = split_big(found, entity, window_rows)
+    parts = []
+    if short is not None:
+        parts.append(_rolling(short, entity, lookback_s))
+    if long is not None:
+        parts.append(_rolling_by_second(long, entity, lookback_s, rows))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.select(
         "transactionId",
         *entity,
@@ -210,24 +193,25 @@ def _rolling(found: DataFrame, entity: list[str], lookback_s: int) -> DataFrame:
     )
 
 
-def _rolling_by_second(found: DataFrame, entity: list[str], lookback_s: int, seconds: int) -> DataFrame:
-    by_second = found.groupBy(*entity, "t").agg(F.count(F.lit(1)).alias("n"), F.sum("fraud").alias("f"))
+def _rolling_by_second(found: DataFrame, entity: list[str], lookback_s: int, rows: int) -> DataFrame:
+    own = found.groupBy(*entity, "t").agg(F.count(F.lit(1)).alias("_rows"), F.sum("fraud").alias("_fraud"))
+    own = cut_lineage(own)  # summed up here and looked up below
     t, nothing = F.col("t"), F.lit(0).cast("bigint")
 
-    def step(at, dn, df):
-        return F.struct(at.alias("t"), dn.alias("dn"), df.alias("df"))
+    def step(at, dn, df, rows):
+        return F.struct(at.alias("t"), dn.alias("dn"), df.alias("df"), rows.alias("_rows"))
 
     steps = F.array(
-        step(t, nothing, nothing),
-        step(t + 1, F.col("n"), F.col("f")),
-        step(t + lookback_s + 1, -F.col("n"), -F.col("f")),
-    )
-    changes = by_second.select(*entity, F.inline(steps)).groupBy(*entity, "t").agg(
-        F.sum("dn").alias("dn"), F.sum("df").alias("df")
+        step(t, nothing, nothing, F.col("_rows")),
+        step(t + 1, F.col("_rows"), F.col("_fraud"), nothing),
+        step(t + lookback_s + 1, -F.col("_rows"), -F.col("_fraud"), nothing),
     )
-    sliced = changes.withColumn("_slice", F.floor(t / F.lit(seconds)))
-    state = running_sums(sliced, entity, "_slice", "t", {"n": "dn", "f": "df"})
-    return found.join(state.select(*entity, "t", "n", "f"), [*entity, "t"]).select("transactionId", *entity, "n", "f")
+    changes = own.select(*entity, F.inline(steps)).groupBy(*entity, "t").agg(*[F.sum(c).alias(c) for c in ("dn", "df", "_rows")])
+    sliced, column = equi_depth(changes, [*entity, "t"], rows)
+    state = running_sums(sliced, entity, column, "t", {"n": "dn", "f": "df"}).filter("_rows > 0")
+    # One row a second of an entity; a second with a large share of all rows is broadcast.
+    state = state.select(*entity, "t", "_rows", "n", "f")
+    return attach(found, state, [*entity, "t"], "_rows", "inner").select("transactionId", *entity, "n", "f")
 
 
 def order_within(df: DataFrame, card: str, dt: str, key: str) -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithgraph.functions.normalize import is_fraud
-from kithgraph.operators.evaluate import SLICES
-from kithgraph.operators.skew import running_sums
+from kithgraph.operators.skew import equi_depth, running_sums
 from kithgraph.operators.stats import class_balance
 from kithgraph.session import cut_lineage
 
@@ -102,10 +101,8 @@ def ap_by_iteration(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
         F.sum(is_fraud()).cast("bigint").alias("pos"),
         F.sum(F.lit(1) - is_fraud()).cast("bigint").alias("neg"),
     )
-    sliced = hist.withColumn("_slice", F.floor(F.col("proba") * SLICES))
-    summed = running_sums(
-        sliced, ["iteration"], "_slice", "proba", {"tp": "pos", "fp": "neg"}, descending=True
-    )
+    sliced, column = equi_depth(hist, ["iteration", "proba"])
+    summed = running_sums(sliced, ["iteration"], column, "proba", {"tp": "pos", "fp": "neg"}, descending=True)
     gain = F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
     return summed.groupBy("iteration").agg((gain / F.nullif(F.sum("pos"), F.lit(0))).alias("pr_auc"))
 

@@ -22,7 +22,7 @@ from kithgraph.plans import workflows
 from kithgraph.sources import tables as T
 
 SF_DIR = "/root/testdata/sf0.001"
-SLICED = {"seconds": 21_600, "min_rows": 1}  # every card counts as hot
+SLICED = {"rows": 20}  # most cards are longer
 
 
 @pytest.fixture(scope="module")
@@ -44,9 +44,10 @@ def test_sliced_windows_equal_plain_ones(g):
 
 def test_slices_are_used_when_a_card_is_hot(g):
     times = W.card_times(g.tx)
-    sliced = skew.slice_hot(times, ["card"], "dt", **SLICED)
-    assert sliced.filter("_hot").select("_slice").distinct().count() > 10
-    assert skew.slice_hot(times, ["card"], "dt") is None
+    plain, sliced = skew.slice_big(times, ["card"], ["dt", "id"], **SLICED)
+    assert plain.count() + sliced.count() == times.count()
+    assert sliced.select("card", "_slice").distinct().count() > 10
+    assert skew.slice_big(times, ["card"], ["dt", "id"])[1] is None
 
 
 def test_ties_are_ordered_by_id(spark):
@@ -361,8 +362,62 @@ def test_rolling_rate_of_a_hub_in_one_hour(spark):
         "'R' AS rel_type", "*"
     )
     plain, by_second = (
-        sorted(map(tuple, W.rolling_entity_rate(links, 600, min_rows=m).collect()), key=repr) for m in (10**9, 1)
+        sorted(map(tuple, W.rolling_entity_rate(links, 600, window_rows=m).collect()), key=repr) for m in (10**9, 1)
     )
     assert plain == by_second
     seen = [x for x in rows if x[1] == "hub" and rows[1][2] - 600 <= x[2] <= rows[1][2] - 1]
     assert next(r for r in plain if r[0] == 1)[3:5] == (len(seen), sum(x[3] for x in seen))
+
+
+def test_slices_have_equal_depth_whatever_the_times(spark):
+    """One card with all rows in one second, one with rows a second apart, and short ones."""
+    ids = spark.range(6000)
+    card = F.when(F.col("id") < 3000, 1).when(F.col("id") < 5900, 2).otherwise(F.col("id"))
+    times = ids.select(
+        "id", card.cast("string").alias("card"), F.when(card == 1, 77).otherwise(F.col("id")).alias("dt"), F.lit(1).alias("is_fraud")
+    )
+    plain, sliced = skew.slice_big(times, ["card"], ["dt", "id"], rows=500)
+    assert plain.count() == 100
+    assert sliced.groupBy("card", "_slice").count().agg(F.max("count")).first()[0] <= 1000
+    assert sliced.select("_slice").distinct().count() >= 8
+    # Slices of a card follow (dt, id).
+    spans = sliced.groupBy("card", "_slice").agg(F.min("id").alias("a"), F.max("id").alias("b")).orderBy("card", "a").collect()
+    for x, y in zip(spans, spans[1:]):
+        assert x.card != y.card or (x.b < y.a and x._slice < y._slice)
+
+
+def test_all_rows_are_sliced_when_large_keys_are_too_many_to_broadcast(spark, monkeypatch, g):
+    monkeypatch.setattr(skew, "HOT_KEYS", 3)
+    plain, sliced = skew.slice_big(W.card_times(g.tx), ["card"], ["dt", "id"], rows=20)
+    assert plain is None and sliced.count() == W.card_times(g.tx).count()
+    got = rows(W.next_on_card(g.tx, rows=20)), rows(W.card_chain_rate(g.tx, rows=20))
+    monkeypatch.undo()
+    assert got == (rows(W.next_on_card(g.tx)), rows(W.card_chain_rate(g.tx)))
+
+
+def test_rolling_rate_of_hubs_in_slices(spark):
+    rng = random.Random(4)
+    data = [("E", "hub", i, 500 if i % 2 else rng.randrange(2000), i % 3 == 0) for i in range(900)]
+    data += [("E", f"e{i % 9}", 1000 + i, rng.randrange(2000), i % 4 == 0) for i in range(200)]
+    links = spark.createDataFrame(
+        [(r, k, i, t, int(f)) for r, k, i, t, f in data], "rel_type string, key string, transactionId long, transactionDT long, isFraud int"
+    )
+    got = {r.transactionId: r for r in W.rolling_entity_rate(links, 300, rows=100, window_rows=30).collect()}
+    assert len(got) == len(data)
+    for _, k, i, t, _ in data:
+        prior = [f for _, k2, _, t2, f in data if k2 == k and t - 300 <= t2 <= t - 1]
+        r = got[i]
+        assert (r.prior_tx_count, r.prior_fraud_count) == (len(prior), sum(prior))
+        assert r.prior_fraud_rate == (sum(prior) / len(prior) if prior else None)
+
+
+def test_median_and_curves_of_crowded_values(spark):
+    tiny = spark.range(100_001).select((F.col("id") / 1e10).alias("x"), (F.col("id") % 2).cast("int").alias("isFraud"))
+    assert D.exact_median(tiny, "x", rows=5_000).first()[0] == 50_000 / 1e10
+    hist = tiny.groupBy((F.col("x") * 1e4).alias("proba")).agg(F.sum("isFraud").alias("pos"), F.sum(1 - F.col("isFraud")).alias("neg"))
+    sliced, column = skew.equi_depth(hist, ["proba"], 5_000)
+    depth = sliced.groupBy(column).count().agg(F.max("count"), F.count("*")).first()
+    assert depth[0] <= 10_000 and depth[1] > 10
+    curve = V.cumulative_counts(hist, rows=5_000)
+    assert curve.filter("tp + fp = 50001").first().proba == pytest.approx(50_000 / 1e6)
+    assert curve.agg(F.max("tp"), F.max("fp")).first() == (50_000, 50_001)
