@@ -63,9 +63,8 @@ def attach_entity_stats(g: Given):
 
 @query("j5_combine_features", over("features", sql="SELECT * FROM features"))
 def combine_features(g: Given):
-    frames = [S.entity_features(g.rel(r), r) for r in Fe.V2_ENTITIES]
-    frames += [S.proxy_features(g.rel("VIA_PROXY")), W.prev_features(g.chain)]
-    return Fe.combine_features(frames, g.ids)
+    frames = S.entity_frames(g.links, Fe.V2_ENTITIES)
+    return Fe.combine_features([*frames, W.prev_features(g.chain)], g.ids)
 
 
 @query("j5_feature_frame_v2", over("features", sql="SELECT * FROM features"))

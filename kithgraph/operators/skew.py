@@ -44,17 +44,29 @@ def attach(
 ) -> DataFrame:
     """Join `small` (one row per key, `n` = rows that key has in `big`) to `big`.
 
-    Rows of hot keys meet a bounded broadcast and are never shuffled; the others take a
-    shuffle join in which no key is large. Keys must not be null.
+    `big` is read once and shuffled once. A hot key is salted: it gets as many salts as it
+    holds 1/`limit` shares of all rows, fewer than 2 x `limit` over all keys, so no task
+    receives more than about one share of it, and its row of `small` is repeated for each.
+    The salt comes from the row itself, so a lost task deals the same way. Keys must not be
+    null.
     """
     keys = list(keys)
     small = cut_lineage(small)  # it is counted here and joined below: compute it once
     hot = hot_rows(small, n, limit)
     if hot is None:
         return big.join(small, keys, how)
-    near = big.join(F.broadcast(hot), keys, "inner")
-    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small, keys, how)
-    return near.unionByName(rest)
+    total = small.agg(F.sum(n)).scalar()
+    salts = small.sparkSession.createDataFrame(
+        hot.select(*keys, F.ceil(F.col(n) * limit / total).cast("int").alias("_salts")).toArrow()
+    )
+    marks = F.broadcast(salts)
+    dealt = big.join(marks, keys, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("_salts")), F.lit(0)).cast("int")
+    )
+    repeated = small.join(marks, keys, "left").select(
+        *small.columns, F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt")
+    )
+    return dealt.drop("_salts").join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def split_big(

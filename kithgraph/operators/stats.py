@@ -11,6 +11,7 @@ from kithgraph.functions import normalize as N
 from kithgraph.operators.edges import RELS
 from kithgraph.operators.skew import attach
 from kithgraph.operators.temporal import rolling_entity_rate
+from kithgraph.session import cut_lineage
 
 ENTITY = ("rel_type", "key")
 
@@ -94,22 +95,33 @@ def scoped_stats(
 
 def entity_features(links: DataFrame, rel_type: str, **scope) -> DataFrame:
     """Per-transaction stats of one entity type under its feature prefix."""
-    prefix = RELS[rel_type].prefix
-    seen = scoped_stats(links.filter(F.col("rel_type") == rel_type), **scope)
-    return seen.select(
-        "transactionId",
-        *[F.col(c).alias(f"{prefix}_{c}") for c in ("tx_count", "fraud_count", "fraud_rate")],
-    )
+    return _prefixed(scoped_stats(links.filter(F.col("rel_type") == rel_type), **scope), rel_type)
 
 
 def proxy_features(links: DataFrame, **scope) -> DataFrame:
     """is_proxy = 1 for any proxy label, and the fraud rate of that label."""
-    seen = scoped_stats(links.filter(F.col("rel_type") == "VIA_PROXY"), **scope)
-    return seen.select(
-        "transactionId",
-        F.lit(1.0).alias("is_proxy"),
-        F.col("fraud_rate").alias("proxy_fraud_rate"),
-    )
+    return _proxied(scoped_stats(links.filter(F.col("rel_type") == "VIA_PROXY"), **scope))
+
+
+def entity_frames(links: DataFrame, rel_types: Sequence[str], proxy: bool = True, **scope) -> list[DataFrame]:
+    """The frames of `entity_features` for several types, and of `proxy_features`, in one pass.
+
+    All types are scanned, aggregated and attached together as long rows, which are stored
+    once; a frame is what its type has of them.
+    """
+    wanted = [*rel_types, *(["VIA_PROXY"] if proxy else [])]
+    seen = cut_lineage(scoped_stats(links.filter(F.col("rel_type").isin(wanted)), **scope))
+    frames = [_prefixed(seen.filter(F.col("rel_type") == r), r) for r in rel_types]
+    return [*frames, _proxied(seen.filter(F.col("rel_type") == "VIA_PROXY"))] if proxy else frames
+
+
+def _prefixed(seen: DataFrame, rel_type: str) -> DataFrame:
+    prefix = RELS[rel_type].prefix
+    return seen.select("transactionId", *[F.col(c).alias(f"{prefix}_{c}") for c in ("tx_count", "fraud_count", "fraud_rate")])
+
+
+def _proxied(seen: DataFrame) -> DataFrame:
+    return seen.select("transactionId", F.lit(1.0).alias("is_proxy"), F.col("fraud_rate").alias("proxy_fraud_rate"))
 
 
 def validate_graph(nodes: DataFrame, edges: DataFrame, tx: DataFrame) -> DataFrame:

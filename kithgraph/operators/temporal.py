@@ -8,6 +8,8 @@ one row per slice.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from kithgraph.session import cut_lineage
 
 WINDOW_HOURS = 24
 CHAIN_LENGTH = 5
-WINDOW_ROWS = 1_000  # a sliding frame is added up again for each row: longer entities go by running sums
+WINDOW_ROWS = 4_000  # a sliding frame is added up again for each row: longer entities go by running sums
 
 
 def card_times(tx: DataFrame) -> DataFrame:
@@ -157,11 +159,13 @@ def rolling_entity_rate(
     """Counts and fraud rate of an entity over the `lookback_s` seconds before each row.
 
     Rows of the same second are not seen. A sliding window does this for entities of up to
-    `window_rows` rows. A longer one is first summed by second: a transaction enters the
-    lookback one second after its own time and leaves it `lookback_s` seconds later, the
-    state at a second is a running sum of those changes over slices of `rows` rows, and
-    rows look their second up. So the work is in proportion to the rows, and a hub has at
-    most a few rows for each second, however many transactions fall into it.
+    `window_rows` rows. Its work grows with the square of an entity, so longer ones take
+    running sums: a transaction enters the lookback one second after its own time and
+    leaves it `lookback_s` seconds later, and what a row sees is the sum of all changes so
+    far, in one window for entities whose changes are `rows` rows at most. Still longer
+    ones are summed by second first, the running sum goes over slices of `rows` rows, and
+    rows look their second up: a hub has a few rows for each second, however many
+    transactions fall into it.
     """
     entity = ["rel_type", "key"]
     found = links.select(
@@ -170,13 +174,17 @@ def rolling_entity_rate(
         F.col("transactionDT").alias("t"),
         N.is_fraud("isFraud").cast("bigint").alias("fraud"),
     )
-    short, long = split_big(found, entity, window_rows)
+    short, long = split_big(cut_lineage(found), entity, window_rows)  # counted, told apart and looked up
     parts = []
     if short is not None:
         parts.append(_rolling(short, entity, lookback_s))
     if long is not None:
-        parts.append(_rolling_by_second(long, entity, lookback_s, rows))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        middle, long = split_big(long, entity, rows // 3)
+        if middle is not None:
+            parts.append(_rolling_by_sum(middle, entity, lookback_s))
+        if long is not None:
+            parts.append(_rolling_by_second(long, entity, lookback_s, rows))
+    out = reduce(DataFrame.unionByName, parts)
     return out.select(
         "transactionId",
         *entity,
@@ -193,9 +201,27 @@ def _rolling(found: DataFrame, entity: list[str], lookback_s: int) -> DataFrame:
     )
 
 
+def _rolling_by_sum(found: DataFrame, entity: list[str], lookback_s: int) -> DataFrame:
+    t, nothing = F.col("t"), F.lit(0).cast("bigint")
+
+    def step(at, row, dn, df):
+        return F.struct(at.alias("t"), row.alias("transactionId"), dn.alias("dn"), df.alias("df"))
+
+    one, none = F.lit(1).cast("bigint"), F.lit(None).cast("bigint")
+    steps = F.array(
+        step(t, F.col("transactionId"), nothing, nothing),
+        step(t + 1, none, one, F.col("fraud")),
+        step(t + lookback_s + 1, none, -one, -F.col("fraud")),
+    )
+    upto = Window.partitionBy(*entity).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    state = found.select(*entity, F.inline(steps)).select(
+        "transactionId", *entity, F.sum("dn").over(upto).alias("n"), F.sum("df").over(upto).alias("f")
+    )
+    return state.filter(F.col("transactionId").isNotNull())
+
+
 def _rolling_by_second(found: DataFrame, entity: list[str], lookback_s: int, rows: int) -> DataFrame:
     own = found.groupBy(*entity, "t").agg(F.count(F.lit(1)).alias("_rows"), F.sum("fraud").alias("_fraud"))
-    own = cut_lineage(own)  # summed up here and looked up below
     t, nothing = F.col("t"), F.lit(0).cast("bigint")
 
     def step(at, dn, df, rows):

@@ -402,7 +402,8 @@ def test_rolling_rate_of_hubs_in_slices(spark):
     links = spark.createDataFrame(
         [(r, k, i, t, int(f)) for r, k, i, t, f in data], "rel_type string, key string, transactionId long, transactionDT long, isFraud int"
     )
-    got = {r.transactionId: r for r in W.rolling_entity_rate(links, 300, rows=100, window_rows=30).collect()}
+    found = W.rolling_entity_rate(links, 300, rows=300, window_rows=22)  # 22, 23 and 900 rows: all three ways
+    got = {r.transactionId: r for r in found.collect()}
     assert len(got) == len(data)
     for _, k, i, t, _ in data:
         prior = [f for _, k2, _, t2, f in data if k2 == k and t - 300 <= t2 <= t - 1]
@@ -421,3 +422,29 @@ def test_median_and_curves_of_crowded_values(spark):
     curve = V.cumulative_counts(hist, rows=5_000)
     assert curve.filter("tp + fp = 50001").first().proba == pytest.approx(50_000 / 1e6)
     assert curve.agg(F.max("tp"), F.max("fp")).first() == (50_000, 50_001)
+
+
+def relations(df):
+    """Reads of a table in the plan."""
+    return df._jdf.queryExecution().analyzed().toString().count("Relation [")
+
+
+def test_features_read_their_tables_a_few_times(g, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_KEYS", 5)  # hot keys are there, and salted
+    one_view = relations(g.tx)
+    frames = S.entity_frames(g.links, Fe.V2_ENTITIES)
+    # Stored long rows: only ids and the chain still read the view.
+    assert relations(Fe.combine_features([*frames, W.prev_features(g.chain)], g.ids)) <= 2 * one_view <= 6
+    for r in Fe.V2_ENTITIES:
+        assert relations(skew.attach(g.rel(r), S.entity_stats(g.rel(r)), S.ENTITY, "tx_count", limit=5)) <= 6
+    assert rows(frames[0]) == rows(S.entity_features(g.rel("USED_CARD"), "USED_CARD"))
+    assert rows(frames[-1]) == rows(S.proxy_features(g.rel("VIA_PROXY")))
+
+
+def test_hot_keys_are_dealt_over_salts(spark):
+    big = spark.range(4000).select(F.col("id"), F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"))
+    small = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = skew.attach(big, small, ["k"], "n", limit=20)
+    assert rows(got) == rows(big.join(small, "k", "left"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and plan.count("Range (") == 1
