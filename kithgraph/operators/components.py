@@ -35,7 +35,8 @@ def _round(edges: DataFrame, few: bool) -> DataFrame:
     """
 
     def placed(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
-        return rows.join(least, key) if few else attach(rows, least, [key], "n", "inner")
+        # Small rounds are merged: a broadcast for each of them would pass through the driver.
+        return rows.join(least.hint("merge"), key) if few else attach(rows, least, [key], "n", "inner")
 
     # Large star: the larger neighbours of a node link to the smallest node around it.
     both = F.array(

@@ -41,6 +41,7 @@ def attach(
     n: str,
     how: str = "left",
     limit: int = HOT_KEYS,
+    stay: bool = False,
 ) -> DataFrame:
     """Join `small` (one row per key, `n` = rows that key has in `big`) to `big`.
 
@@ -49,12 +50,19 @@ def attach(
     receives more than about one share of it, and its row of `small` is repeated for each.
     The salt comes from the row itself, so a lost task deals the same way. Keys must not be
     null.
+
+    With `stay` rows of hot keys are not shuffled but meet a bounded broadcast, at the
+    price of reading `big` twice: right where its rows are wide, as pages are.
     """
     keys = list(keys)
     small = cut_lineage(small)  # it is counted here and joined below: compute it once
     hot = hot_rows(small, n, limit)
     if hot is None:
         return big.join(small, keys, how)
+    if stay:
+        near = big.join(F.broadcast(hot), keys, "inner")
+        rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small, keys, how)
+        return near.unionByName(rest)
     total = small.agg(F.sum(n)).scalar()
     salts = small.sparkSession.createDataFrame(
         hot.select(*keys, F.ceil(F.col(n) * limit / total).cast("int").alias("_salts")).toArrow()

@@ -68,8 +68,9 @@ def test_attach_equals_a_plain_join(spark, how, limit):
     big = spark.createDataFrame(list(enumerate(keys)), "id long, k long")
     small = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s"))
     small = small.filter("k % 7 <> 3")
-    got = skew.attach(big, small, ["k"], "n", how, limit)
-    assert rows(got) == rows(big.join(small, "k", how))
+    for stay in (False, True):
+        got = skew.attach(big, small, ["k"], "n", how, limit, stay)
+        assert rows(got) == rows(big.join(small, "k", how))
 
 
 def test_fewer_hot_keys_than_the_limit(spark):
