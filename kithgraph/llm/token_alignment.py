@@ -99,7 +99,7 @@ class Csr:
 def align(length_a: np.ndarray, length_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
     """(group of each A token, group of each B token, token pairs by kind) over the same bytes."""
     end_a, end_b = np.cumsum(length_a), np.cumsum(length_b)
-    shared = np.intersect1d(end_a, end_b)
+    shared = end_a[end_b[np.searchsorted(end_b, end_a)] == end_a] if len(end_a) else end_a  # both end at the last byte
     group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
     size = int(end_a[-1]) if len(end_a) else 0
     i, j, _ = Csr.of_spans(length_a).times(Csr.of_spans(length_b).transposed(size))
@@ -132,6 +132,9 @@ class Aligner:
         ]
         if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError(f"{vocabulary_b}: an entry goes on over a space; texts cannot be cut into pieces")
+        ids = [*range(len(self.bytes_a)), *range(len(self.bytes_b))]
+        marks = [b",|"] * len(self.bytes_a) + [b",;"] * len(self.bytes_b)
+        self.marked = [b"%d%c" % (k, m) for k, pair in zip(ids, marks, strict=True) for m in pair]
         self.length_a = np.array([len(x) for x in self.bytes_a])
         self.length_b = np.array([len(x) for x in self.bytes_b])
         self.forget()
@@ -147,35 +150,46 @@ class Aligner:
         """Encode and align pieces not met before."""
         ids_a = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
         ids_b = self.b.encode([p[1:] for p in pieces], num_threads=1)  # B puts the space back
-        whole = [p.encode() for p in pieces]
-        good = []
-        for k, raw in enumerate(whole):
-            fits = b"".join(map(self.bytes_a.__getitem__, ids_a[k])) == raw
-            good.append(fits and b"".join(map(self.bytes_b.__getitem__, ids_b[k])) == raw)
-            if not good[-1]:
-                ids_a[k], ids_b[k] = [], []
-        a = np.fromiter((x for ids in ids_a for x in ids), np.int64)
-        b = np.fromiter((x for ids in ids_b for x in ids), np.int64)
+        good = self.round_trips(pieces, ids_a, ids_b)
+        for k in np.flatnonzero(~good).tolist():
+            ids_a[k], ids_b[k] = [], []
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
+        first_a, first_b = (np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64))]) for ids in (ids_a, ids_b))
         group_a, group_b, links = align(self.length_a[a], self.length_b[b])
-        first_a = np.concatenate([[0], np.cumsum([len(x) for x in ids_a])])
-        first_b = np.concatenate([[0], np.cumsum([len(x) for x in ids_b])])
+        # The digest's text: in each group A's ids, then B's, each with the mark that follows it.
+        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
         n_groups = int(group_a[-1]) + 1 if len(a) else 0
-        cut_a = np.searchsorted(group_a, np.arange(n_groups + 1)).tolist()
-        cut_b = np.searchsorted(group_b, np.arange(n_groups + 1)).tolist()
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        texts = [
-            ",".join(text_a[cut_a[g] : cut_a[g + 1]]) + "|" + ",".join(text_b[cut_b[g] : cut_b[g + 1]]) for g in range(n_groups)
-        ]
-        first_g = np.concatenate([group_a, [n_groups]])[first_a]
+        cut_a, cut_b = (np.searchsorted(g, np.arange(n_groups + 1)) for g in (group_a, group_b))
+        marked = np.zeros(len(a) + len(b), dtype=np.int64)
+        if len(a):
+            marked[np.arange(len(a)) + cut_b[group_a]] = 2 * a + last_a
+            marked[np.arange(len(b)) + cut_a[group_b + 1]] = 2 * (len(self.bytes_a) + b) + last_b
+        texts = list(map(self.marked.__getitem__, marked.tolist()))
+        cut = (first_a + first_b).tolist()
+        size = len(self.groups)
+        self.number.update(zip(pieces, range(size, size + len(pieces)), strict=True))
+        self.groups += [b"".join(texts[x:y]) if ok else None for x, y, ok in zip(cut[:-1], cut[1:], good.tolist(), strict=True)]
         i, j = links[self.kind]
-        at = np.searchsorted(i, first_a)
-        for k, piece in enumerate(pieces):
-            self.number[piece] = len(self.groups)
-            self.groups.append(";".join(texts[first_g[k] : first_g[k + 1]]).encode() if good[k] else None)
+        first_g = np.concatenate([group_a, [n_groups]])[first_a]
         self.counts = np.vstack([self.counts, np.diff(np.stack([first_a, first_b, first_g], 1), axis=0)])
-        self.pointer = np.append(self.pointer, at[1:] + self.pointer[-1])
+        self.pointer = np.append(self.pointer, np.searchsorted(i, first_a)[1:] + self.pointer[-1])
         self.pairs = np.append(self.pairs, a[i] * B_IDS + b[j])
 
+    def round_trips(self, pieces: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> np.ndarray:
+        """Whether both tokenizers' bytes are those of each piece."""
+        both = ((self.bytes_a, ids_a), (self.bytes_b, ids_b))
+        # Boundaries inside the joined bytes are compared by length, the bytes all at once.
+        whole = [p.encode() for p in pieces]
+        size = np.fromiter(map(len, whole), np.int64)
+        raw, out = b"".join(whole), np.ones(len(pieces), dtype=bool)
+        for table, ids in both:
+            first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64))])
+            parts = list(map(table.__getitem__, chain.from_iterable(ids)))
+            at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64))])
+            if b"".join(parts) != raw or (np.diff(at[first]) != size).any():
+                out &= [b"".join(parts[x:y]) == w for x, y, w in zip(first[:-1].tolist(), first[1:].tolist(), whole, strict=True)]
+        return out
+
     def know(self, blocks: list[list[str]]) -> None:
         """Learn the pieces of some blocks in one go; all of them are known then."""
         new = [p for p in dict.fromkeys(chain.from_iterable(blocks)) if p not in self.number]
@@ -217,7 +231,8 @@ class Aligner:
             parts = [self.groups[k] for k in at]
             if None in parts:
                 return NOTHING
-            digest.update(joint + b";".join(parts))
+            digest.update(joint)
+            digest.update(b"".join(parts)[:-1])
             joint = b";"
             at = np.array(at)
             totals += self.counts[at].sum(axis=0)
