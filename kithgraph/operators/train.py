@@ -71,10 +71,11 @@ def score(model: GBTClassificationModel, df: DataFrame, trees: int | None = None
         proba = vector_to_array("probability")[1]
         return model.transform(df).select("TransactionID", "isFraud", proba.alias("proba"))
     margins = _margins(model, df, trees)
-    return margins.select("TransactionID", "isFraud", _proba(F.col("margins")[trees - 1]).alias("proba"))
+    return margins.select("TransactionID", "isFraud", proba_of(F.col("margins")[trees - 1]).alias("proba"))
 
 
-def _proba(margin):
+def proba_of(margin):
+    """Probability of fraud at a margin of the logistic loss."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))
 
 
@@ -91,12 +92,8 @@ def _margins(model: GBTClassificationModel, df: DataFrame, trees: int) -> DataFr
     return df.select("TransactionID", "isFraud", F.array(*sums).alias("margins"))
 
 
-def ap_by_iteration(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
-    """(iteration, pr_auc): average precision after each tree, all iterations in one pass."""
-    margins = _margins(model, df.filter(F.col("isFraud").isNotNull()), len(model.trees))
-    long = margins.select("isFraud", F.posexplode("margins").alias("i", "margin")).select(
-        (F.col("i") + 1).alias("iteration"), "isFraud", _proba(F.col("margin")).alias("proba")
-    )
+def average_precisions(long: DataFrame) -> DataFrame:
+    """(iteration, pr_auc) from rows (iteration, isFraud, proba)."""
     hist = long.groupBy("iteration", "proba").agg(
         F.sum(is_fraud()).cast("bigint").alias("pos"),
         F.sum(F.lit(1) - is_fraud()).cast("bigint").alias("neg"),
@@ -107,6 +104,16 @@ def ap_by_iteration(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
     return summed.groupBy("iteration").agg((gain / F.nullif(F.sum("pos"), F.lit(0))).alias("pr_auc"))
 
 
+def ap_by_iteration(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
+    """(iteration, pr_auc): average precision after each tree, all iterations in one pass."""
+    margins = _margins(model, df.filter(F.col("isFraud").isNotNull()), len(model.trees))
+    return average_precisions(
+        margins.select("isFraud", F.posexplode("margins").alias("i", "margin")).select(
+            (F.col("i") + 1).alias("iteration"), "isFraud", proba_of(F.col("margin")).alias("proba")
+        )
+    )
+
+
 def best_iteration(curve: DataFrame, patience: int = 50) -> int:
     """The iteration with the best average precision seen before `patience` rounds without a better one.
 
@@ -130,7 +137,7 @@ def importance_table(
     """
     kinds = {"tabular": "Tabular", "graph": "Graph", "embedding": "Embedding"}
     names = [(c, kinds[kind]) for kind, columns in sets.items() for c in columns]
-    weights = model.featureImportances.toArray()
+    weights = model.importances() if hasattr(model, "importances") else model.featureImportances.toArray()
     rows = [(c, kind, float(weights[i])) for i, (c, kind) in enumerate(names)]
     return df.sparkSession.createDataFrame(rows, "feature string, kind string, importance double")
 

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kithgraph.operators import boost as Bo
 from kithgraph.operators import components as C
 from kithgraph.operators import edges as G
 from kithgraph.operators import embed as X
@@ -98,8 +99,8 @@ def run_experiment(
 
     The encoder sees training rows only. As published, early stopping and the threshold use
     the rows that are scored; with `tune_dt` they use the rows up to that time and the
-    metrics the rows after it. `stop_on_ap` keeps the number of trees with the best average
-    precision instead of the one the loss chose.
+    metrics the rows after it. `stop_on_ap` boosts in blocks and stops on average precision,
+    as published, instead of on the loss; `block` and `patience` may be among `params` then.
     """
     train, _ = Fe.temporal_split(dataset, split_dt)
     cats = E.categories(dataset)
@@ -112,10 +113,10 @@ def run_experiment(
     matrix = cut_lineage(matrix)
     fit, held = Fe.temporal_split(matrix, split_dt)
     tune, held = (held, held) if tune_dt is None else Fe.temporal_split(held, tune_dt)
-    model = M.train_gbt(fit.drop("TransactionDT"), tune.drop("TransactionDT"), **params)
-    trees = M.best_iteration(M.ap_by_iteration(model, tune)) if stop_on_ap else None
-    scored = cut_lineage(M.score(model, held, trees))
-    tuned = None if tune_dt is None else M.score(model, tune, trees)
+    how, score = (Bo.boost, Bo.score_boosted) if stop_on_ap else (M.train_gbt, M.score)
+    model = how(fit.drop("TransactionDT"), tune.drop("TransactionDT"), **params)
+    scored = cut_lineage(score(model, held))
+    tuned = None if tune_dt is None else score(model, tune)
     metrics = V.metrics_from(scored, tune=tuned)
     return Experiment(scored, metrics, M.importance_table(model, sets, dataset))
 
