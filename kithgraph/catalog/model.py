@@ -79,11 +79,11 @@ def feature_matrix(g: Given):
 SMALL = {"maxIter": 8, "maxDepth": 4, "stepSize": 0.3, "maxBins": 32}
 
 
-def _experiment(g: Given, **options):
+def _experiment(g: Given, settings: dict = SMALL, **options):
     """Graph-enhanced model without embeddings, entity rates from training labels."""
     features = workflows.features(g.tx, g.identity, label_scope="train", split_dt=SPLIT)
     dataset = cut_lineage(Fe.attach_features(g.joined, features))
-    return workflows.run_experiment(dataset, ("tabular", "graph"), SPLIT, **options, **SMALL)
+    return workflows.run_experiment(dataset, ("tabular", "graph"), SPLIT, **options, **settings)
 
 
 @query("m4_train_gbt")
@@ -98,6 +98,36 @@ def train_gbt_tuned(g: Given):
     return _experiment(g, tune_dt=SPLIT + 3 * 86_400, stop_on_ap=True).metrics
 
 
+@query(
+    "m4_train_gbt_published",
+    over(
+        "tx",
+        sql=f"""SELECT count(*) AS scored, CAST(sum(isFraud) AS BIGINT) AS support_fraud, count(*) AS confusion_sum,
+  CAST(0 AS BIGINT) AS out_of_range, CAST(sum(TransactionID) AS BIGINT) AS id_sum, true AS beats_constant
+FROM tx WHERE TransactionDT > {SPLIT}""",
+    ),
+)
+def train_gbt_published(g: Given):
+    """The published settings: up to 1000 trees of depth 7, stopped 50 trees after the best average precision.
+
+    What can be known without the model is checked: which rows are scored, that every score
+    is a probability, that the confusion counts add up, and that the ranking beats a constant.
+    """
+    made = _experiment(g, {}, stop_on_ap=True)
+    wide = made.metrics.filter("metric in ('tn', 'fp', 'fn', 'tp')").agg(F.sum("value").cast("bigint").alias("confusion_sum"))
+    ap = made.metrics.filter("metric = 'pr_auc'").select(F.col("value").alias("pr_auc"))
+    rows = made.predictions.agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.sum("isFraud").cast("bigint").alias("support_fraud"),
+        F.coalesce(F.sum(F.when(F.col("proba").between(0, 1), 0).otherwise(1)), F.lit(0)).cast("bigint").alias("out_of_range"),
+        F.sum("TransactionID").cast("bigint").alias("id_sum"),
+    )
+    beats = F.col("pr_auc") > F.col("support_fraud") / F.col("scored")
+    return rows.select("*", wide.scalar().alias("confusion_sum"), ap.scalar().alias("pr_auc")).select(
+        "scored", "support_fraud", "confusion_sum", "out_of_range", "id_sum", beats.alias("beats_constant")
+    )
+
+
 @query("m5_score")
 def score(g: Given):
     return _experiment(g).predictions
