@@ -8,7 +8,7 @@ large-star and small-star rounds (Kiveris et al. 2014) run until nothing changes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithgraph.functions import normalize as N
@@ -28,16 +28,23 @@ def _oriented(pairs: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _round(edges: DataFrame, few: bool) -> DataFrame:
-    """One large-star and one small-star step; `moved` marks edges that changed.
-
-    `few` says that the edges were counted and are too few for a key to be hot.
-    """
+def _starred(near: DataFrame) -> DataFrame:
+    """Distinct edges of (child, parent, least, moved) rows: both ends link to `least`."""
+    changed = F.greatest(F.col("moved"), (F.col("parent") != F.col("least")).cast("int"))
+    out = F.array(
+        F.struct(F.col("child").alias("child"), F.col("least").alias("parent"), changed.alias("moved")),
+        F.struct(F.col("parent").alias("child"), F.col("least").alias("parent"), changed.alias("moved")),
+    )
+    return (
+        near.select(F.inline(out))
+        .filter(F.col("child") != F.col("parent"))
+        .groupBy("child", "parent")
+        .agg(F.max("moved").alias("moved"))
+    )
 
-    def placed(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
-        # Small rounds are merged: a broadcast for each of them would pass through the driver.
-        return rows.join(least.hint("merge"), key) if few else attach(rows, least, [key], "n", "inner")
 
+def _round(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step; `moved` marks edges that changed."""
     # Large star: the larger neighbours of a node link to the smallest node around it.
     both = F.array(
         F.struct(F.col("parent").alias("node"), F.col("parent").alias("near"), F.lit(1).alias("up")),
@@ -50,26 +57,33 @@ def _round(edges: DataFrame, few: bool) -> DataFrame:
         .filter("n > 0")
     )
     large = (
-        placed(edges.withColumnRenamed("parent", "node"), least, "node")
+        attach(edges.withColumnRenamed("parent", "node"), least, ["node"], "n", "inner")
         .groupBy("child", F.col("least").alias("parent"))
-        .agg(F.max(F.when(F.col("least") != F.col("node"), 1).otherwise(0)).alias("moved"))
+        .agg(F.max((F.col("least") != F.col("node")).cast("int")).alias("moved"))
     )
     # Small star: a node and its smaller neighbours link to the smallest of them.
     least = large.groupBy("child").agg(F.min("parent").alias("least"), F.count(F.lit(1)).alias("n"))
-    near = placed(large, least, "child")
-    changed = F.greatest(
-        F.col("moved"), F.when(F.col("parent") != F.col("least"), 1).otherwise(0)
-    )
-    out = F.array(
-        F.struct(F.col("child").alias("child"), F.col("least").alias("parent"), changed.alias("moved")),
-        F.struct(F.col("parent").alias("child"), F.col("least").alias("parent"), changed.alias("moved")),
+    return _starred(attach(large, least, ["child"], "n", "inner"))
+
+
+def _small_round(edges: DataFrame) -> DataFrame:
+    """The same two steps for few edges: a window for each, so no joins and three shuffles."""
+    both = F.array(
+        F.struct(F.col("parent").alias("node"), F.col("child").alias("near")),
+        F.struct(F.col("child").alias("node"), F.col("parent").alias("near")),
     )
-    return (
-        near.select(F.inline(out))
-        .filter(F.col("child") != F.col("parent"))
-        .groupBy("child", "parent")
-        .agg(F.max("moved").alias("moved"))
+    around = F.least("node", F.min("near").over(Window.partitionBy("node")))
+    large = (
+        edges.select(F.inline(both))
+        .withColumn("least", around)
+        .filter("near > node")
+        .select(
+            F.col("near").alias("child"),
+            F.col("least").alias("parent"),
+            (F.col("least") != F.col("node")).cast("int").alias("moved"),
+        )
     )
+    return _starred(large.withColumn("least", F.min("parent").over(Window.partitionBy("child"))))
 
 
 def star_components(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -77,9 +91,10 @@ def star_components(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame
     edges = cut_lineage(_oriented(pairs))
     count = edges.count()
     for _ in range(max_rounds):
-        after = _round(edges.select("child", "parent"), count <= FEW_EDGES)
         if count <= FEW_EDGES:  # a round does not add edges: keep small rounds in few files
-            after = after.coalesce(max(1, -(-count // EDGES_PER_FILE)))
+            after = _small_round(edges.select("child", "parent")).coalesce(max(1, -(-count // EDGES_PER_FILE)))
+        else:
+            after = _round(edges.select("child", "parent"))
         edges = cut_lineage(after)
         count, moved = edges.agg(F.count(F.lit(1)), F.max("moved")).first()
         if not moved:
