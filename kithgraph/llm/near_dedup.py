@@ -280,8 +280,22 @@ def candidates(
     return pairs, both.filter(F.col("estimate") == DENSE).select(F.col("a").alias("node")).distinct()
 
 
-def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the whole sets of the documents named in `nodes`."""
+def stored_texts(docs: DataFrame, pairs: DataFrame, dense: DataFrame) -> DataFrame:
+    """(node, text, paired, crowded) of the nodes in `pairs` and `dense`, written once.
+
+    All later steps read these rows, so the texts of all documents are shuffled once only.
+    """
+    none, yes = F.lit(False), F.lit(True)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), yes.alias("paired"), none.alias("crowded"))
+    wanted = ends.unionByName(dense.select("node", none.alias("paired"), yes.alias("crowded")))
+    wanted = wanted.groupBy("node").agg(F.max("paired").alias("paired"), F.max("crowded").alias("crowded"))
+    path = scratch_path(docs.sparkSession, "texts")
+    docs.join(wanted.hint("merge"), "node").dropDuplicates(["node"]).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the whole sets of the texts."""
 
     def run(batches):
         for batch in batches:
@@ -290,8 +304,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), sets], ["node", "shingles"])
 
-    sets = docs.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
-    return sets.dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -424,22 +437,22 @@ def _meet(threshold: int):
     return run
 
 
-def settle_dense(docs: DataFrame, dense: DataFrame, parents: DataFrame, width: int, threshold: int) -> DataFrame | None:
-    """(a, b): all links between rows of `dense` that are in different components so far."""
-    count = dense.count()
+def settle_dense(texts: DataFrame, parents: DataFrame, width: int, threshold: int) -> DataFrame | None:
+    """(a, b): all links between the `crowded` texts that are in different components so far."""
+    texts = texts.filter("crowded")
+    count = texts.count()
     if count < 2:
         return None
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = max(1, count // ORDER_ROWS)
-    some = dense.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)
-    common = full_sets(docs, some, width).select(F.explode("shingles").alias("token")).groupBy("token").count()
+    some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)
+    common = full_sets(some, width).select(F.explode("shingles").alias("token")).groupBy("token").count()
     top = common.filter("count > 1").orderBy(F.desc("count"), "token").limit(ORDER_SHINGLES).toPandas().sort_values("token")
     often, times = top["token"].to_numpy(np.int64), top["count"].to_numpy(np.int64) * every
     up = parents.select(F.col("child").alias("node"), "parent")
-    rooted = dense.join(up, "node", "left").select("node", F.coalesce("parent", "node").alias("root"))
     met = (
-        docs.join(rooted.hint("merge"), "node")
-        .select("node", "root", "text")
+        texts.join(up.hint("merge"), "node", "left")
+        .select("node", F.coalesce("parent", "node").alias("root"), "text")
         .mapInArrow(_prefixes(width, threshold, often, times), _PREFIXES)
         .repartition(parts, "token", "salt")
         .sortWithinPartitions("token", "salt")
@@ -449,7 +462,8 @@ def settle_dense(docs: DataFrame, dense: DataFrame, parents: DataFrame, width: i
     if pairs.isEmpty():
         return None
     files = max(1, min(parts, -(-pairs.count() // PAIRS_PER_FILE)))
-    sets = cut_lineage(full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), width))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut_lineage(full_sets(texts.join(ends.hint("merge"), "node", "left_semi"), width))
     links = cut_lineage(confirm(pairs, sets, threshold).coalesce(files))
     return None if links.isEmpty() else links
 
@@ -460,8 +474,8 @@ def components_of(docs: DataFrame, reps: DataFrame, width: int, threshold: int,
     pairs, dense = cut_lineage(pairs), cut_lineage(dense)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     files = max(1, min(parts, -(-pairs.count() // PAIRS_PER_FILE)))  # small tables in few files
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut_lineage(full_sets(docs, nodes, width))
+    texts = stored_texts(docs, pairs, dense)
+    sets = cut_lineage(full_sets(texts.filter("paired"), width))
     # First the most alike partner of each row: these links join nearly all groups.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     sure = cut_lineage(confirm(best.select("a", "b"), sets, threshold).coalesce(files))
@@ -478,7 +492,7 @@ def components_of(docs: DataFrame, reps: DataFrame, width: int, threshold: int,
     open_pairs = open_pairs.filter(F.col("root_a") != F.col("root_b")).select("a", "b")
     open_pairs = cut_lineage(open_pairs.coalesce(files))
     more = cut_lineage(confirm(open_pairs, sets, threshold).coalesce(files))
-    for links in (lambda: None if more.isEmpty() else more, lambda: settle_dense(docs, dense, parents, width, threshold)):
+    for links in (lambda: None if more.isEmpty() else more, lambda: settle_dense(texts, parents, width, threshold)):
         if (found := links()) is not None:
             known = parents.select(F.col("child").alias("a"), F.col("parent").alias("b"))
             parents = star_components(known.unionByName(found))
@@ -542,4 +556,6 @@ def remove_near_copies(docs: DataFrame, width: int = WIDTH, threshold: int = THR
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_groups(docs, width=3, threshold=85)
+    groups = near_groups(docs, width=3, threshold=85)
+    # By the contract, of several rows with the smallest id all are kept; a row without id as the operator says.
+    return groups.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), "kept"))

@@ -263,6 +263,14 @@ def test_near_dedup_ids_do_not_link(spark):
     assert groups == by_text(want)
 
 
+def test_near_dedup_query_keeps_every_row_of_the_smallest_id(spark, tmp_path):
+    text = prose(100)
+    rows = [(7, text), (7, text + " tail"), (8, text), (None, prose(90))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_text((r.doc_id, r.component_id, r.kept) for r in near_dedup.op4_near_dedup(spark, str(tmp_path)).collect())
+    assert got == by_text([(7, 7, True), (7, 7, True), (8, 7, False), (None, None, True)])
+
+
 # Token files
 
 
