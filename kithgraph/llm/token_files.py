@@ -43,7 +43,7 @@ from kithgraph.session import scratch_path
 FRAME_IDS = 1 << 18
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1  # fixed by the format
 END_ID = 1
-CACHE_WORDS = 1_200_000  # per worker process
+CACHE_WORDS = 690_000  # per worker process, just below where the dict grows fourfold
 
 
 def default_vocabulary() -> str:
@@ -202,6 +202,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
         docs_in = ids_in = 0
         shard = TaskContext.get().partitionId()
         end = struct.pack("<I", end_id)
+        pa.default_memory_pool().release_unused()  # a reused worker may hold an earlier stage's buffers
         for batch in batches:
             for part in B.slices(batch, "text"):
                 if writer is None:
