@@ -50,6 +50,7 @@ ORDER_SHINGLES = 100_000
 SALTED = 50_000  # a shingle of more rows is met in several tasks
 MOST_SALTS = 16
 SHORT_RUN = 32
+SLICE_BYTES = B.SLICE_BYTES // 4  # of texts in hand at once; their hashes take some 40 times as much
 SLACK = 0.19  # of the sketches' estimate, some five standard deviations at 0.8
 LAST_ID = 2**63 - 1
 _MULTIPLIERS = (B.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -132,7 +133,7 @@ def summaries(docs: DataFrame, width: int, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in B.slices(batch, "text"):
+            for part in B.slices(batch, "text", SLICE_BYTES):
                 hashes, first = shingle_sets(part.column("text"), width)
                 n = np.diff(first)
                 total = B.sums_by(hashes.view(np.int64), first)  # wraps, as is meant
@@ -299,7 +300,7 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in B.slices(batch, "text"):
+            for part in B.slices(batch, "text", SLICE_BYTES):
                 hashes, first = shingle_sets(part.column("text"), width)
                 sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), sets], ["node", "shingles"])
@@ -340,7 +341,7 @@ def _prefixes(width: int, threshold: int, often: np.ndarray, times: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            for part in B.slices(batch, "text"):
+            for part in B.slices(batch, "text", SLICE_BYTES):
                 hashes, first = shingle_sets(part.column("text"), width)
                 token, count = _ranked(hashes.view(np.int64), first, often, times)
                 text, n = B.owner(first), np.diff(first)
