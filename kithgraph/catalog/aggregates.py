@@ -179,6 +179,25 @@ def cardinality_approx(g: Given):
     return D.cardinality(g.joined, PROFILED, approx=True)
 
 
+@query(
+    "a16_cardinality_sketches",
+    over(
+        "keys",
+        sql="\nUNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_values, TRUE AS near FROM keys" for c in PROFILED
+        ),
+    ),
+)
+def cardinality_sketches(g: Given):
+    """Daily states added up, held against the exact numbers: within five standard errors."""
+    days = g.joined.withColumn("day", F.floor(F.col("TransactionDT") / 86_400))
+    merged = D.merge_sketches(D.cardinality_sketches(days, PROFILED, "day")).withColumnRenamed("distinct_values", "about")
+    exact = D.cardinality(g.joined, PROFILED).join(merged, "column_name")
+    off = F.abs(F.col("about") - F.col("distinct_values"))
+    near = off <= 5 * 1.04 / 2 ** (D.SLOTS / 2) * F.col("distinct_values") + 0.5
+    return exact.select("column_name", "distinct_values", near.alias("near"))
+
+
 DIMS = ["ProductCD", "card4", "card6", "P_emaildomain", "card1"]
 
 

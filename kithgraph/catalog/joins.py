@@ -96,19 +96,18 @@ def features_train_scope(g: Given):
     over(
         "features",
         "vectors",
-        sql="""SELECT t.TransactionID, t.TransactionAmt, f.card_fraud_rate, f.device_fraud_rate,
-  v.embedding[1] AS emb_0, v.embedding[64] AS emb_63
-FROM tx t LEFT JOIN features f ON f.transactionId = t.TransactionID
+        sql="SELECT t.TransactionID, t.TransactionAmt, "
+        + ", ".join(f"f.{c}" for c in Fe.V2_FEATURES)
+        + ", "
+        + ", ".join(f"v.embedding[{i + 1}] AS emb_{i}" for i in range(64))
+        + """ FROM tx t LEFT JOIN features f ON f.transactionId = t.TransactionID
 LEFT JOIN vectors v ON v.transactionId = t.TransactionID""",
     ),
 )
 def attach_features(g: Given):
-    rates = g.features.select("transactionId", "card_fraud_rate", "device_fraud_rate")
-    emb = X.expand_embedding(g.vectors, 64).select("transactionId", "emb_0", "emb_63")
-    out = Fe.attach_features(Fe.attach_features(g.tx, rates), emb)
-    return out.select(
-        "TransactionID", "TransactionAmt", "card_fraud_rate", "device_fraud_rate", "emb_0", "emb_63"
-    )
+    """All 22 features and 64 coordinates."""
+    amounts = g.tx.select("TransactionID", "TransactionAmt")
+    return Fe.attach_features(Fe.attach_features(amounts, g.features), X.expand_embedding(g.vectors, 64))
 
 
 @query(

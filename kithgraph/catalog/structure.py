@@ -93,6 +93,21 @@ def attach_component_stats(g: Given):
     return C.attach_component_stats(own, C.component_stats(own, g.labels))
 
 
+_STATS = """SELECT cid AS "componentId", n AS component_size, f AS component_fraud_count,
+  CAST(f AS DOUBLE) / n AS component_fraud_rate FROM sizes"""
+
+
+@query("a10_component_stats_eight_types", over("nodes", extra=_ALL_CC, recursive=True, sql=_STATS))
+def component_stats_eight_types(g: Given):
+    own = C.transaction_components(C.wcc(g.graph.edges, g.graph.nodes))
+    return C.component_stats(own, g.labels)
+
+
+@query("j12_attach_component_stats_eight_types", over("nodes", extra=_ALL_CC, recursive=True, sql=_ATTACHED))
+def attach_component_stats_eight_types(g: Given):
+    return C.component_features(C.wcc(g.graph.edges, g.graph.nodes), g.labels)
+
+
 @query("x2_component_features", over("nodes", extra=_V1_CC, recursive=True, sql=_ATTACHED))
 def component_features(g: Given):
     return C.component_features(_v1(g), g.labels)
@@ -175,6 +190,20 @@ def expand_embedding(g: Given):
     return X.expand_embedding(g.vectors, 64)
 
 
+@query(
+    "x6_covariance",
+    over(
+        "vectors",
+        sql="""SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, count(*) AS n, round(covar_pop(a.x, b.x), 6) + 0.0::DOUBLE AS cov
+FROM (SELECT transactionId AS t, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM vectors) a
+JOIN (SELECT transactionId AS t, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM vectors) b
+  ON a.t = b.t AND a.i <= b.i GROUP BY ALL""",
+    ),
+)
+def covariance(g: Given):
+    return X.covariance(g.vectors).withColumn("cov", F.round("cov", 6) + F.lit(0.0))
+
+
 @query("x6_pca_2d")
 def pca_2d(g: Given):
     return X.pca_2d(g.vectors)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -161,6 +163,35 @@ def expand_embedding(emb: DataFrame, dim: int = DIM, prefix: str = "emb_") -> Da
     )
 
 
+def covariance(emb: DataFrame, dim: int = DIM) -> DataFrame:
+    """(i, j, n, cov) for i <= j: population covariances of the coordinates over all vectors.
+
+    Products are taken of centred coordinates, so they lose no digits to the mean, and each
+    task adds up its own, so dim x dim sums leave it, however many vectors it read. Null
+    vectors, those with a null and those of another length do not count; without any there are no rows.
+    """
+    whole = (F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull())
+    rows = emb.filter(whole).select("embedding")
+    # One row of `dim` means; without vectors they are null and nothing is centred.
+    means = rows.agg(*[F.avg(F.col("embedding")[k].cast("double")) for k in range(dim)]).first()
+    centre = np.array([m or 0.0 for m in means])
+    i, j = np.triu_indices(dim)
+
+    def run(batches):
+        n, total = 0, np.zeros((dim, dim))
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                x = x.astype(np.float64) - centre
+                n, total = n + len(x), total + x.T @ x
+        if n:
+            counts = np.full(len(i), n)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (i, j, counts, total[i, j])], ["i", "j", "n", "s"])
+
+    sums = rows.mapInArrow(run, "i long, j long, n long, s double")
+    return sums.groupBy("i", "j").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("cov"))
+
+
 def pca_2d(emb: DataFrame, n: int = 10_000, seed: int = SEED) -> DataFrame:
     """Two principal components of a repeatable sample, centred, with their variance shares.
 

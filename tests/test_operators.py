@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -449,3 +450,30 @@ def test_hot_keys_are_dealt_over_salts(spark):
     assert rows(got) == rows(big.join(small, "k", "left"))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan and plan.count("Range (") == 1
+
+
+def test_covariance_against_numpy(spark):
+    """Far from zero, in batches and tasks; odd vectors do not count; components follow from it."""
+    x = np.random.default_rng(4).normal(size=(500, 6)) @ np.diag([3, 2, 1, 1, 0.5, 0.1]) + 1e6
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(900, None), (901, [1.0]), (902, [None] * 6)]
+    emb = spark.createDataFrame(rows, "transactionId long, embedding array<double>").repartition(7)
+    want, got = np.cov(x.T, bias=True), {(r.i, r.j): r for r in X.covariance(emb, 6).collect()}
+    assert sorted(got) == [(i, j) for i in range(6) for j in range(i, 6)]
+    assert all(r.n == 500 and abs(r.cov - want[k]) < 1e-6 for k, r in got.items())
+    assert X.covariance(emb.limit(0), 6).count() == 0
+    shown = X.pca_2d(emb.filter("transactionId < 500")).collect()
+    pc = np.array([(r.pc1, r.pc2) for r in shown])
+    spread = np.linalg.eigvalsh(want)[::-1]
+    assert np.allclose(np.cov(pc.T, bias=True), np.diag(spread[:2]), atol=1e-4)
+    assert np.allclose([shown[0].pc1_variance, shown[0].pc2_variance], spread[:2] / spread.sum())
+
+
+def test_sketches_of_days_add_up(spark):
+    """Values that come back on other days count once; nulls and columns without values do not."""
+    rows = [(i % 5, f"v{i % 700}" if i % 10 else None, None) for i in range(7000)]
+    df = spark.createDataFrame(rows, "day int, a string, b string")
+    states = D.cardinality_sketches(df, ["a", "b"], "day")
+    assert states.count() == 10
+    late = D.cardinality_sketches(spark.createDataFrame([(9, "new", "one")], df.schema), ["a", "b"], "day")
+    got = {r.column_name: r.distinct_values for r in D.merge_sketches(states.unionByName(late)).collect()}
+    assert got["b"] == 1 and abs(got["a"] - 631) <= 5 * 0.01625 * 631
