@@ -6,7 +6,7 @@ import importlib
 
 from kithgraph.catalog.registry import CATALOG, Given
 
-for _part in ("tables", "scalars", "graph", "joins", "aggregates", "temporal", "structure", "model", "questions"):
+for _part in ("tables", "scalars", "graph", "joins", "aggregates", "temporal", "structure", "model", "questions", "stored"):
     importlib.import_module(f"kithgraph.catalog.{_part}")
 
 __all__ = ["CATALOG", "Given"]
