@@ -7,9 +7,11 @@ inside a range all rows are sorted by key and swept once. The sweep keeps a stac
 rules whose interval is open: rules nest, so a point lies in the intervals of the whole
 stack and in no others, and the longest one whose path fits decides.
 
-Range borders come from the `SAMPLE` smallest row hashes, which only balances the work;
-the salt lets a host with any share of the rows spread over many ranges. A rule goes to a
-range once, so rules are copied at most once per range.
+Range borders come from the `SAMPLE` smallest row hashes, `PER_RANGE` for each range if that
+is more, which only balances the work; the salt lets a host with any share of the rows
+spread over many ranges. A rule goes to a range once, so rules are copied at most once per
+range. The rules of a host are looked up by the lengths of their paths, so a host with
+many rules costs a page one lookup for each different length.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule
 and is allowed; a page that no rule fits gets `default`; of rules with the same length the
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from kithgraph.llm.line_dedup import LOWER, UPPER
 from kithgraph.session import cut_lineage
 
-SAMPLE = 20_000
+SAMPLE, PER_RANGE = 20_000, 4
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
@@ -71,11 +73,32 @@ def _places(borders: Sequence[tuple[str, int]], kind: str):
     return run
 
 
+class HostRules:
+    """The rules of one host, found by the longest beginning of a path."""
+
+    def __init__(self, key: str):
+        self.key = key
+        self.of: dict[str, tuple[int, int, bool, str, str]] = {}  # path: what ranks a rule, its text and action
+        self.lengths: list[int] = []
+
+    def add(self, host: str, path: str, action: str) -> None:
+        rule = (len(host) + len(path), len(host), action == "block", host + path, action)
+        if path not in self.of and len(path) not in self.lengths:
+            bisect.insort(self.lengths, len(path))
+        self.of[path] = max(rule, self.of.get(path, rule))
+
+    def best(self, path: str) -> tuple[int, int, bool, str, str] | None:
+        for n in reversed(self.lengths):
+            if n <= len(path) and (rule := self.of.get(path[:n])) is not None:
+                return rule
+        return None
+
+
 def _sweep(default: str):
     """Decide pages in sorted order; rules come before the pages of their key."""
 
     def run(batches):
-        stack: list[tuple[str, list[tuple[int, str, str, str]]]] = []  # (key, rules of this host)
+        stack: list[HostRules] = []
         now = None
         for batch in batches:
             names = batch.schema.names
@@ -85,20 +108,16 @@ def _sweep(default: str):
             for i, (place, key, is_page, host, path, action) in enumerate(rows):
                 if place != now:
                     stack, now = [], place
-                while stack and not key.startswith(stack[-1][0]):
+                while stack and not key.startswith(stack[-1].key):
                     stack.pop()
                 if not is_page:
-                    if not stack or stack[-1][0] != key:
-                        stack.append((key, []))
-                    stack[-1][1].append((len(host) + len(path), len(host), action == "block", path, host, action))
+                    if not stack or stack[-1].key != key:
+                        stack.append(HostRules(key))
+                    stack[-1].add(host, path, action)
                     continue
-                best = None
-                for _, rules in stack:
-                    for rule in rules:
-                        if path.startswith(rule[3]) and (best is None or rule[:3] > best[:3]):
-                            best = rule
+                best = max((rule for rules in stack if (rule := rules.best(path)) is not None), default=None)
                 keep.append(i)
-                out.append((best[4] + best[3], best[5]) if best else (None, default))
+                out.append(best[3:] if best else (None, default))
             part = batch.take(pa.array(keep, pa.int64()))
             columns = {n: part.column(n) for n in names if n in ("page", "host", "path")}
             columns["rule"] = pa.array([r for r, _ in out], pa.string())
@@ -108,6 +127,14 @@ def _sweep(default: str):
     return run
 
 
+def borders_of(points: DataFrame, parts: int) -> list[tuple[str, int]]:
+    """The first (key, salt) of each range but the first, repeated where rows are few."""
+    most = max(SAMPLE, PER_RANGE * parts)  # so many rows at most come to the driver
+    spread = points.select("key", "salt").orderBy(F.xxhash64("salt", "key"), "key").limit(most)
+    sample = sorted((r.key, r.salt) for r in spread.collect())
+    return [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", default: str = "allow") -> DataFrame:
     """(page, host, path, rule, verdict) for each row of `pages` (id, url); rules: (action, host, path)."""
     spark = pages.sparkSession
@@ -124,9 +151,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", def
         F.lit(None).cast("string").alias("action"),
     )
     points = cut_lineage(points)
-    spread = points.select("key", "salt").orderBy(F.xxhash64("salt", "key"), "key").limit(SAMPLE)
-    sample = sorted((r.key, r.salt) for r in spread.collect())  # SAMPLE rows at most
-    borders = [sample[i * len(sample) // parts] for i in range(1, parts)] if len(sample) >= parts else []
+    borders = borders_of(points, parts)
     columns = f"page {kind}, host string, path string, key string, salt long, is_page boolean, action string, bin int"
     intervals = rules.select(
         F.lit(None).cast(kind).alias("page"),
@@ -140,7 +165,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", def
     rows = points.mapInArrow(_places(borders, "page"), columns).unionByName(
         intervals.mapInArrow(_places(borders, "rule"), columns)
     )
-    ordered = rows.repartition(parts, "bin").sortWithinPartitions("bin", "key", "is_page")
+    # A range is a partition of its own; by hash, several would meet in one.
+    ordered = rows.repartitionById(parts, "bin").sortWithinPartitions("bin", "key", "is_page")
     return ordered.mapInArrow(_sweep(default), f"page {kind}, host string, path string, rule string, verdict string")
 
 
