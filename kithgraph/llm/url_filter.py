@@ -130,7 +130,11 @@ def _sweep(default: str):
 def borders_of(points: DataFrame, parts: int) -> list[tuple[str, int]]:
     """The first (key, salt) of each range but the first, repeated where rows are few."""
     most = max(SAMPLE, PER_RANGE * parts)  # so many rows at most come to the driver
-    spread = points.select("key", "salt").orderBy(F.xxhash64("salt", "key"), "key").limit(most)
+    order = F.xxhash64("salt", "key")
+    # Twice the wanted share is kept first, or every task would send as many rows as all are to give.
+    share = min(1.0, 2 * most / max(1, points.count()))
+    few = points if share == 1.0 else points.filter(order < F.lit(int(-(2**63) + share * 2**64)))
+    spread = few.select("key", "salt").orderBy(order, "key").limit(most)
     sample = sorted((r.key, r.salt) for r in spread.collect())
     return [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
 
