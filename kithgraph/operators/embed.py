@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kithgraph.operators.edges import TRANSACTION
 from kithgraph.operators.sampling import seeded_sample
 from kithgraph.operators.skew import hot_rows
-from kithgraph.session import cut_lineage
+from kithgraph.session import cut_lineage, cut_placed
 
 DIM = 64
 WEIGHTS = (0.0, 1.0, 1.0)
@@ -27,7 +27,7 @@ HEX_DIGITS = 15  # 60 bits hold more than 16 base-6 digits
 
 
 def start_vectors(degrees: DataFrame, dim: int, norm: float, seed: int) -> DataFrame:
-    """(node_id, vec): a sparse random vector per node, scaled by degree ** norm.
+    """`degrees` with `vec`: a sparse random vector per node, scaled by degree ** norm.
 
     Each block of coordinates reads the base-6 digits of one hash of the node id: 0 gives
     +sqrt(3), 1 gives -sqrt(3), the other four give 0.
@@ -38,70 +38,108 @@ def start_vectors(degrees: DataFrame, dim: int, norm: float, seed: int) -> DataF
         text = F.concat(F.col("node_id"), F.lit(f"|{b}|{seed}"))
         return F.conv(F.substring(F.md5(text.cast("binary")), 1, HEX_DIGITS), 16, 10).cast("bigint")
 
-    def coordinate(i: int) -> str:
-        digit = f"(_h{i // BLOCK} div {6 ** (i % BLOCK)}L) % 6"
-        return f"CASE {digit} WHEN 0 THEN sqrt(3D) WHEN 1 THEN -sqrt(3D) ELSE 0D END * _scale"
+    def block(b: int) -> str:
+        powers = ", ".join(f"{6**i}L" for i in range(min(BLOCK, dim - b * BLOCK)))
+        value = f"CASE (_h{b} div p) % 6 WHEN 0 THEN sqrt(3D) WHEN 1 THEN -sqrt(3D) ELSE 0D END"
+        return f"transform(array({powers}), p -> cast({value} * _scale AS float))"
 
     drawn = degrees.select(
-        "node_id", F.pow(F.col("n"), norm).alias("_scale"), *[hashed(b).alias(f"_h{b}") for b in range(blocks)]
+        "*", F.pow(F.col("n"), norm).alias("_scale"), *[hashed(b).alias(f"_h{b}") for b in range(blocks)]
     )
-    return drawn.select("node_id", _floats([coordinate(i) for i in range(dim)]).alias("vec"))
+    return drawn.select(*degrees.columns, F.expr(f"concat({', '.join(map(block, range(blocks)))})").alias("vec"))
 
 
-def _floats(items: Sequence[str]) -> Column:
-    """Array of SQL expressions as floats."""
-    return F.expr("array(" + ", ".join(f"cast({x} AS float)" for x in items) + ")")
+class _Placed(NamedTuple):
+    """Undirected edges by the node that sends: one row per node, placed and sorted by node id.
 
+    `home` has (node_id, n, to_hot, near) of the nodes that are not hot: degree, codes of hot
+    neighbours, ids of the others, parallel edges repeated. `hot` has (node_id, n, code) of
+    the fewer than HOT_KEYS hot nodes, `among` (code, to, times) the edges between those.
+    """
 
-class _Spread(NamedTuple):
-    """Undirected edges split by source: those of hot sources, and the rest by source."""
-
+    home: DataFrame
     hot: DataFrame | None
-    near: DataFrame | None
-    rest: DataFrame
-
+    among: DataFrame | None
+    parts: int
 
-def _spread(undirected: DataFrame, degrees: DataFrame) -> _Spread:
-    """Place the edges once for all steps; degrees do not change between them.
 
-    Edges of hot sources stay where they are and meet a bounded broadcast in each step. The
-    others are partitioned by source, so that the steps only move vectors.
-    """
-    parts = int(undirected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_rows(degrees, "n")
+def _placed(edges: DataFrame) -> _Placed:
+    """Place the edges once for all steps; degrees do not change between them."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pair = F.array(
+        F.struct(F.col("src").alias("node_id"), F.col("dst").alias("dst")),
+        F.struct(F.col("dst").alias("node_id"), F.col("src").alias("dst")),
+    )
+    undirected = cut_lineage(edges.select("src", "dst")).select(F.inline(pair))
+    degrees = cut_lineage(undirected.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")))
+    hot, among = hot_rows(degrees, "n"), None
     if hot is None:
-        return _Spread(None, None, cut_lineage(undirected.repartition(parts, "src")))
-    hot = hot.select(F.col("node_id").alias("src"))
-    rest = undirected.join(F.broadcast(hot), "src", "left_anti").repartition(parts, "src")
-    near = undirected.join(F.broadcast(hot), "src", "left_semi")
-    return _Spread(hot, cut_lineage(near), cut_lineage(rest))
-
+        coded = undirected.withColumn("to", F.lit(None).cast("int"))
+    else:
+        rows = hot.toArrow()  # fewer than HOT_KEYS rows
+        rows = rows.append_column("code", pa.array(range(rows.num_rows), pa.int32()))
+        hot = edges.sparkSession.createDataFrame(rows)
+        codes = hot.select("node_id", "code")
+        coded = undirected.join(F.broadcast(codes), "node_id", "left").join(
+            F.broadcast(codes.toDF("dst", "to")), "dst", "left"
+        )
+        among = cut_lineage(
+            coded.filter("code IS NOT NULL AND to IS NOT NULL").groupBy("code", "to").agg(F.count(F.lit(1)).alias("times"))
+        )
+        coded = coded.filter("code IS NULL")
+    home = (
+        coded.select("node_id", "dst", "to")
+        .repartition(parts, "node_id")
+        .groupBy("node_id")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.collect_list("to").alias("to_hot"),
+            F.collect_list(F.when(F.col("to").isNull(), F.col("dst"))).alias("near"),
+        )
+        .sortWithinPartitions("node_id")
+    )
+    return _Placed(cut_placed(home), hot, among, parts)
 
-def _neighbour_mean(edges: _Spread, vectors: DataFrame, dim: int, mark: str | None) -> DataFrame:
-    """Mean of the neighbours' vectors per node, parallel edges counted each.
 
-    Sums combine before the shuffle, so a hub receives one partial sum per task. `mark`
-    limits the receiving nodes to those whose id starts with it.
-    """
-    vectors = vectors.withColumnRenamed("node_id", "src")
-
-    def sent(part: DataFrame, vecs: DataFrame) -> DataFrame:
-        part = part if mark is None else part.filter(F.col("dst").startswith(mark))
-        return part.join(vecs, "src").select("dst", "vec")
-
-    messages = sent(edges.rest, vectors)
-    if edges.hot is not None:
-        few = vectors.join(F.broadcast(edges.hot), "src", "left_semi")
-        messages = messages.unionByName(sent(edges.near, F.broadcast(few)))
-    sums = messages.groupBy(F.col("dst").alias("node_id")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.expr(f"sum(cast(vec[{i}] AS double)) AS s{i}") for i in range(dim)],
+def _mean(vectors: DataFrame, key: str, dim: int) -> DataFrame:
+    """(key, vec): mean of the vectors of a key as floats, each counted `times`, added up in doubles."""
+    sums = vectors.groupBy(key).agg(
+        F.sum("times").alias("n"), *[F.expr(f"sum(cast(vec[{i}] AS double) * times) AS s{i}") for i in range(dim)]
     )
-    return sums.select("node_id", _floats([f"s{i} / n" for i in range(dim)]).alias("vec"))
+    items = ", ".join(f"cast(s{i} / n AS float)" for i in range(dim))
+    return sums.select(key, F.expr(f"array({items})").alias("vec"))
 
 
-def _norm(dim: int) -> Column:
-    return F.expr("sqrt(" + " + ".join(f"cast(vec[{i}] AS double) * vec[{i}]" for i in range(dim)) + ")")
+def _neighbour_mean(
+    edges: _Placed, sent: DataFrame, few: DataFrame | None, dim: int, mark: str | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Mean of the neighbours' vectors per node, parallel edges counted each: (others, hot nodes).
+
+    `sent` is `home` with the vectors of its nodes, `few` has (code, vec) of the hot nodes.
+    Only vectors between two nodes that are not hot are shuffled, as they are: hot nodes'
+    vectors are broadcast to their neighbours, where those are placed, and sums for hot nodes
+    combine before the shuffle, one a task. `mark` limits the receiving nodes to those whose
+    id starts with it.
+    """
+    once = F.lit(1).alias("times")
+    messages = sent.select(F.explode("near").alias("node_id"), "vec")
+    to = edges.home.select("node_id", F.explode("to_hot").alias("code"))
+    if mark is not None:
+        messages, to = (x.filter(F.col("node_id").startswith(mark)) for x in (messages, to))
+    messages = messages.repartition(edges.parts, "node_id")
+    if edges.hot is None:
+        return _mean(messages.select("*", once), "node_id", dim), None
+    near = to.join(F.broadcast(few), "code").select("node_id", "vec")
+    others = _mean(near.unionByName(messages).select("*", once), "node_id", dim)
+    receivers = edges.hot if mark is None else edges.hot.filter(F.col("node_id").startswith(mark))
+    own = sent.select(F.explode("to_hot").alias("code"), "vec", once)
+    crowd = edges.among.join(F.broadcast(few), "code").select(F.col("to").alias("code"), "vec", "times")
+    heard = own.unionByName(crowd).join(F.broadcast(receivers.select("code")), "code", "left_semi")
+    return others, _mean(heard, "code", dim)
+
+
+def _norm(vec: str) -> Column:
+    return F.expr(f"sqrt(aggregate({vec}, 0D, (sum, x) -> sum + cast(x AS double) * x))")
 
 
 def fastrp(
@@ -119,35 +157,36 @@ def fastrp(
     depend on node id and seed only, so a rerun gives the same result whatever the
     partitioning. Nodes without edges get the zero vector.
     """
-    pair = F.array(
-        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
-        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")),
-    )
-    undirected = cut_lineage(edges.select(F.inline(pair)))
-    degrees = cut_lineage(
-        undirected.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    spread = _spread(undirected, degrees)
-    vectors = start_vectors(degrees, dim, norm, seed)
-    nothing = F.lit(None).cast("array<float>")
-    parts = nodes.filter(F.col("node_type") == node_type).select(
-        "node_id", nothing.alias("vec"), F.lit(0.0).alias("scale")
-    )
+    placed = _placed(edges)
+    home, hot = placed.home, placed.hot
+    sent = start_vectors(home, dim, norm, seed)
+    few = None if hot is None else cut_lineage(start_vectors(hot, dim, norm, seed).select("code", "vec"))
     mark = f"{node_type}:"
+    chosen = F.col("node_id").startswith(mark)
+    own = home.filter(chosen).select("node_id")
+    own_hot = None if hot is None else hot.filter(chosen).select("node_id", "code")
+    terms = []
     last = max((k for k, w in enumerate(weights) if w), default=-1)
     for k, weight in enumerate(weights[: last + 1]):
-        receivers = None if k < last else mark
-        vectors = cut_lineage(_neighbour_mean(spread, vectors, dim, receivers))
+        vectors, few = _neighbour_mean(placed, sent, few, dim, None if k < last else mark)
+        vectors = cut_placed(vectors.sortWithinPartitions("node_id"))
+        few = None if few is None else cut_lineage(few)
+        sent = home.join(vectors, "node_id")
         if weight:
-            own = vectors.filter(F.col("node_id").startswith(mark))
-            scale = F.lit(float(weight)) / F.nullif(_norm(dim), F.lit(0.0))
-            parts = parts.unionByName(own.select("node_id", "vec", scale.alias("scale")))
-    summed = parts.groupBy("node_id").agg(
-        *[F.expr(f"sum(cast(vec[{i}] AS double) * scale) AS s{i}") for i in range(dim)]
-    )
-    return summed.select(
-        "node_id", _floats([f"coalesce(s{i}, 0D)" for i in range(dim)]).alias("embedding")
-    )
+            terms.append(k)
+            named = [F.col("vec").alias(f"_v{k}"), (F.lit(float(weight)) / F.nullif(_norm("vec"), F.lit(0.0))).alias(f"_w{k}")]
+            # A node with edges receives in every step, and both sides are placed alike.
+            own = own.join(vectors.select("node_id", *named), "node_id")
+            own_hot = None if own_hot is None else own_hot.join(F.broadcast(few.select("code", *named)), "code")
+    if own_hot is not None:
+        own = own.unionByName(own_hot.drop("code"))
+    total = f"array_repeat(0D, {dim})"
+    for k in terms:  # a vector of zeros has no norm and adds nothing
+        total = f"zip_with({total}, _v{k}, (t, x) -> t + coalesce(cast(x AS double) * _w{k}, 0D))"
+    own = own.select("node_id", F.expr(f"transform({total}, t -> cast(t AS float))").alias("embedding"))
+    listed = nodes.filter(F.col("node_type") == node_type).select("node_id").distinct()
+    nothing = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return listed.join(own, "node_id", "full").select("node_id", F.coalesce("embedding", nothing).alias("embedding"))
 
 
 def transaction_embeddings(embedding: DataFrame) -> DataFrame:
