@@ -1,24 +1,31 @@
 """Connected components of the undirected graph.
 
-Transactions have few edges each while entities may have very many, so the graph is first
-contracted: every source keeps one representative (its smallest neighbour) and its other
-neighbours link to that one. What remains are distinct entity pairs, on which alternating
+The graph is first contracted twice. Where edges lie together, as the chain of a card does,
+each task replaces them by one star a component, so a node keeps at most one edge a chunk.
+Then every source keeps one representative (its smallest neighbour) and its other neighbours
+link to that one. What remains are distinct pairs of star centres, on which alternating
 large-star and small-star rounds (Kiveris et al. 2014) run until nothing changes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithgraph.functions import normalize as N
 from kithgraph.operators.edges import TRANSACTION
 from kithgraph.operators.skew import attach
-from kithgraph.session import cut_lineage
+from kithgraph.session import cut_lineage, cut_placed
 
 MAX_ROUNDS = 40
 FEW_EDGES = 1_000_000  # so few edges fit a handful of tasks whatever their keys
 EDGES_PER_FILE = 100_000
+CHUNK = 500_000  # edges a task holds at once
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:
@@ -102,15 +109,59 @@ def star_components(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
+def _stars(held: Sequence[pa.RecordBatch]) -> pa.RecordBatch:
+    """(src, dst) for every node of the edges but the centres, dst the smallest id of its component.
+
+    A node that links to itself only keeps that edge.
+    """
+    table = pa.Table.from_batches(held)
+    ends = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks]).combine_chunks()
+    names = pc.unique(ends)
+    names = names.take(pc.sort_indices(names))
+    a, b = np.split(pc.index_in(ends, names).to_numpy(zero_copy_only=False), 2)
+    loops, label = a[a == b], np.arange(len(names))
+    while len(a):
+        # Centres hook to smaller ones, then every label goes on to its centre.
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label, up := label[label]):
+            label = up
+        a, b = label[a], label[b]
+        a, b = a[a != b], b[a != b]
+    src = np.flatnonzero(label != np.arange(len(names)))
+    alone = np.setdiff1d(loops, np.concatenate([src, label[src]]))
+    src, dst = np.concatenate([src, alone]), np.concatenate([label[src], alone])
+    return pa.RecordBatch.from_arrays([names.take(pa.array(x)) for x in (src, dst)], ["src", "dst"])
+
+
+def starred_in_tasks(edges: DataFrame, rows: int = CHUNK) -> DataFrame:
+    """(src, dst) edges with the same components, at most one for each node in `rows` edges of a task.
+
+    Nothing is shuffled: components that lie together, such as chains from one window, are
+    whole stars afterwards, and a hub has an edge for each chunk instead of one for each neighbour.
+    """
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= rows:
+                yield _stars(held)
+                held, n = [], 0
+        if n:
+            yield _stars(held)
+
+    return edges.select("src", "dst").mapInArrow(run, "src string, dst string")
+
+
 def wcc(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node_id, component_id) with the smallest member id as component id.
 
     Ids are strings. Nodes without edges, if given, form components of their own.
     """
     # Partitioned by source once: representatives and their join need no further shuffle.
-    # Sources are transactions, so no group is large; repeated edges change nothing.
+    # A source has an edge a chunk at most, so no group is large; repeated edges change nothing.
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = cut_lineage(edges.select("src", "dst").repartition(parts, "src"))
+    edges = cut_placed(starred_in_tasks(edges).repartition(parts, "src").sortWithinPartitions("src"))
     rep = edges.groupBy("src").agg(F.min("dst").alias("rep"))
     pairs = edges.join(rep, "src").select(F.col("rep").alias("a"), F.col("dst").alias("b"))
     # A source that is also a target (a chain edge) must stay in the contracted graph.

@@ -1,9 +1,11 @@
 """Steps over placed edges: what is shuffled, and the same results by plain Python."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
+from kithgraph.operators import components as C
 from kithgraph.operators import embed as X
 from kithgraph.operators.skew import hot_rows
 from kithgraph.session import cut_placed
@@ -56,3 +58,21 @@ def test_embedding_with_hot_nodes_equals_plain_python(spark, monkeypatch):
             total[k] = [t + weight * x / norm if norm else t for t, x in zip(total[k], vec[k], strict=True)]
     assert got.keys() == total.keys()
     assert all(abs(a - b) < 1e-5 for k in total for a, b in zip(got[k], total[k], strict=True))
+
+
+def test_edges_that_lie_together_become_stars_in_their_task(spark):
+    pairs = [(f"c{c}-{i:03}", f"c{c}-{i + 1:03}") for c in range(3) for i in range(100)] + [("z", "z"), ("c0-000", "c0-000")]
+    rng = random.Random(4)
+    rng.shuffle(pairs)
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    whole = {tuple(r) for r in C.starred_in_tasks(edges.coalesce(1)).collect()}
+    assert whole == {(f"c{c}-{i:03}", f"c{c}-000") for c in range(3) for i in range(1, 101)} | {("z", "z")}
+    for rows in (1, 7, 50):  # any cut gives the same components
+        found = C.wcc(C.starred_in_tasks(edges.coalesce(1), rows=rows))
+        assert {tuple(r) for r in found.collect()} == whole | {(f"c{c}-000", f"c{c}-000") for c in range(3)}
+
+
+def test_chains_that_lie_together_need_no_rounds(spark):
+    pairs = [(f"n{i:04}", f"n{i + 1:04}") for i in range(3000)]
+    edges = spark.createDataFrame(pairs, "src string, dst string").coalesce(1)
+    assert C.wcc(edges, max_rounds=1).filter("component_id <> 'n0000'").count() == 0
