@@ -19,7 +19,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithgraph.operators.train import PARAMS, average_precisions, proba_of, with_class_weight
+from kithgraph.operators.train import PARAMS, average_precisions, by_id, proba_of, with_class_weight
 from kithgraph.session import cut_lineage
 
 BLOCK = 10
@@ -89,7 +89,7 @@ def boost(
         validation.filter(F.col(label).isNotNull()).withColumn("weight", F.lit(1.0)).withColumn("is_validation", F.lit(True))
     )
     rows = rows.withColumn("_y", F.when(F.col(label) == 1, 1.0).otherwise(-1.0))
-    rows = rows.repartition("TransactionID").sortWithinPartitions("TransactionID")
+    rows = by_id(rows)
     model = start or Boosted((), (), ())
     rows = cut_lineage(_carried(rows, model, len(model.trees), block).select(*_OWN))
     while len(model.trees) < most and not (model.trees and len(model.trees) - model.best >= patience):

@@ -25,6 +25,7 @@ PARAMS = {
     "maxBins": 64,
     "seed": 42,
 }
+ROWS = 100_000  # rows a task reads in each pass over the training rows
 
 
 def with_class_weight(train: DataFrame, label: str = "isFraud") -> DataFrame:
@@ -34,6 +35,16 @@ def with_class_weight(train: DataFrame, label: str = "isFraud") -> DataFrame:
     return train.withColumn("weight", weight)
 
 
+def by_id(rows: DataFrame) -> DataFrame:
+    """`rows` partitioned and sorted by id, about ROWS in a partition however many there are.
+
+    Without a number adaptive execution merges partitions down to a few a core, and every
+    pass over them reads a share that grows with the rows.
+    """
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
+    return rows.repartition(parts, "TransactionID").sortWithinPartitions("TransactionID")
+
+
 def train_gbt(
     train: DataFrame,
     validation: DataFrame,
@@ -49,11 +60,7 @@ def train_gbt(
     marked = with_class_weight(train, label).withColumn("is_validation", F.lit(False)).unionByName(
         validation.withColumn("weight", F.lit(1.0)).withColumn("is_validation", F.lit(True))
     )
-    marked = cut_lineage(
-        marked.withColumn(label, F.col(label).cast("double")).repartition("TransactionID").sortWithinPartitions(
-            "TransactionID"
-        )
-    )
+    marked = cut_lineage(by_id(marked.withColumn(label, F.col(label).cast("double"))))
     estimator = GBTClassifier(
         featuresCol="features",
         labelCol=label,

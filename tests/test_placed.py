@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from kithgraph.operators import components as C
 from kithgraph.operators import embed as X
+from kithgraph.operators import train as M
 from kithgraph.operators.skew import hot_rows
-from kithgraph.session import cut_placed
+from kithgraph.session import cut_lineage, cut_placed
 
 
 def _exchanges(df):
@@ -76,3 +77,11 @@ def test_chains_that_lie_together_need_no_rounds(spark):
     pairs = [(f"n{i:04}", f"n{i + 1:04}") for i in range(3000)]
     edges = spark.createDataFrame(pairs, "src string, dst string").coalesce(1)
     assert C.wcc(edges, max_rounds=1).filter("component_id <> 'n0000'").count() == 0
+
+
+def test_training_rows_keep_their_share_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROWS", 10)
+    rows = spark.range(1000).select(F.col("id").alias("TransactionID"))
+    placed = cut_lineage(M.by_id(rows))
+    assert placed.rdd.getNumPartitions() == 100
+    assert max(placed.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 40
