@@ -44,6 +44,11 @@ def _devices(g: Given):
     return C.wcc(G.to_edges(g.rel("USED_DEVICE")), g.nodes)
 
 
+def _eight(g: Given):
+    """All eight link types. The edges are read once, so links are not stored first, and entities have edges."""
+    return C.wcc(G.union_edges(g.edges, G.chain_edges(g.chain)), G.transaction_ids(g.tx))
+
+
 @query(
     "x1_wcc",
     over("nodes", extra=_V1_CC, recursive=True, sql='SELECT tid AS "transactionId", cid AS "componentId" FROM members'),
@@ -66,7 +71,7 @@ def wcc_chains(g: Given):
     over("nodes", extra=_ALL_CC, recursive=True, sql="SELECT node AS node_id, comp AS component_id FROM cc"),
 )
 def wcc_eight_types(g: Given):
-    return C.wcc(g.graph.edges, g.graph.nodes)
+    return _eight(g)
 
 
 @query(
@@ -99,13 +104,13 @@ _STATS = """SELECT cid AS "componentId", n AS component_size, f AS component_fra
 
 @query("a10_component_stats_eight_types", over("nodes", extra=_ALL_CC, recursive=True, sql=_STATS))
 def component_stats_eight_types(g: Given):
-    own = C.transaction_components(C.wcc(g.graph.edges, g.graph.nodes))
+    own = C.transaction_components(_eight(g))
     return C.component_stats(own, g.labels)
 
 
 @query("j12_attach_component_stats_eight_types", over("nodes", extra=_ALL_CC, recursive=True, sql=_ATTACHED))
 def attach_component_stats_eight_types(g: Given):
-    return C.component_features(C.wcc(g.graph.edges, g.graph.nodes), g.labels)
+    return C.component_features(_eight(g), g.labels)
 
 
 @query("x2_component_features", over("nodes", extra=_V1_CC, recursive=True, sql=_ATTACHED))

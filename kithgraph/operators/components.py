@@ -115,10 +115,12 @@ def _stars(held: Sequence[pa.RecordBatch]) -> pa.RecordBatch:
     A node that links to itself only keeps that edge.
     """
     table = pa.Table.from_batches(held)
-    ends = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks]).combine_chunks()
-    names = pc.unique(ends)
-    names = names.take(pc.sort_indices(names))
-    a, b = np.split(pc.index_in(ends, names).to_numpy(zero_copy_only=False), 2)
+    ends = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(ends.dictionary)
+    names = ends.dictionary.take(order)
+    rank = np.empty(len(names), np.int64)
+    rank[order.to_numpy()] = np.arange(len(names))
+    a, b = np.split(rank[ends.indices.to_numpy()], 2)
     loops, label = a[a == b], np.arange(len(names))
     while len(a):
         # Centres hook to smaller ones, then every label goes on to its centre.
@@ -156,52 +158,39 @@ def starred_in_tasks(edges: DataFrame, rows: int = CHUNK) -> DataFrame:
 def wcc(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node_id, component_id) with the smallest member id as component id.
 
-    Ids are strings. Nodes without edges, if given, form components of their own.
+    Ids are strings. Nodes without edges, if given, form components of their own; ends of
+    edges come out whether they are listed or not, so ids of nodes that have edges may be left out.
     """
-    # Partitioned by source once: representatives and their join need no further shuffle.
-    # A source has an edge a chunk at most, so no group is large; repeated edges change nothing.
+    # One row a source, placed by source once. A source has an edge a chunk at most, so no
+    # group is large. Stars point to smaller ids: `rep` < src but for nodes that stand alone.
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = cut_placed(starred_in_tasks(edges).repartition(parts, "src").sortWithinPartitions("src"))
-    rep = edges.groupBy("src").agg(F.min("dst").alias("rep"))
-    pairs = edges.join(rep, "src").select(F.col("rep").alias("a"), F.col("dst").alias("b"))
-    # A source that is also a target (a chain edge) must stay in the contracted graph.
-    inner = rep.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-    pairs = pairs.unionByName(inner.select(F.col("src").alias("a"), F.col("rep").alias("b")))
-    parents = star_components(pairs, max_rounds)
-    known = (
-        edges.select(F.col("dst").alias("node_id"))
-        .distinct()
-        .join(parents.withColumnRenamed("child", "node_id"), "node_id", "left")
-        .select("node_id", F.coalesce("parent", "node_id").alias("component_id"))
-    )
-    known = cut_lineage(known)
-    outer = rep.join(known.select(F.col("node_id").alias("src")), "src", "left_anti")
-    # Per representative: how many outer sources it stands for, and the smallest of them.
-    sizes = (
-        outer.groupBy(F.col("rep").alias("node_id"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("low"))
-    )
-    merged = known.join(sizes, "node_id", "left")
-    # An outer source may sort before every target; the smallest member is settled here.
-    first = merged.groupBy("component_id").agg(
-        F.least(F.min("node_id"), F.min("low")).alias("first_id"), F.count(F.lit(1)).alias("_rows")
-    )
-    settled = cut_lineage(
-        attach(merged, first, ["component_id"], "_rows", "inner").select(
-            "node_id", F.col("first_id").alias("component_id"), "n"
-        )
-    )
-    stands = settled.filter("n > 0").withColumnRenamed("node_id", "rep")
-    placed = attach(outer, stands, ["rep"], "n", "inner").select(
+    starred = starred_in_tasks(edges)
+    if nodes is not None:
+        starred = starred.unionByName(nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst")))
+    # Stored before they are placed: what makes the edges keeps adaptive execution, so skewed joins are split.
+    near = cut_lineage(starred).repartition(parts, "src").groupBy("src").agg(F.collect_set("dst").alias("near"))
+    rep = F.array_min("near").alias("rep")
+    more = F.array_except("near", F.array("src", F.array_min("near"))).alias("more")
+    stars = cut_placed(near.select("src", rep, more).sortWithinPartitions("src"))
+    # The other ends: those that are sources as well (as in a chain) must stay in the contracted graph.
+    ends = stars.select(F.explode(F.array_append("more", F.col("rep"))).alias("src")).filter("src IS NOT NULL")
+    ends = cut_lineage(ends.distinct().join(stars.select("src", "rep"), "src", "left"))
+    pairs = stars.select(F.col("rep").alias("a"), F.explode("more").alias("b"))
+    pairs = pairs.unionByName(ends.filter("rep < src").select(F.col("src").alias("a"), F.col("rep").alias("b")))
+    parents = cut_lineage(star_components(pairs, max_rounds))
+    # A component's smallest member has no smaller end, so it is an end itself or stands alone.
+    sizes = stars.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    named = sizes.join(parents.withColumnRenamed("child", "rep"), "rep", "left").select(
+        "rep", F.coalesce("parent", "rep").alias("component_id"), "n"
+    )
+    own = attach(stars.select("src", "rep"), named, ["rep"], "n", "inner").select(
         F.col("src").alias("node_id"), "component_id"
     )
-    out = settled.select("node_id", "component_id").unionByName(placed)
-    if nodes is not None:
-        # A node of the graph either has edges or is a component of its own.
-        out = nodes.select("node_id").distinct().join(out, "node_id", "left").select(
-            "node_id", F.coalesce("component_id", "node_id").alias("component_id")
-        )
-    return cut_lineage(out)
+    roots = ends.filter("rep IS NULL").select(F.col("src").alias("node_id"))
+    roots = roots.join(parents.withColumnRenamed("child", "node_id"), "node_id", "left").select(
+        "node_id", F.coalesce("parent", "node_id").alias("component_id")
+    )
+    return cut_lineage(own.unionByName(roots))
 
 
 def transaction_components(components: DataFrame) -> DataFrame:

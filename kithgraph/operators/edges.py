@@ -188,6 +188,11 @@ def entity_nodes(found: DataFrame) -> DataFrame:
     )
 
 
+def transaction_ids(tx: DataFrame) -> DataFrame:
+    """(node_id) of the transactions, repeated ones as often as they come."""
+    return tx.select(node_id(TRANSACTION, F.col("TransactionID").cast("string")).alias("node_id"))
+
+
 def build_nodes(tx: DataFrame, found: DataFrame) -> DataFrame:
     """Transaction nodes and entity nodes as (node_id, node_type, key)."""
     key = F.col("TransactionID").cast("string")

@@ -85,3 +85,11 @@ def test_training_rows_keep_their_share_of_a_task(spark, monkeypatch):
     placed = cut_lineage(M.by_id(rows))
     assert placed.rdd.getNumPartitions() == 100
     assert max(placed.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 40
+
+
+def test_nodes_with_edges_need_not_be_listed(spark):
+    pairs = [("t2", "c"), ("t1", "c"), ("t3", "t2"), ("t4", "d"), ("t4", "t4")]
+    edges = spark.createDataFrame(pairs, "src string, dst string").repartition(3)
+    alone = spark.createDataFrame([("t1",), ("t9",), ("t9",)], "node_id string")
+    found = [tuple(r) for r in C.wcc(edges, alone).collect()]
+    assert sorted(found) == [("c", "c"), ("d", "d"), ("t1", "c"), ("t2", "c"), ("t3", "c"), ("t4", "d"), ("t9", "t9")]
