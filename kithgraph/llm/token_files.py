@@ -22,7 +22,9 @@ to each other; an empty table makes no file and no rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -52,41 +54,106 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Words(dict):
-    """ids of a word as bytes, encoded once."""
+# How the given vocabulary prepares words: the rest of this module's short cut holds for it only.
+NORMAL = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+# The same split in Python for words of printable ASCII and letters U+00C0 to U+024F; U+0130 lower-cases to two.
+_LATIN = (
+    rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f]"
+)
+PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|(?:[a-z]|" + _LATIN + rb")+|[0-9]|[!-/:-`{-~]+")
+WHOLE = re.compile(rb"(?:[!-~]|" + _LATIN + rb")+")
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
 
-    def encode(self, text: bytes) -> bytes:
-        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+def _byte_level() -> dict[int, str]:
+    """Byte-level's character for each byte: printable ones stay, the others follow from U+0100."""
+    stay = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in stay]
+    return {b: chr(b) for b in stay} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
+
+
+BYTE_LEVEL = _byte_level()
+
+
+class _Words(dict):
+    """ids of a word as bytes; `more` has those of the texts in hand that the cache has no room for."""
+
+    def __init__(self):
+        self.more: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = ids
-        return ids
+        return self.more[word]
+
+    def put(self, word: bytes, ids: bytes) -> None:
+        (self if len(self) < CACHE_WORDS else self.more)[word] = ids
 
 
 class Encoder:
     """A tokenizer that drops white space, lower-cases and never joins words.
 
-    For such a one a text's ids are those of its words in turn, which are looked up.
+    For such a one a text's ids are those of its words in turn, which are looked up. Where it
+    prepares words as the given vocabulary does, unseen words are cut into their pieces here
+    and only unseen pieces go to the tokenizer's model; others go through the whole tokenizer.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        self.special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
-        self.words = _Words(tokenizer)
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = _Words()
+        given = json.loads(self.tokenizer.to_str())
+        normal = [n["type"] for n in (given["normalizer"] or {}).get("normalizers", [])]
+        split = (given["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.cuts = (
+            normal == NORMAL
+            and [p.get("pattern") for p in split] == [{"Regex": SPLIT}, None]
+            and split[0]["behavior"] == "Removed"
+            and split[0]["invert"]
+            and split[1] == BYTES
+            and given["post_processor"] is None
+        )
+        self.model = self.tokenizer.model
+
+    def _whole(self, text: bytes) -> bytes:
+        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if not piece.isascii():
+            text = text.lower().encode().decode("latin-1").translate(BYTE_LEVEL)
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, cut = self.words, {}
+        for word in words:
+            if self.cuts and WHOLE.fullmatch(word):
+                cut[word] = PIECES.findall(word)
+            else:
+                known.put(word, self._whole(word))
+        for piece in {p for own in cut.values() for p in own}:
+            if piece not in known:
+                known.put(piece, self._piece(piece))
+        for word, own in cut.items():
+            if len(own) > 1:
+                known.put(word, b"".join(map(known.__getitem__, own)))
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        split = [None if any(s in t for s in self.special) else t.lower().split() for t in texts]
+        known = self.words
+        known.more.clear()
+        self._learn({w for words in split if words for w in words if w not in known})
+        return [
+            self._whole(t) if words is None else b"".join(map(known.__getitem__, words))
+            for t, words in zip(texts, split, strict=True)
+        ]
 
     def encode(self, text: bytes) -> bytes:
-        if any(s in text for s in self.special):
-            return self.words.encode(text)
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -212,11 +279,11 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
                     held = f"{base}/.shard-{shard:06d}-{uuid.uuid4().hex}"
                     stream = fs.open_output_stream(held)
                     writer = ShardWriter(stream, frame_ids)
-                encode = encoder(vocabulary).encode
                 data, offsets = B.flat(part.column("text"))
                 raw, edges = data.tobytes(), offsets.tolist()
-                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), edges[:-1], edges[1:], strict=True):
-                    ids = encode(raw[a:b]) + end
+                encoded = encoder(vocabulary).encode_all([raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
+                    ids += end
                     writer.add(doc_id, ids)
                     docs_in += 1
                     ids_in += len(ids) // 4

@@ -287,6 +287,23 @@ def test_token_files_round_trip(spark, odd):
     assert by_text(tuple(r) for r in token_files.token_files(odd).collect()) == by_text(want)
 
 
+def test_unseen_words_share_their_pieces(monkeypatch):
+    from tokenizers import Tokenizer
+
+    def refuse(self, text):
+        raise AssertionError(f"not cut into pieces: {text}")
+
+    tokenizer = Tokenizer.from_file(token_files.default_vocabulary())
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 6)
+    texts = ["It's Größe, größe; ''s don't-'s 10.5 <b>", "", "a (größe) ÷", "xİ, İ a\u0301b x² <|endoftext|> größe"]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder = token_files.Encoder(token_files.default_vocabulary())
+    assert encoder.encode_all([t.encode() for t in texts]) == want
+    monkeypatch.setattr(token_files.Encoder, "_whole", refuse)
+    encoder = token_files.Encoder(token_files.default_vocabulary())
+    assert encoder.encode_all([t.encode() for t in texts[:2]]) == want[:2]
+
+
 def test_token_shard_access(tmp_path, none):
     path = tmp_path / "shard"
     docs = [(i * 3, np.arange(i * 50, dtype="<u4").tobytes() + b"\1\0\0\0") for i in range(40)]
