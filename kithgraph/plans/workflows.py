@@ -27,16 +27,24 @@ class Graph(NamedTuple):
 
 
 def graph_of(
-    tx: DataFrame, identity: DataFrame | None, version: int = 2, window_hours: int = 24, unique_ids: bool = True
+    tx: DataFrame,
+    identity: DataFrame | None,
+    version: int = 2,
+    window_hours: int = 24,
+    unique_ids: bool = True,
+    store: bool = True,
 ) -> Graph:
     """Nodes and edges of the first (5 types) or second (8 types) graph.
 
     Both come from the links, which are written once; the rest is not yet computed. The
     label, the identity table and columns of it may be missing. `unique_ids` off keeps one
-    edge per pair when a transaction comes twice.
+    edge per pair when a transaction comes twice. `store` off leaves the links unwritten,
+    for a reader that takes the edges once and no nodes.
     """
     rels = G.V1_RELS if version == 1 else G.V2_RELS
-    found = cut_lineage(G.links_of(tx, identity, rels, unique_ids))
+    found = G.links_of(tx, identity, rels, unique_ids)
+    if store:
+        found = cut_lineage(found)
     edges = G.to_edges(found)
     if version == 2:
         once = tx if unique_ids else tx.dropDuplicates(["TransactionID"])
@@ -77,8 +85,10 @@ def features(
 
 def embeddings(tx: DataFrame, identity: DataFrame | None, version: int = 2, **params) -> DataFrame:
     """(transactionId, embedding) over the chosen graph."""
-    graph = graph_of(tx, identity, version)
-    return X.transaction_embeddings(X.fastrp(graph.edges, graph.nodes, **params))
+    # The operator stores the edges itself, and only transactions are listed of the nodes.
+    edges = graph_of(tx, identity, version, store=False).edges
+    nodes = G.transaction_ids(tx).withColumn("node_type", F.lit(G.TRANSACTION))
+    return X.transaction_embeddings(X.fastrp(edges, nodes, **params))
 
 
 class Experiment(NamedTuple):

@@ -5,10 +5,12 @@ import random
 
 from pyspark.sql import functions as F
 
+from kithgraph.catalog import Given
 from kithgraph.operators import components as C
 from kithgraph.operators import embed as X
 from kithgraph.operators import train as M
 from kithgraph.operators.skew import hot_rows
+from kithgraph.plans import workflows
 from kithgraph.session import cut_lineage, cut_placed
 
 
@@ -93,3 +95,11 @@ def test_nodes_with_edges_need_not_be_listed(spark):
     alone = spark.createDataFrame([("t1",), ("t9",), ("t9",)], "node_id string")
     found = [tuple(r) for r in C.wcc(edges, alone).collect()]
     assert sorted(found) == [("c", "c"), ("d", "d"), ("t1", "c"), ("t2", "c"), ("t3", "c"), ("t4", "d"), ("t9", "t9")]
+
+
+def test_embeddings_do_not_store_the_links_besides_the_edges(spark, monkeypatch):
+    g = Given(spark, "/root/testdata/sf0.001")
+    want = {r.transactionId for r in g.tx.select(F.col("TransactionID").alias("transactionId")).collect()}
+    monkeypatch.setattr(workflows, "cut_lineage", None)  # only the operator may store its edges
+    got = workflows.embeddings(g.tx, g.identity, dim=2).collect()
+    assert {r.transactionId for r in got} == want and len(got) == len(want)
