@@ -17,7 +17,8 @@
    in one order, rare ones first, and two rows of different components become a pair if
    they meet in the first shingles, of which sets that reach the threshold share one, and
    if enough shingles follow on both sides. These pairs are confirmed on the full sets, too.
-5. Components by alternating large-star and small-star rounds.
+5. Components by stars within one task for few links, by alternating large-star and
+   small-star rounds for more.
 
 Defined cases: a text without words has an empty set and is linked to nothing; fewer
 words than a shingle has make one shingle of the whole sequence; a null doc_id ranks after all others
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kithgraph.llm import textbytes as B
-from kithgraph.operators.components import star_components
+from kithgraph.operators.components import stored_components
 from kithgraph.operators.skew import attach
 from kithgraph.session import cut_lineage, scratch_path
 
@@ -53,6 +54,7 @@ SHORT_RUN = 32
 SLICE_BYTES = B.SLICE_BYTES // 4  # of texts in hand at once; their hashes take some 40 times as much
 SLACK = 0.19  # of the sketches' estimate, some five standard deviations at 0.8
 LAST_ID = 2**63 - 1
+SET = ["n_shingles", "s1", "s2"]  # what tells the sets of two texts apart
 _MULTIPLIERS = (B.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADDENDS = (B.mix(np.arange(1001, TREES * DEPTH + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 DENSE = -1.0
@@ -275,8 +277,9 @@ def candidates(
         border.repartitionByRange(max(1, min(TREES, parts // 64)), "tree")
         .sortWithinPartitions(*order)
         .mapInArrow(_sweep(threshold, neighbours, False), _SWEPT)
+        .select("a", "b", "estimate")
     )
-    both = swept.filter("a is not null").select("a", "b", "estimate").unionByName(across.select("a", "b", "estimate"))
+    both = swept.filter("a is not null").select("a", "b", "estimate").unionByName(cut_lineage(across))
     pairs = both.filter("a <> b").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
     return pairs, both.filter(F.col("estimate") == DENSE).select(F.col("a").alias("node")).distinct()
 
@@ -460,9 +463,11 @@ def settle_dense(texts: DataFrame, parents: DataFrame, width: int, threshold: in
         .mapInArrow(_meet(threshold), "a long, b long")
     )
     pairs = cut_lineage(met.distinct())
-    if pairs.isEmpty():
+    found = pairs.count()
+    if not found:
         return None
-    files = max(1, min(parts, -(-pairs.count() // PAIRS_PER_FILE)))
+    files = max(1, min(parts, -(-found // PAIRS_PER_FILE)))
+    pairs = pairs.coalesce(files)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut_lineage(full_sets(texts.join(ends.hint("merge"), "node", "left_semi"), width))
     links = cut_lineage(confirm(pairs, sets, threshold).coalesce(files))
@@ -475,12 +480,13 @@ def components_of(docs: DataFrame, reps: DataFrame, width: int, threshold: int,
     pairs, dense = cut_lineage(pairs), cut_lineage(dense)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     files = max(1, min(parts, -(-pairs.count() // PAIRS_PER_FILE)))  # small tables in few files
+    pairs = pairs.coalesce(files)
     texts = stored_texts(docs, pairs, dense)
     sets = cut_lineage(full_sets(texts.filter("paired"), width))
     # First the most alike partner of each row: these links join nearly all groups.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     sure = cut_lineage(confirm(best.select("a", "b"), sets, threshold).coalesce(files))
-    parents = star_components(sure)
+    parents = stored_components(sure)
     # Then what is left between different components.
     up = parents.select(F.col("child").alias("node"), "parent")
 
@@ -496,42 +502,36 @@ def components_of(docs: DataFrame, reps: DataFrame, width: int, threshold: int,
     for links in (lambda: None if more.isEmpty() else more, lambda: settle_dense(texts, parents, width, threshold)):
         if (found := links()) is not None:
             known = parents.select(F.col("child").alias("a"), F.col("parent").alias("b"))
-            parents = star_components(known.unionByName(found))
+            parents = stored_components(known.unionByName(found))
     return parents
 
 
-def grouped_nodes(docs: DataFrame, width: int, threshold: int, neighbours: int = NEIGHBOURS, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, node), one row per row of `docs` (doc_id, text)."""
+def summed_up(
+    docs: DataFrame, width: int, threshold: int, neighbours: int = NEIGHBOURS, id_col: str = "doc_id"
+) -> tuple[DataFrame, DataFrame]:
+    """(the stored `summaries` of `docs`; one row for each set, with its component and its `first` id and node)."""
     path = scratch_path(docs.sparkSession, "shingles")
     summaries(docs, width, id_col).write.parquet(path)
     rows = docs.sparkSession.read.parquet(path)
-    key = ["n_shingles", "s1", "s2"]
     full = rows.filter("n_shingles > 0")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node"))
-    groups = full.groupBy(*key).agg(F.min("node").alias("node"), first.alias("first"))
-    reps = full.join(groups.select(*key, "node"), [*key, "node"], "left_semi").dropDuplicates(["node", "s1", "s2"])
+    groups = full.groupBy(*SET).agg(F.min("node").alias("node"), first.alias("first"))
+    reps = full.join(groups.select(*SET, "node"), [*SET, "node"], "left_semi").dropDuplicates(["node", "s1", "s2"])
     # A repeated row, equal in id and text, is one node and one text.
     named = docs.select(node_of(id_col).alias("node"), "text")
     parents = components_of(named, reps, width, threshold, neighbours)
-    groups = cut_lineage(
-        groups.join(parents.withColumnRenamed("child", "node"), "node", "left").select(
-            *key, F.coalesce("parent", "node").alias("component"), "first"
-        )
-    )
-    least = groups.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
-    groups = attach(groups.drop("first"), least, ["component"], "n", "inner").select(*key, "least")
-    out = full.select("doc_id", "node", *key).join(groups, key).select("doc_id", "node", "n_shingles", "least")
-    alone = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node")
-    empty = rows.filter("n_shingles = 0").select("doc_id", "node", "n_shingles", alone.alias("least"))
-    return out.unionByName(empty).select(
-        "doc_id",
-        "n_shingles",
-        F.nullif("least.id", F.lit(LAST_ID)).alias("component_id"),
-        (F.col("node") == F.col("least.node")).alias("kept"),
-        "node",
+    return rows, groups.join(parents.withColumnRenamed("child", "node"), "node", "left").select(
+        *SET, F.coalesce("parent", "node").alias("component"), "first"
     )
 
 
+def kept_nodes(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(node): the first node of each group; a text without words is a group of its own."""
+    rows, groups = summed_up(docs, width, threshold)
+    least = groups.groupBy("component").agg(F.min("first").alias("least")).select("least.node")
+    return least.unionByName(rows.filter("n_shingles = 0").select("node")).distinct()
+
+
 def near_groups(
     docs: DataFrame,
     width: int = WIDTH,
@@ -540,12 +540,24 @@ def near_groups(
     id_col: str = "doc_id",
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of `docs` (doc_id, text)."""
-    return grouped_nodes(docs, width, threshold, neighbours, id_col).drop("node")
+    rows, groups = summed_up(docs, width, threshold, neighbours, id_col)
+    full, groups = rows.filter("n_shingles > 0"), cut_lineage(groups)
+    least = groups.groupBy("component").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    groups = attach(groups.drop("first"), least, ["component"], "n", "inner").select(*SET, "least")
+    out = full.select("doc_id", "node", *SET).join(groups, SET).select("doc_id", "node", "n_shingles", "least")
+    alone = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node")
+    empty = rows.filter("n_shingles = 0").select("doc_id", "node", "n_shingles", alone.alias("least"))
+    return out.unionByName(empty).select(
+        "doc_id",
+        "n_shingles",
+        F.nullif("least.id", F.lit(LAST_ID)).alias("component_id"),
+        (F.col("node") == F.col("least.node")).alias("kept"),
+    )
 
 
 def remove_near_copies(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """One row of `docs` for each group: that with the smallest doc_id, of several the smallest node."""
-    kept = grouped_nodes(docs.select("doc_id", "text"), width, threshold).filter("kept").select("node").distinct()
+    kept = kept_nodes(docs.select("doc_id", "text"), width, threshold)
     name = "_" + "_".join(docs.columns)  # a name that no column has
     marked = docs.withColumn(name, node_of("doc_id"))
     # Only rows equal in id and text meet here, and all but one of a task stay behind before the shuffle.

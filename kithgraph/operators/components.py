@@ -109,6 +109,18 @@ def star_components(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
+def stored_components(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """`star_components` of pairs that cost little to read again.
+
+    Up to EDGES_PER_FILE of them, which a round would leave in one file, become stars in one
+    task, without a round; the driver then has two jobs instead of some six for each round.
+    """
+    if pairs.count() > EDGES_PER_FILE:
+        return star_components(pairs, max_rounds)
+    edges = starred_in_tasks(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).coalesce(1))
+    return cut_lineage(edges.filter("src <> dst").select(F.col("src").alias("child"), F.col("dst").alias("parent")))
+
+
 def _stars(held: Sequence[pa.RecordBatch]) -> pa.RecordBatch:
     """(src, dst) for every node of the edges but the centres, dst the smallest id of its component.
 
@@ -152,7 +164,8 @@ def starred_in_tasks(edges: DataFrame, rows: int = CHUNK) -> DataFrame:
         if n:
             yield _stars(held)
 
-    return edges.select("src", "dst").mapInArrow(run, "src string, dst string")
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.select("src", "dst").mapInArrow(run, f"src {kind}, dst {kind}")
 
 
 def wcc(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:

@@ -263,6 +263,22 @@ def test_near_dedup_ids_do_not_link(spark):
     assert groups == by_text(want)
 
 
+def test_near_dedup_few_jobs(spark, request):
+    """Few links take no rounds, and copies go without a join of all rows with their groups."""
+    base = prose(300).split()
+    rows = [(i, " ".join([*base[: 3 * i], *(f"own{k}" for k in range(3 * i)), *base[3 * i :]])) for i in range(30)]
+    docs = spark.createDataFrame(rows + [(100 + i, prose(60)) for i in range(30)] + [(200, None), (201, "")], "doc_id long, text string")
+    context = spark.sparkContext
+    context.setJobGroup(request.node.name, "")
+    try:
+        got = {r.doc_id for r in near_dedup.remove_near_copies(docs).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {r.doc_id for r in near_dedup.near_groups(docs).filter("kept").collect()}
+    assert len(got) < len(rows) + 32
+    assert len(context.statusTracker().getJobIdsForGroup(request.node.name)) <= 80
+
+
 def test_near_dedup_query_keeps_every_row_of_the_smallest_id(spark, tmp_path):
     text = prose(100)
     rows = [(7, text), (7, text + " tail"), (8, text), (None, prose(90))]

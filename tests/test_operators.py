@@ -129,6 +129,19 @@ def test_components_raise_when_rounds_run_out(spark):
         C.star_components(pairs, max_rounds=1)
 
 
+@pytest.mark.parametrize("few", [50, C.EDGES_PER_FILE])
+def test_stored_components(spark, monkeypatch, few):
+    """The same components whether the pairs fit one task or go through rounds."""
+    monkeypatch.setattr(C, "EDGES_PER_FILE", few)
+    rng = random.Random(few)
+    pairs = [(i, i + rng.choice([1, 2])) for i in range(-200, 200, 3)] + [(7, 7), (900, 300), (301, 300)] * 2
+    nodes = sorted({n for p in pairs for n in p})
+    found = C.stored_components(spark.createDataFrame(pairs, "a long, b long").repartition(4))
+    assert found.columns == ["child", "parent"]
+    assert {tuple(r) for r in found.collect()} == {(a, b) for a, b in union_find(pairs, nodes) if a != b}
+    assert C.stored_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_embedding_properties(spark):
     pairs = [(f"Transaction:{i}", f"Card:{i % 5}") for i in range(30)]
     pairs += [(f"Transaction:{i}", f"Device:{i % 3}") for i in range(0, 30, 2)]
