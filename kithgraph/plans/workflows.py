@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kithgraph.operators import binned as Bi
 from kithgraph.operators import boost as Bo
 from kithgraph.operators import components as C
 from kithgraph.operators import edges as G
@@ -103,6 +104,7 @@ def run_experiment(
     split_dt: int,
     tune_dt: int | None = None,
     stop_on_ap: bool = False,
+    binned: bool = False,
     **params,
 ) -> Experiment:
     """Encode, assemble, train up to the split time, score and measure after it.
@@ -111,6 +113,7 @@ def run_experiment(
     the rows that are scored; with `tune_dt` they use the rows up to that time and the
     metrics the rows after it. `stop_on_ap` boosts in blocks and stops on average precision,
     as published, instead of on the loss; `block` and `patience` may be among `params` then.
+    `binned` does so over rows that are binned once, for hundreds of trees over many rows.
     """
     train, _ = Fe.temporal_split(dataset, split_dt)
     cats = E.categories(dataset)
@@ -123,7 +126,9 @@ def run_experiment(
     matrix = cut_lineage(matrix)
     fit, held = Fe.temporal_split(matrix, split_dt)
     tune, held = (held, held) if tune_dt is None else Fe.temporal_split(held, tune_dt)
-    how, score = (Bo.boost, Bo.score_boosted) if stop_on_ap else (M.train_gbt, M.score)
+    how, score = (M.train_gbt, M.score)
+    if stop_on_ap:
+        how, score = (Bi.boost, Bi.score_boosted) if binned else (Bo.boost, Bo.score_boosted)
     model = how(fit.drop("TransactionDT"), tune.drop("TransactionDT"), **params)
     scored = cut_lineage(score(model, held))
     tuned = None if tune_dt is None else score(model, tune)
