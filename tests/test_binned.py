@@ -101,7 +101,7 @@ def test_few_values_are_told_apart_and_many_go_by_quantiles(spark):
     assert a.tolist() == [0.5] and len(b) == 63 and abs(np.diff(b) - 5000 / 64).max() < 3
 
 
-@pytest.mark.parametrize("name", ["m4_train_gbt_published"])
+@pytest.mark.parametrize("name", ["m4_train_gbt_published", "t2_top_features"])
 def test_published_settings(name, monkeypatch):
     assert _settings(name, monkeypatch) == {"stop_on_ap": True, "binned": True}
 
