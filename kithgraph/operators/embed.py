@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kithgraph.operators.edges import TRANSACTION
 from kithgraph.operators.sampling import seeded_sample
 from kithgraph.operators.skew import hot_rows
-from kithgraph.session import cut_lineage, cut_placed
+from kithgraph.session import cut_lineage, cut_placed, drop_cut, drop_path, drop_shuffles, scratch_path
 
 DIM = 64
 WEIGHTS = (0.0, 1.0, 1.0)
@@ -50,10 +50,12 @@ def start_vectors(degrees: DataFrame, dim: int, norm: float, seed: int) -> DataF
 
 
 class _Placed(NamedTuple):
-    """Undirected edges by the node that sends: one row per node, placed and sorted by node id.
+    """Undirected edges by the node that sends: one row per node, placed by its leader, sorted by leader and node id.
 
-    `home` has (node_id, n, to_hot, near) of the nodes that are not hot: degree, codes of hot
-    neighbours, ids of the others, parallel edges repeated. `hot` has (node_id, n, code) of
+    The leader is the node with most neighbours among a node and its neighbours, so that a node
+    mostly lies in the partition of those it hears. `home` has (leader, node_id, n, to_hot, close,
+    far) of the nodes that are not hot: degree, codes of hot neighbours, ids of the others with the
+    same leader, (leader, id) of the rest, parallel edges repeated. `hot` has (node_id, n, code) of
     the fewer than HOT_KEYS hot nodes, `among` (code, to, times) the edges between those.
     """
 
@@ -63,29 +65,66 @@ class _Placed(NamedTuple):
     parts: int
 
 
+_KEY = ["leader", "node_id"]
+
+
+def _freed(cut: Callable[[DataFrame], DataFrame], df: DataFrame, *unused: DataFrame) -> DataFrame:
+    """`df` stored by `cut`; its shuffle files and the `unused` stored frames it was made from are deleted."""
+    out = cut(df)
+    drop_shuffles(df)
+    for old in unused:
+        drop_cut(old)
+    return out
+
+
+def _by_leader(home: DataFrame, parts: int) -> DataFrame:
+    """`home` of (node_id, n, to_hot, near), placed by node id, as `_Placed` has it; deletes it."""
+    size = F.size("near").alias("c")
+    tell = home.select(F.explode(F.array_distinct("near")).alias("to"), F.struct(size, "node_id").alias("best"))
+    heard = tell.repartition(parts, "to").groupBy("to").agg(F.max("best").alias("best"))
+    leader = F.when(F.col("best") > F.struct(size, "node_id"), F.col("best.node_id")).otherwise(F.col("node_id"))
+    led = home.join(heard, F.col("node_id") == F.col("to"), "left").select("node_id", "n", "to_hot", "near", leader.alias("leader"))
+    led = _freed(cut_placed, led.sortWithinPartitions("node_id"), home)
+    # A node's neighbours are those it is a neighbour of, as often.
+    tell = led.select(F.explode("near").alias("to"), F.struct("leader", F.col("node_id").alias("id")).alias("from"))
+    heard = tell.repartition(parts, "to").groupBy("to").agg(F.collect_list("from").alias("from"))
+    known = led.join(heard, F.col("node_id") == F.col("to"), "left").select(
+        *_KEY,
+        "n",
+        "to_hot",
+        F.expr("transform(filter(from, f -> f.leader = leader), f -> f.id)").alias("close"),
+        F.expr("filter(from, f -> f.leader <> leader)").alias("far"),
+    )
+    return _freed(cut_placed, known.repartition(parts, "leader").sortWithinPartitions(*_KEY), led)
+
+
 def _placed(edges: DataFrame) -> _Placed:
     """Place the edges once for all steps; degrees do not change between them."""
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = edges.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pair = F.array(
         F.struct(F.col("src").alias("node_id"), F.col("dst").alias("dst")),
         F.struct(F.col("dst").alias("node_id"), F.col("src").alias("dst")),
     )
-    undirected = cut_lineage(edges.select("src", "dst")).select(F.inline(pair))
-    degrees = cut_lineage(undirected.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")))
+    path = scratch_path(spark, "edges")  # columns of ids take a tenth of a checkpoint's space
+    pairs = edges.select("src", "dst")
+    pairs.write.parquet(path)
+    undirected = spark.read.schema(pairs.schema).parquet(path).select(F.inline(pair))
+    degrees = _freed(cut_lineage, undirected.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")))
     hot, among = hot_rows(degrees, "n"), None
+    drop_cut(degrees)
     if hot is None:
         coded = undirected.withColumn("to", F.lit(None).cast("int"))
     else:
         rows = hot.toArrow()  # fewer than HOT_KEYS rows
         rows = rows.append_column("code", pa.array(range(rows.num_rows), pa.int32()))
-        hot = edges.sparkSession.createDataFrame(rows)
+        hot = spark.createDataFrame(rows)
         codes = hot.select("node_id", "code")
         coded = undirected.join(F.broadcast(codes), "node_id", "left").join(
             F.broadcast(codes.toDF("dst", "to")), "dst", "left"
         )
-        among = cut_lineage(
-            coded.filter("code IS NOT NULL AND to IS NOT NULL").groupBy("code", "to").agg(F.count(F.lit(1)).alias("times"))
-        )
+        among = coded.filter("code IS NOT NULL AND to IS NOT NULL").groupBy("code", "to").agg(F.count(F.lit(1)).alias("times"))
+        among = _freed(cut_lineage, among)
         coded = coded.filter("code IS NULL")
     home = (
         coded.select("node_id", "dst", "to")
@@ -98,16 +137,18 @@ def _placed(edges: DataFrame) -> _Placed:
         )
         .sortWithinPartitions("node_id")
     )
-    return _Placed(cut_placed(home), hot, among, parts)
+    home = _freed(cut_placed, home)
+    drop_path(spark, path)
+    return _Placed(_by_leader(home, parts), hot, among, parts)
 
 
-def _mean(vectors: DataFrame, key: str, dim: int) -> DataFrame:
-    """(key, vec): mean of the vectors of a key as floats, each counted `times`, added up in doubles."""
-    sums = vectors.groupBy(key).agg(
+def _mean(vectors: DataFrame, key: Sequence[str], dim: int) -> DataFrame:
+    """(*key, vec): mean of the vectors of a key as floats, each counted `times`, added up in doubles."""
+    sums = vectors.groupBy(*key).agg(
         F.sum("times").alias("n"), *[F.expr(f"sum(cast(vec[{i}] AS double) * times) AS s{i}") for i in range(dim)]
     )
     items = ", ".join(f"cast(s{i} / n AS float)" for i in range(dim))
-    return sums.select(key, F.expr(f"array({items})").alias("vec"))
+    return sums.select(*key, F.expr(f"array({items})").alias("vec"))
 
 
 def _neighbour_mean(
@@ -116,26 +157,27 @@ def _neighbour_mean(
     """Mean of the neighbours' vectors per node, parallel edges counted each: (others, hot nodes).
 
     `sent` is `home` with the vectors of its nodes, `few` has (code, vec) of the hot nodes.
-    Only vectors between two nodes that are not hot are shuffled, as they are: hot nodes'
-    vectors are broadcast to their neighbours, where those are placed, and sums for hot nodes
-    combine before the shuffle, one a task. `mark` limits the receiving nodes to those whose
+    Only vectors between two nodes that are not hot and have different leaders are shuffled, as
+    they are: hot nodes' vectors are broadcast to their neighbours, where those are placed, and
+    sums for hot nodes combine before the shuffle, one a task. `mark` limits the receiving nodes to those whose
     id starts with it.
     """
     once = F.lit(1).alias("times")
-    messages = sent.select(F.explode("near").alias("node_id"), "vec")
-    to = edges.home.select("node_id", F.explode("to_hot").alias("code"))
+    close = sent.select("leader", F.explode("close").alias("node_id"), "vec")
+    far = sent.select(F.explode("far").alias("f"), "vec").select("f.leader", F.col("f.id").alias("node_id"), "vec")
+    to = edges.home.select(*_KEY, F.explode("to_hot").alias("code"))
     if mark is not None:
-        messages, to = (x.filter(F.col("node_id").startswith(mark)) for x in (messages, to))
-    messages = messages.repartition(edges.parts, "node_id")
+        close, far, to = (x.filter(F.col("node_id").startswith(mark)) for x in (close, far, to))
+    messages = close.unionByName(far.repartition(edges.parts, "leader"))
     if edges.hot is None:
-        return _mean(messages.select("*", once), "node_id", dim), None
-    near = to.join(F.broadcast(few), "code").select("node_id", "vec")
-    others = _mean(near.unionByName(messages).select("*", once), "node_id", dim)
+        return _mean(messages.select("*", once), _KEY, dim), None
+    near = to.join(F.broadcast(few), "code").select(*_KEY, "vec")
+    others = _mean(messages.unionByName(near).select("*", once), _KEY, dim)
     receivers = edges.hot if mark is None else edges.hot.filter(F.col("node_id").startswith(mark))
     own = sent.select(F.explode("to_hot").alias("code"), "vec", once)
     crowd = edges.among.join(F.broadcast(few), "code").select(F.col("to").alias("code"), "vec", "times")
     heard = own.unionByName(crowd).join(F.broadcast(receivers.select("code")), "code", "left_semi")
-    return others, _mean(heard, "code", dim)
+    return others, _mean(heard, ["code"], dim)
 
 
 def _norm(vec: str) -> Column:
@@ -163,30 +205,38 @@ def fastrp(
     few = None if hot is None else cut_lineage(start_vectors(hot, dim, norm, seed).select("code", "vec"))
     mark = f"{node_type}:"
     chosen = F.col("node_id").startswith(mark)
-    own = home.filter(chosen).select("node_id")
+    own = home.filter(chosen).select(*_KEY)
+    ids = own.select("node_id")
     own_hot = None if hot is None else hot.filter(chosen).select("node_id", "code")
-    terms = []
+    if own_hot is not None:
+        ids = ids.unionByName(own_hot.select("node_id"))
+        own_hot = None if own_hot.isEmpty() else own_hot
+    terms, read, unused = [], [], ()  # `unused`: stored vectors that only the next step reads
     last = max((k for k, w in enumerate(weights) if w), default=-1)
     for k, weight in enumerate(weights[: last + 1]):
         vectors, few = _neighbour_mean(placed, sent, few, dim, None if k < last else mark)
-        vectors = cut_placed(vectors.sortWithinPartitions("node_id"))
-        few = None if few is None else cut_lineage(few)
-        sent = home.join(vectors, "node_id")
+        few = None if few is None or (k == last and own_hot is None) else _freed(cut_placed, few)
+        if k < last:  # the last ones are joined below, where they are made
+            vectors = _freed(cut_placed, vectors.sortWithinPartitions(*_KEY), *unused)
+            sent, unused = home.join(vectors, _KEY), () if weight else (vectors,)
+            read += [vectors] if weight else []
         if weight:
             terms.append(k)
             named = [F.col("vec").alias(f"_v{k}"), (F.lit(float(weight)) / F.nullif(_norm("vec"), F.lit(0.0))).alias(f"_w{k}")]
             # A node with edges receives in every step, and both sides are placed alike.
-            own = own.join(vectors.select("node_id", *named), "node_id")
+            own = own.join(vectors.select(*_KEY, *named), _KEY)
             own_hot = None if own_hot is None else own_hot.join(F.broadcast(few.select("code", *named)), "code")
-    if own_hot is not None:
-        own = own.unionByName(own_hot.drop("code"))
     total = f"array_repeat(0D, {dim})"
     for k in terms:  # a vector of zeros has no norm and adds nothing
         total = f"zip_with({total}, _v{k}, (t, x) -> t + coalesce(cast(x AS double) * _w{k}, 0D))"
-    own = own.select("node_id", F.expr(f"transform({total}, t -> cast(t AS float))").alias("embedding"))
+    embedding = F.expr(f"transform({total}, t -> cast(t AS float))").alias("embedding")
+    own = _freed(cut_placed, own.select("node_id", embedding), *unused, *read)
+    if own_hot is not None:
+        own = own.unionByName(own_hot.select("node_id", embedding))
     listed = nodes.filter(F.col("node_type") == node_type).select("node_id").distinct()
-    nothing = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return listed.join(own, "node_id", "full").select("node_id", F.coalesce("embedding", nothing).alias("embedding"))
+    nothing = F.array_repeat(F.lit(0.0).cast("float"), dim).alias("embedding")
+    # Vectors stay where they are: only ids meet to find the nodes without edges.
+    return own.unionByName(listed.join(ids, "node_id", "left_anti").select("node_id", nothing))
 
 
 def transaction_embeddings(embedding: DataFrame) -> DataFrame:
